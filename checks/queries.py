@@ -12,8 +12,15 @@ from checks.fixtures import AS_OF, DAYS_BACK, Views, views
 from dailyfolio.functions import bot, messages, papers as paper_fn, scores as score_fn, text
 from dailyfolio.operators import (
     digest, papers, prefmodel, ranking, retrieval, scoring, settings, upserts, users)
+from dailyfolio.plans import daily, feedback, retrain
+from dailyfolio.plans.ingest import ingest as run_ingest
 from dailyfolio.plans.summary import run_summary
+from dailyfolio.session import scratch_path, written
+from dailyfolio.sources import feeds
+from dailyfolio.sources.tables import TableStore
+from dailyfolio.sources.updates import read_updates
 from dailyfolio.streaming import ratings as rating_jobs
+from dailyfolio.streaming import settings as settings_jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,8 +207,7 @@ def has_profile(v):
 
 @query
 def user_by_chat(v):
-    last = v["benchmark"].agg((F.max("item_id") + 1000).alias("c")).scalar()
-    return v["users_fx"].where(F.col("chat_id") == last).select("user_id", "chat_id")
+    return users.user_by_chat(v["users_fx"], 1007).select("user_id", "chat_id")
 
 
 @query
@@ -565,7 +571,8 @@ def _lift_models(v):
         (F.sum(2 * F.col("label") - 1) / (F.count(F.lit(1)) + 1)).alias("coef"))
     models = vocab.where("fold = 0").join(lean, ["user_id", "term"])
     meta = rows.groupBy("user_id").agg((F.avg("label") - 0.5).alias("intercept"))
-    return models.select("user_id", "term", "idf", "coef"), meta
+    # Models are tables that retraining has written, so they are written here, too.
+    return written(models.select("user_id", "term", "idf", "coef"), "lift-models"), meta
 
 
 @query
@@ -657,13 +664,14 @@ def average_rank(v):
 
 @query
 def auc_per_fold(v):
-    return prefmodel.roc_auc(_predictions(v)).select("user_id", *big("fold"), r6("auc"))
+    return prefmodel.roc_auc(_predictions(v)).select("user_id", *big("fold"), F.round("auc", 12).alias("auc"))
 
 
 @query
 def cv_summary(v):
     return prefmodel.cv_summary(prefmodel.roc_auc(_predictions(v))).select(
-        "user_id", r6("cv_auc_mean"), r6("cv_auc_std"))
+        "user_id", F.round("cv_auc_mean", 9).alias("cv_auc_mean"),
+        F.round("cv_auc_std", 9).alias("cv_auc_std"))
 
 
 @query
@@ -684,3 +692,213 @@ def summary(v):
         "due": users.due_users(v["users_fx"], AS_OF),
         "ratings": parsed.withColumn("status", F.coalesce("reason", F.lit("ok"))),
     }).select("stage", "part", *big("rows"))
+
+
+# --- landed payloads ---------------------------------------------------------------------
+
+def _land_atom(v) -> str:
+    """The papers as Atom entries, one feed per source, some with an unreadable date."""
+    path = scratch_path(v.spark, "atom")
+    day = F.concat(F.col("published_date").cast("string"), F.lit("T10:00:00Z"))
+    number = F.col("doc_id").cast("string")
+    v["papers_fx"].select(
+        F.col("source").alias("category"),
+        F.concat(F.lit("http://arxiv.org/abs/"), number, F.lit("v2")).alias("id"),
+        F.when(F.col("doc_id") % 50 == 7, F.lit("some day")).otherwise(day).alias("published"),
+        "title", F.col("abstract").alias("summary"),
+        F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("author"),
+        F.array(
+            F.struct(F.concat(F.lit("https://papers.example/"), number).alias("_href"),
+                     F.lit("text/html").alias("_type")),
+            F.struct(F.concat(F.lit("https://papers.example/pdf/"), number).alias("_href"),
+                     F.when(F.col("doc_id") % 3 == 0, F.lit("application/pdf"))
+                     .otherwise(F.lit("text/plain")).alias("_type"))).alias("link"),
+    ).write.partitionBy("category").format("xml").options(rowTag="entry", rootTag="feed").save(path)
+    return path
+
+
+def _land_search(v) -> str:
+    """The papers as search responses of up to 100 items, one response per line."""
+    path = scratch_path(v.spark, "search")
+    d, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    item = F.struct(
+        (d % 100).alias("_place"),
+        F.when(d % 11 != 3, F.concat(F.lit("h"), number)).alias("paperId"), "title", "abstract",
+        F.lit(2024).alias("year"),
+        F.when(d % 13 == 5, F.lit("2024-13-45")).when(d % 5 != 0, F.col("published_date").cast("string"))
+        .alias("publicationDate"),
+        F.coalesce("venue", F.lit("  ")).alias("venue"),
+        F.struct(F.concat(F.lit("Journal "), (d % 7).cast("string")).alias("name")).alias("journal"),
+        F.transform("authors", lambda a: F.struct(a.alias("name"))).alias("authors"),
+        F.struct(F.when(d % 3 == 0, number).alias("ArXiv")).alias("externalIds"),
+        F.struct(F.when(d % 3 == 1, F.concat(F.lit("https://papers.example/pdf/"), number)).alias("url"))
+        .alias("openAccessPdf"))
+    pages = v["papers_fx"].select(F.floor(d / 100).alias("page"), item.alias("item")).groupBy("page").agg(
+        F.sort_array(F.collect_list("item")).alias("data"))
+    pages.select("data").write.json(path)
+    return path
+
+
+def _land_pubmed(v) -> str:
+    """The papers as article records, some without a year."""
+    path = scratch_path(v.spark, "pubmed")
+    d, day = F.col("doc_id"), F.col("published_date")
+    article = F.struct(
+        F.col("title").alias("ArticleTitle"),
+        F.struct(F.array(
+            F.struct(F.col("title").alias("_VALUE"), F.lit("BACKGROUND").alias("_Label")),
+            F.struct(F.col("abstract").alias("_VALUE"), F.lit("").alias("_Label"))).alias("AbstractText"))
+        .alias("Abstract"),
+        F.struct(F.transform("authors", lambda a: F.struct(
+            F.when(a != "In", a).alias("LastName"), F.lit("A.").alias("ForeName"))).alias("Author"))
+        .alias("AuthorList"),
+        F.struct(
+            F.concat(F.lit("Journal of "), F.col("source")).alias("Title"),
+            F.struct(F.struct(
+                F.when(d % 17 != 2, F.year(day).cast("string")).alias("Year"),
+                F.when(d % 2 == 0, F.date_format(day, "MMM")).otherwise(F.date_format(day, "M")).alias("Month"),
+                F.date_format(day, "d").alias("Day")).alias("PubDate")).alias("JournalIssue"))
+        .alias("Journal"))
+    v["papers_fx"].select(F.struct(
+        F.struct(d.cast("string").alias("_VALUE"), F.lit(1).alias("_Version")).alias("PMID"),
+        article.alias("Article")).alias("MedlineCitation")
+    ).write.format("xml").options(rowTag="PubmedArticle", rootTag="PubmedArticleSet").save(path)
+    return path
+
+
+def _paper_out(batch):
+    return batch.select(
+        "id", "title", F.sha2("abstract", 256).alias("abstract_hash"),
+        F.array_join("authors", "; ").alias("authors"), "published_date", "venue", "url", "pdf_url")
+
+
+CATEGORIES = ("arxiv", "semantic_scholar", "pubmed")
+
+
+@query
+def read_atom(v):
+    return _paper_out(feeds.read_atom(v.spark, _land_atom(v), AS_OF, DAYS_BACK, CATEGORIES))
+
+
+@query
+def read_search_json(v):
+    return _paper_out(feeds.read_search_json(v.spark, _land_search(v), AS_OF, DAYS_BACK, multi_line=False))
+
+
+@query
+def read_pubmed(v):
+    return _paper_out(feeds.read_pubmed(v.spark, _land_pubmed(v), AS_OF, DAYS_BACK))
+
+
+# --- streams and whole jobs --------------------------------------------------------------
+
+def _store(v, *names: str) -> TableStore:
+    """A table store holding the derived tables."""
+    store = TableStore(v.spark, scratch_path(v.spark, "store"))
+    content = {
+        "papers": lambda: ranking.dedup_first(v["papers_fx"]).withColumn("fetched_at", F.lit(STAMP)),
+        "all_papers": lambda: _hashed(v["papers_fx"]).withColumn("fetched_at", F.lit(STAMP)),
+        "users": lambda: v["users_fx"],
+        "ratings": lambda: v["ratings_fx"].withColumn("created_at", F.col("created_at").cast("timestamp")),
+        "paper_scores": lambda: v["scores_fx"],
+        "digest_log": lambda: v["digest_log_fx"],
+    }
+    for name in names:
+        store.replace(name.removeprefix("all_"), content[name]())
+    return store
+
+
+def _land_updates(v) -> str:
+    """Rating callbacks and messages as one update feed."""
+    path = scratch_path(v.spark, "updates")
+    nobody = F.lit(None)
+    callback = F.struct(
+        F.col("update_id").cast("string").alias("id"),
+        F.struct(F.col("user_chat_id").alias("id")).alias("from"), "data")
+    message = F.struct(
+        F.struct(F.col("chat_id").alias("id")).alias("chat"),
+        F.struct(F.col("chat_id").alias("id")).alias("from"), "text")
+    kinds = [
+        v["ratings_raw_fx"].select("update_id", F.col("ts").cast("timestamp").alias("ts"),
+                                   F.to_json(callback).alias("c"), nobody.cast("string").alias("m")),
+        v["updates_fx"].select("update_id", F.col("ts").cast("timestamp").alias("ts"),
+                               nobody.cast("string").alias("c"), F.to_json(message).alias("m"))]
+    feed = papers.union_all(*kinds)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    line = F.concat(
+        F.lit('{"update_id": '), F.col("update_id").cast("string"), F.lit(', "ts": "'), stamp, F.lit('", '),
+        F.when(F.col("c").isNotNull(), F.concat(F.lit('"callback_query": '), F.col("c")))
+        .otherwise(F.concat(F.lit('"message": '), F.col("m"))), F.lit("}"))
+    feed.select(line.alias("value")).write.text(path)
+    return path
+
+
+ALL_FILES = 1_000_000
+
+
+@query
+def rating_stream(v):
+    store = _store(v, "all_papers")
+    updates = read_updates(v.spark, _land_updates(v), max_files=ALL_FILES)
+    rating_jobs.rating_stream(updates, store, scratch_path(v.spark, "checkpoint")).awaitTermination()
+    return store.load("ratings").select(
+        "id", "user_chat_id", "paper_id", F.col("score").cast("int").alias("score"))
+
+
+@query
+def settings_stream(v):
+    store = _store(v, "users")
+    updates = read_updates(v.spark, _land_updates(v), max_files=ALL_FILES)
+    settings_jobs.settings_stream(updates, store, scratch_path(v.spark, "checkpoint")).awaitTermination()
+    return store.load("users").select(
+        "chat_id", "keyword_profile", "active", "max_papers", "digest_frequency",
+        "next_digest_date", "min_rating", "pending_action")
+
+
+@query
+def rating_counts_stream(v):
+    source = _store(v, "ratings").load("ratings")
+    path, out = source.inputFiles()[0].rsplit("/", 1)[0], scratch_path(v.spark, "counts")
+    counts = rating_jobs.rating_counts_stream(v.spark.readStream.schema(source.schema).parquet(path))
+
+    def save(batch, batch_id):
+        batch.write.mode("overwrite").parquet(out)
+
+    counts.writeStream.outputMode("complete").foreachBatch(save).trigger(availableNow=True).option(
+        "checkpointLocation", scratch_path(v.spark, "checkpoint")).start().awaitTermination()
+    return v.spark.read.parquet(out)
+
+
+@query
+def feedback_stream(v):
+    store = _store(v, "all_papers", "users")
+    for running in feedback.feedback_stream(store, _land_updates(v), scratch_path(v.spark, "checkpoint")):
+        running.awaitTermination()
+    rated = store.load("ratings").groupBy("user_chat_id").agg(F.count("*").alias("ratings"))
+    return store.load("users").join(
+        rated, F.col("chat_id") == F.col("user_chat_id"), "left").drop("user_chat_id")
+
+
+def _landing(v) -> dict[str, str]:
+    return {"atom": _land_atom(v), "search_lines": _land_search(v), "pubmed": _land_pubmed(v)}
+
+
+@query
+def ingest(v):
+    store = TableStore(v.spark, scratch_path(v.spark, "store"))
+    run_ingest(store, _landing(v), dt.date.fromisoformat(AS_OF), STAMP, DAYS_BACK, CATEGORIES)
+    return store.load("papers").select("id", "title_hash", "source")
+
+
+@query
+def daily_digest(v):
+    store = _store(v, "users", "ratings", "papers")
+    run = daily.daily_digest(store, _landing(v), dt.date.fromisoformat(AS_OF), scoring.overlap_scorer,
+                             days_back=DAYS_BACK, categories=CATEGORIES)
+    return run.outbox.select("user_id", "chat_id", "position", "kind", "paper_id", "text")
+
+
+@query
+def retrain_all(v):
+    report, _ = retrain.retrain_all(_store(v, "users", "ratings", "papers"))
+    return report

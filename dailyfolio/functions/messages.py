@@ -81,7 +81,7 @@ def render_message(title: Column, url: Column, authors: Column, source: Column,
         F.lit("*["), F.coalesce(title, F.lit("Untitled")), F.lit("]("),
         F.coalesce(url, F.lit("")), F.lit(")*\n_"), format_authors(authors), F.lit("_\n"),
         place, F.lit("\n"), why, F.lit("\n🔢 Relevance: "),
-        F.format_string("%.1f", F.coalesce(score.cast("double"), F.lit(0.0))), F.lit("/10"),
+        F.format_number(F.coalesce(score.cast("double"), F.lit(0.0)), 1), F.lit("/10"),
     )
 
 

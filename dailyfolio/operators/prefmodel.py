@@ -282,8 +282,9 @@ def fit_models(training: DataFrame, counts: DataFrame, folds: int = 0,
     small = ~F.col("user_id").isin(large)
     docs = rows.where(small).join(counts, "paper_id", "left").select(
         "user_id", "rating_id", "label", "fold", "terms", "tfs")
+    terms = vocab.where(small).select(F.col("user_id").alias("owner"), "fold", "term", "idf")
     fitted = (
-        docs.groupBy("user_id").cogroup(vocab.where(small).groupBy("user_id"))
+        docs.groupBy("user_id").cogroup(terms.groupBy("owner"))
         .applyInPandas(_fit_user, FITTED)
     )
     for user in large:

@@ -15,7 +15,6 @@ from dailyfolio.functions.bot import (
     AWAITING_DAY, AWAITING_TOPICS, chat_strip, leading_int, next_weekday_on_or_after,
     parse_command)
 from dailyfolio.operators.ranking import CHUNK_ROWS, last_before
-from dailyfolio.operators.upserts import upsert
 from dailyfolio.operators.users import DEFAULTS
 
 # New users are numbered in this many interleaved sequences.
@@ -104,31 +103,34 @@ def settings_changes(updates: DataFrame, users: DataFrame,
 
 
 def apply_settings(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Users with the changes merged in column by column and new chats added."""
-    fields = ("keyword_profile", "active", "max_papers", "digest_frequency",
-              "next_digest_date", "min_rating")
+    """Users with the changes merged in column by column and new chats added.
+
+    One full outer join; users and changes are of one row per chat, so no key is hot.
+    """
     last_id = users.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    defaults = {
+        "active": F.lit(True), "max_papers": F.lit(DEFAULTS["max_papers"]),
+        "digest_frequency": F.lit(DEFAULTS["digest_frequency"]),
+        "min_rating": F.lit(DEFAULTS["min_rating"]).cast("decimal(3,1)"),
+        "next_digest_date": F.to_date("_created_at"), "keyword_profile": F.lit(None)}
+    renamed = changes.select("chat_id", *[
+        F.col(c).alias(f"_{c}") for c in changes.columns if c != "chat_id"])
     lane = F.pmod(F.xxhash64("chat_id"), F.lit(ID_LANES))
-    place = F.row_number().over(Window.partitionBy("_lane").orderBy("chat_id"))
-    # An empty text stands for "no longer pending" until the merge is done.
-    numbered = (
-        changes.withColumn("_lane", lane)
-        .withColumn("id", F.lit(ID_LANES) * (place - 1) + F.col("_lane") + 1).drop("_lane")
-        .withColumn("pending_action", F.when(
-            F.col("pending_set"), F.coalesce("pending_action", F.lit(""))))
+    place = F.row_number().over(Window.partitionBy("_new", "_lane").orderBy("chat_id"))
+    merged = (
+        users.join(renamed, "chat_id", "full")
+        .withColumns({"_new": F.col("id").isNull(), "_lane": lane})
+        .withColumns({"_place": place, "_last_id": last_id})
     )
-    known = users.select("chat_id").join(changes.select("chat_id"), "chat_id", "left_semi")
-    old = numbered.join(known, "chat_id", "left_semi")
-    new = numbered.join(known, "chat_id", "left_anti").withColumn("id", F.col("id") + last_id)
-    source = old.withColumn("id", F.lit(None).cast("bigint")).unionByName(new)
-    merged = upsert(
-        users, source, ["chat_id"], [*fields, "pending_action", "id", "created_at"],
-        {"active": F.lit(True), "max_papers": F.lit(DEFAULTS["max_papers"]),
-         "digest_frequency": F.lit(DEFAULTS["digest_frequency"]),
-         "min_rating": F.lit(DEFAULTS["min_rating"]),
-         "next_digest_date": F.to_date("created_at")},
-        keep_if_null=[*fields, "pending_action", "id", "created_at"])
-    return merged.withColumn("pending_action", F.nullif("pending_action", F.lit("")))
+    fresh_id = F.col("_last_id") + ID_LANES * (F.col("_place") - 1) + F.col("_lane") + 1
+    out = {
+        "id": F.coalesce("id", fresh_id),
+        "created_at": F.coalesce("created_at", "_created_at"),
+        "pending_action": F.when(F.col("_pending_set"), F.col("_pending_action"))
+        .otherwise(F.col("pending_action")),
+        **{c: F.coalesce(F.col(f"_{c}"), F.col(c), F.when(F.col("_new"), d))
+           for c, d in defaults.items()}}
+    return merged.select(*[out.get(c, F.col(c)).alias(c) for c in users.columns])
 
 
 def settings_from_log(updates: DataFrame, users: DataFrame,
