@@ -107,8 +107,8 @@ SELECT u.user_id, r.id AS rating_id, r.paper_id, CASE WHEN r.score >= 5 THEN 1 E
        coalesce({TEXT.replace('title', 'p.title').replace('abstract', 'p.abstract')}, '') AS text
 FROM ratings_fx r JOIN users_fx u ON u.chat_id = r.user_chat_id LEFT JOIN papers_fx p ON p.id = r.paper_id""",
     "model_v": """
-SELECT user_id, term, ln((1.0 + n) / (1.0 + df)) + 1 AS idf, CAST(lean AS DOUBLE) / (df + 1) AS coef FROM (
-  SELECT t.user_id, c.term, count(*) AS df, sum(2 * t.label - 1) AS lean, any_value(s.n) AS n,
+SELECT user_id, term, ctf, df, ln((1.0 + n) / (1.0 + df)) + 1 AS idf, CAST(lean AS DOUBLE) / (df + 1) AS coef FROM (
+  SELECT t.user_id, c.term, CAST(sum(c.tf) AS BIGINT) AS ctf, count(*) AS df, sum(2 * t.label - 1) AS lean, any_value(s.n) AS n,
          row_number() OVER (PARTITION BY t.user_id ORDER BY sum(c.tf) DESC, c.term) AS rn
   FROM training_v t JOIN tc_v c ON c.id = t.paper_id
   JOIN (SELECT user_id, count(*) AS n FROM training_v GROUP BY 1) s ON s.user_id = t.user_id
@@ -412,7 +412,7 @@ WHERE status = 'ok' AND CASE WHEN (user_id + batch_no) % 5 = 3 THEN 9 ELSE coale
     "l2_norm": "SELECT id AS paper_id, round(sqrt(sum((1 + ln(tf)) ** 2)), 6) AS norm FROM tc_v GROUP BY 1",
     "sparse_dot": "SELECT user_id, paper_id, round(dot, 6) AS dot FROM dot_v",
     "top_n_profiles": "SELECT user_id, paper_id, score, rank FROM cosine_v",
-    "keyed_vocab": "SELECT user_id, term, round(idf, 6) AS idf, round(coef, 6) AS coef FROM model_v",
+    "keyed_vocab": "SELECT user_id, term, ctf, df, round(idf, 6) AS idf FROM model_v",
     "predict_linear": "SELECT user_id, paper_id, score FROM proba_v",
     "top_n_models": "SELECT user_id, paper_id, score, rank FROM best_v",
     "candidates": """

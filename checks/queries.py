@@ -563,22 +563,24 @@ def _counts(v):
 def _lift_models(v):
     """Linear models that SQL can state: per user and term, idf on the user's rated papers
     and the lean of the term towards liked ones; the intercept is the user's like rate - 1/2."""
-    rows = _training(v).select("user_id", "rating_id", "paper_id", "label", F.lit(-1).alias("fold"))
-    counts = _counts(v)
-    vocab = prefmodel.keyed_vocab(rows, counts)
-    seen = retrieval.exploded(rows.join(counts, "paper_id"), ["user_id", "label"])
-    lean = seen.groupBy("user_id", "term").agg(
-        (F.sum(2 * F.col("label") - 1) / (F.count(F.lit(1)) + 1)).alias("coef"))
-    models = vocab.where("fold = 0").join(lean, ["user_id", "term"])
-    meta = rows.groupBy("user_id").agg((F.avg("label") - 0.5).alias("intercept"))
+    rows = _training(v).select("user_id", "paper_id", "label")
+    seen = retrieval.exploded(rows.join(_counts(v), "paper_id"), ["user_id", "label"])
+    totals = seen.groupBy("user_id", "term").agg(
+        F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.sum(2 * F.col("label") - 1).alias("lean"))
+    sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), (F.avg("label") - 0.5).alias("intercept"))
+    models = retrieval.cap_vocab(totals, keys=["user_id"]).join(sizes, "user_id").select(
+        "user_id", "term", retrieval.idf(F.col("n"), F.col("df")).alias("idf"),
+        (F.col("lean") / (F.col("df") + 1)).alias("coef"))
     # Models are tables that retraining has written, so they are written here, too.
-    return written(models.select("user_id", "term", "idf", "coef"), "lift-models"), meta
+    return written(models, "lift-models"), sizes.select("user_id", "intercept")
 
 
 @query
 def keyed_vocab(v):
-    models, _ = _lift_models(v)
-    return models.select("user_id", "term", r6("idf"), r6("coef"))
+    rows = _training(v).select("user_id", "paper_id")
+    counts = retrieval.exploded(rows.join(_counts(v), "paper_id"), ["user_id"])
+    return retrieval.fit_vocab(counts, rows, keys=["user_id"]).select(
+        "user_id", "term", *big("ctf", "df"), r6("idf"))
 
 
 @query

@@ -1,8 +1,8 @@
 """Per-user preference models: training data, folds, fits, evaluation.
 
-Term statistics, vocabularies and folds of all users come from Spark aggregations; Python
-only runs the solver, on one user's packed rows at a time. Users whose data is too large
-for one task are fitted with Spark ML instead, one distributed fit each.
+Spark joins ratings to packed term counts, gates, folds, groups and evaluates; a task then
+fits one user's small model on Arrow data. Users whose texts are too large for one task,
+which is measured beforehand, are fitted with Spark ML instead, one distributed fit each.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +23,7 @@ from dailyfolio.functions.text import ENGLISH_STOP_WORDS, doc_text
 from dailyfolio.operators.papers import ratings_with_text, with_user_id
 from dailyfolio.operators.ranking import CHUNK_ROWS, numbered
 from dailyfolio.operators.retrieval import (
-    BIAS, MAX_FEATURES, cap_vocab, exploded, idf, predict_pairs, sublinear, term_counts)
+    BIAS, MAX_FEATURES, exploded, fit_vocab, predict_pairs, sublinear, term_counts)
 from dailyfolio.session import written
 
 MIN_RATINGS = 30
@@ -97,39 +99,6 @@ def assign_folds(training: DataFrame, k: int = FOLDS, chunk_rows: int = CHUNK_RO
     return placed.join(sizes, "user_id").withColumn("fold", fold).drop("_lead", "_1", "_0", "_pos")
 
 
-def keyed_vocab(rows: DataFrame, counts: DataFrame, folds: int = 0,
-                max_features: int = MAX_FEATURES) -> DataFrame:
-    """Vocabulary of every model: (user_id, fold, term, idf).
-
-    Fold 0 is fitted on all of a user's papers, fold k on those outside block k. The fold
-    statistics are the user's totals minus those of the block, so the papers are read once.
-    """
-    held = range(1, folds + 1)
-
-    def outside(total: Column, part: Column, name: str) -> list[Column]:
-        return [total.alias(f"{name}0")] + [
-            (total - F.coalesce(F.sum(F.when(F.col("fold") == k, part)), F.lit(0)))
-            .alias(f"{name}{k}") for k in held]
-
-    one = F.lit(1)
-    terms = (
-        exploded(rows.select("user_id", "fold", "paper_id").join(counts, "paper_id"),
-                 ["user_id", "fold"])
-        .groupBy("user_id", "term")
-        .agg(*outside(F.sum("tf"), F.col("tf"), "ctf"), *outside(F.count(one), one, "df"))
-    )
-    sizes = rows.groupBy("user_id").agg(*outside(F.count(one), one, "n"))
-    models = range(folds + 1)
-    long = terms.select("user_id", "term", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("fold"), F.col(f"ctf{k}").alias("ctf"), F.col(f"df{k}").alias("df"))
-        for k in models])).alias("_m")).select("user_id", "term", "_m.*").where("ctf > 0")
-    docs = sizes.select("user_id", F.posexplode(F.array(*[F.col(f"n{k}") for k in models]))
-                        .alias("fold", "n_docs"))
-    kept = cap_vocab(long, max_features, ["user_id", "fold"])
-    return kept.join(docs, ["user_id", "fold"]).select(
-        "user_id", "fold", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-
-
 def _solve(rows, cols, vals, y, weight, p):
     """Minimise weighted logistic loss + |w|^2/2 by Newton steps with conjugate gradients.
 
@@ -176,66 +145,126 @@ def _solve(rows, cols, vals, y, weight, p):
     return w
 
 
-def _fit_user(key, docs: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
-    """All models of one user: the weights per term, and the intercept under the bias term."""
-    out = []
-    if len(docs):
-        docs = docs.sort_values("rating_id")
-        lengths = docs["terms"].str.len().fillna(0).to_numpy(dtype=np.int64)
-        row_of = np.repeat(np.arange(len(docs)), lengths)
-        filled = lengths > 0
-        flat = np.concatenate(list(docs["terms"][filled]) or [np.array([], dtype=object)])
-        tf = np.concatenate(list(docs["tfs"][filled]) or [np.array([])])
-        sub = 1 + np.log(tf.astype(float))
-        label = docs["label"].to_numpy(dtype=float)
-        block = docs["fold"].to_numpy()
-        for fold, terms in vocab.groupby("fold"):
-            use = block != fold if fold else np.ones(len(docs), dtype=bool)
-            y = label[use]
-            liked = y.sum()
-            if liked == 0 or liked == len(y):
+class _UserTexts:
+    """One user's rated papers as term occurrences: row, term code, count."""
+
+    def __init__(self, docs: pa.Table):
+        docs = docs.sort_by("rating_id").combine_chunks()
+        self.ids, self.papers = docs["rating_id"], docs["paper_id"]
+        self.label = docs["label"].to_numpy().astype(float)
+        self.fold = docs["fold"].to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(docs["terms"]), 0).to_numpy()
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        encoded = pc.list_flatten(docs["terms"]).combine_chunks().dictionary_encode()
+        # Codes in term order, so that equal counts rank alphabetically.
+        order = pc.sort_indices(encoded.dictionary).to_numpy()
+        self.terms = encoded.dictionary.take(pa.array(order))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.code = place[encoded.indices.to_numpy()]
+        self.tf = pc.list_flatten(docs["tfs"]).to_numpy().astype(float)
+
+    def vocabulary(self, use: np.ndarray, max_features: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the most frequent terms of the rows in use, and their idf."""
+        seen = use[self.row]
+        size = len(self.terms)
+        ctf = np.bincount(self.code[seen], self.tf[seen], minlength=size)
+        kept = np.sort(np.argsort(-ctf, kind="stable")[:max_features])
+        kept = kept[ctf[kept] > 0]
+        df = np.bincount(self.code[seen], minlength=size)[kept]
+        return kept, np.log((1 + use.sum()) / (1 + df)) + 1
+
+    def features(self, use: np.ndarray, kept: np.ndarray, idf_of: np.ndarray):
+        """Entries (row, column, value) of the normalised TF-IDF matrix of the rows in use."""
+        column = np.full(len(self.terms), -1)
+        column[kept] = np.arange(len(kept))
+        inside = use[self.row] & (column[self.code] >= 0)
+        rows = (np.cumsum(use) - 1)[self.row[inside]]
+        cols = column[self.code[inside]]
+        vals = (1 + np.log(self.tf[inside])) * idf_of[cols]
+        norm = np.sqrt(np.bincount(rows, vals * vals, minlength=use.sum()))
+        return rows, cols, vals / norm[rows]
+
+    def fit(self, use: np.ndarray, max_features: int):
+        """Vocabulary codes, idf and weights fitted on the rows in use; None with one class."""
+        y = self.label[use]
+        liked = y.sum()
+        if liked == 0 or liked == len(y):
+            return None
+        kept, idf_of = self.vocabulary(use, max_features)
+        weight = len(y) / (2 * np.where(y == 1, liked, len(y) - liked))
+        return kept, idf_of, _solve(*self.features(use, kept, idf_of), y, weight, len(kept))
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(),
+             "double": pa.float64()}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ddl.split(", "))])
+
+
+FITTED = "user_id bigint, term string, idf double, coef double, n bigint"
+FOLD_SCORES = "user_id bigint, fold int, rating_id bigint, paper_id string, label int, score double"
+
+
+def _user_model(max_features: int):
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        texts = _UserTexts(docs)
+        fitted = texts.fit(np.ones(len(texts.label), dtype=bool), max_features)
+        if fitted is None:
+            return _schema(FITTED).empty_table()
+        kept, idf_of, w = fitted
+        terms = [*texts.terms.take(pa.array(kept)).to_pylist(), BIAS]
+        size = len(terms)
+        return pa.table([
+            [key[0].as_py()] * size, terms, np.append(idf_of, 0.0), w, [len(texts.label)] * size,
+        ], schema=_schema(FITTED))
+
+    return run
+
+
+def _user_fold_scores(max_features: int):
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        texts = _UserTexts(docs)
+        parts = [_schema(FOLD_SCORES).empty_table()]
+        for fold in np.unique(texts.fold):
+            held = texts.fold == fold
+            fitted = texts.fit(~held, max_features)
+            if fitted is None:
                 continue
-            terms = terms.sort_values("term")
-            at = pd.Index(terms["term"]).get_indexer(flat)
-            keep = (at >= 0) & use[row_of]
-            rows = (np.cumsum(use) - 1)[row_of[keep]]
-            cols = at[keep]
-            vals = sub[keep] * terms["idf"].to_numpy()[cols]
-            norm = np.sqrt(np.bincount(rows, vals * vals, minlength=len(y)))
-            vals = vals / norm[rows]
-            weight = np.where(y == 1, len(y) / (2 * liked), len(y) / (2 * (len(y) - liked)))
-            w = _solve(rows, cols, vals, y, weight, len(terms))
-            out.append(pd.DataFrame({
-                "user_id": key[0], "fold": fold, "term": [*terms["term"], BIAS],
-                "idf": [*terms["idf"], 0.0], "coef": w, "n": len(y)}))
-    empty = pd.DataFrame(columns=["user_id", "fold", "term", "idf", "coef", "n"])
-    return pd.concat(out) if out else empty
-
-
-FITTED = "user_id bigint, fold int, term string, idf double, coef double, n bigint"
+            kept, idf_of, w = fitted
+            rows, cols, vals = texts.features(held, kept, idf_of)
+            z = np.bincount(rows, vals * w[cols], minlength=held.sum()) + w[-1]
+            size = int(held.sum())
+            pick = pa.array(held)
+            parts.append(pa.table([
+                [key[0].as_py()] * size, [int(fold)] * size, texts.ids.filter(pick),
+                texts.papers.filter(pick), texts.label[held].astype(np.int32),
+                1 / (1 + np.exp(-z)),
+            ], schema=_schema(FOLD_SCORES)))
+        return pa.concat_tables(parts)
+
+    return run
 
 
 def _to_vector(size, positions, values):
     return Vectors.sparse(size, positions, values)
 
 
-def _fit_distributed(rows: DataFrame, counts: DataFrame, vocab: DataFrame, user: int,
-                     fold: int) -> DataFrame | None:
-    """One model fitted by Spark ML, for a user whose data exceeds a single task."""
-    spark = rows.sparkSession
-    train = rows.where((F.col("user_id") == user) & (F.col("fold") != fold))
+def _fit_distributed(train: DataFrame, counts: DataFrame, user: int,
+                     max_features: int) -> DataFrame | None:
+    """One model fitted by Spark ML, for a user whose texts exceed a single task."""
+    spark = train.sparkSession
     sizes = class_counts(train).first()
     if sizes is None or sizes["classes"] < 2:
         return None
+    postings = exploded(train.join(counts, "paper_id"), ["rating_id"])
     # At most max_features rows, so numbering and broadcasting them is safe.
-    terms = vocab.where((F.col("user_id") == user) & (F.col("fold") == fold)).orderBy("term") \
-        .select("term", "idf").toPandas()
-    numbered_terms = spark.createDataFrame(
+    terms = fit_vocab(postings, train, max_features).orderBy("term").select("term", "idf").toPandas()
+    columns = spark.createDataFrame(
         terms.assign(at=np.arange(len(terms), dtype=np.int32)), "term string, idf double, at int")
-    weight = sublinear(F.col("tf")) * F.col("idf")
     packed = (
-        exploded(train.join(counts, "paper_id"), ["rating_id"])
-        .join(F.broadcast(numbered_terms), "term").withColumn("w", weight)
+        postings.join(F.broadcast(columns), "term")
+        .withColumn("w", sublinear(F.col("tf")) * F.col("idf"))
         .groupBy("rating_id").agg(
             F.sort_array(F.collect_list(F.struct("at", "w"))).alias("_v"),
             F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
@@ -243,62 +272,84 @@ def _fit_distributed(rows: DataFrame, counts: DataFrame, vocab: DataFrame, user:
                 F.transform("_v.w", lambda x: x / F.col("_norm")).alias("vals"))
     )
     vector = F.udf(_to_vector, VectorUDT())
-    data = balanced_weights(train, ["user_id"]).join(packed, "rating_id", "left").select(
+    data = balanced_weights(train).join(packed, "rating_id", "left").select(
         F.col("label").cast("double").alias("label"), "weight",
         vector(F.lit(len(terms)), F.coalesce("at", F.array().cast("array<int>")),
                F.coalesce("vals", F.array().cast("array<double>"))).alias("features"))
     n = sizes["n"]
     fit = LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False,
                              weightCol="weight", maxIter=1000, tol=1e-10).fit(data)
-    result = terms.assign(user_id=user, fold=fold, coef=fit.coefficients.toArray(), n=n)
-    bias = pd.DataFrame({"user_id": [user], "fold": [fold], "term": [BIAS], "idf": [0.0],
-                         "coef": [fit.intercept], "n": [n]})
-    columns = [c.split()[0] for c in FITTED.split(", ")]
-    return spark.createDataFrame(pd.concat([result, bias])[columns], FITTED)
+    rows = pd.DataFrame({
+        "user_id": user, "term": [*terms["term"], BIAS], "idf": [*terms["idf"], 0.0],
+        "coef": [*fit.coefficients.toArray(), fit.intercept], "n": n})
+    return spark.createDataFrame(rows, FITTED)
+
+
+def _trainable(training: DataFrame, min_ratings: int) -> DataFrame:
+    keep = [c for c in ("user_id", "rating_id", "paper_id", "label", "fold") if c in training.columns]
+    return training.select(*keep).join(
+        trainable_users(training, min_ratings).select("user_id"), "user_id", "left_semi")
+
 
+def _large_users(rows: DataFrame, counts: DataFrame, local_terms: int) -> list[int]:
+    """Users whose rated papers hold more terms than one task may take."""
+    lengths = counts.select("paper_id", F.size("terms").alias("_t"))
+    totals = rows.join(lengths, "paper_id").groupBy("user_id").agg(F.sum("_t").alias("_t"))
+    return [r["user_id"] for r in totals.where(F.col("_t") > local_terms).select("user_id").collect()]
 
-def fit_models(training: DataFrame, counts: DataFrame, folds: int = 0,
-               max_features: int = MAX_FEATURES, min_ratings: int = MIN_RATINGS,
-               local_terms: int = LOCAL_TERMS) -> DataFrame:
+
+def _with_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows with their packed terms; a paper without any gets empty lists."""
+    return rows.join(counts, "paper_id", "left").withColumns({
+        "terms": F.coalesce("terms", F.array().cast("array<string>")),
+        "tfs": F.coalesce("tfs", F.array().cast("array<int>"))})
+
+
+def fit_models(training: DataFrame, counts: DataFrame, max_features: int = MAX_FEATURES,
+               min_ratings: int = MIN_RATINGS, local_terms: int = LOCAL_TERMS) -> DataFrame:
     """L2 logistic regressions (C=1, balanced classes) on each user's own TF-IDF features.
 
-    Fold 0 is the model on all ratings; with ``folds`` there is one more per held-out block.
-    Returns rows (user_id, fold, term, idf, coef, n); the intercept is the row of the bias
-    term. Users below the rating gate or with one class get no row.
+    Returns rows (user_id, term, idf, coef, n); the intercept is the row of the bias term.
+    Users below the rating gate or with one class get no row. A user's packed rows meet in
+    one task only if their terms fit there, which is measured first.
     """
-    ready = training.select("user_id", "rating_id", "paper_id", "label").join(
-        trainable_users(training, min_ratings).select("user_id"), "user_id", "left_semi")
-    if folds:
-        rows = assign_folds(ready, folds)
-    else:
-        rows = ready.withColumn("fold", F.lit(-1))
-    rows, counts = written(rows, "training"), written(counts, "training-counts")
-    sizes = rows.join(counts.select("paper_id", F.size("terms").alias("_t")), "paper_id") \
-        .groupBy("user_id").agg(F.sum("_t").alias("_t")).where(F.col("_t") > local_terms)
-    large = [r["user_id"] for r in sizes.select("user_id").collect()]
-    vocab = keyed_vocab(rows, counts, folds, max_features)
-    if large:
-        vocab = written(vocab, "training-vocab")
-    small = ~F.col("user_id").isin(large)
-    docs = rows.where(small).join(counts, "paper_id", "left").select(
-        "user_id", "rating_id", "label", "fold", "terms", "tfs")
-    terms = vocab.where(small).select(F.col("user_id").alias("owner"), "fold", "term", "idf")
-    fitted = (
-        docs.groupBy("user_id").cogroup(terms.groupBy("owner"))
-        .applyInPandas(_fit_user, FITTED)
-    )
+    rows = written(_trainable(training, min_ratings), "training")
+    counts = written(counts, "training-counts")
+    large = _large_users(rows, counts, local_terms)
+    local = _with_terms(rows.where(~F.col("user_id").isin(large)), counts)
+    fitted = local.withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
+        _user_model(max_features), FITTED)
     for user in large:
-        for fold in range(folds + 1):
-            one = _fit_distributed(rows, counts, vocab, user, fold)
-            fitted = fitted if one is None else fitted.unionByName(one)
+        one = _fit_distributed(rows.where(F.col("user_id") == user), counts, user, max_features)
+        fitted = fitted if one is None else fitted.unionByName(one)
     return fitted
 
 
+def fold_scores(training: DataFrame, counts: DataFrame, k: int = FOLDS,
+                max_features: int = MAX_FEATURES, min_ratings: int = MIN_RATINGS,
+                local_terms: int = LOCAL_TERMS) -> DataFrame:
+    """Every rating scored by the model fitted without its fold (vocabulary included)."""
+    rows = written(assign_folds(_trainable(training, min_ratings), k), "folds")
+    counts = written(counts, "fold-counts")
+    large = _large_users(rows, counts, local_terms)
+    local = _with_terms(rows.where(~F.col("user_id").isin(large)), counts)
+    scores = local.groupBy("user_id").applyInArrow(_user_fold_scores(max_features), FOLD_SCORES)
+    for user in large:
+        own = rows.where(F.col("user_id") == user)
+        for fold in range(1, k + 1):
+            one = _fit_distributed(own.where(F.col("fold") != fold), counts, user, max_features)
+            if one is not None:
+                models, meta = split_fitted(one)
+                held = predict_pairs(own.where(F.col("fold") == fold), counts, models, meta,
+                                     digits=None)
+                scores = scores.unionByName(held.select(*scores.columns))
+    return scores
+
+
 def split_fitted(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tables ``models`` and ``model_meta`` from fitted rows."""
-    models = fitted.where(F.col("term") != BIAS).select("user_id", "fold", "term", "idf", "coef")
-    meta = fitted.where(F.col("term") == BIAS).select(
-        "user_id", "fold", "n", F.col("coef").alias("intercept"))
+    """The tables ``models`` and ``model_meta`` (without scores) from fitted rows."""
+    models = fitted.where(F.col("term") != BIAS).select("user_id", "term", "idf", "coef")
+    meta = fitted.where(F.col("term") == BIAS).select("user_id", F.col("coef").alias("intercept"), "n")
     return models, meta
 
 
@@ -347,18 +398,10 @@ def cv_summary(fold_aucs: DataFrame) -> DataFrame:
         F.avg("auc").alias("cv_auc_mean"), F.stddev_pop("auc").alias("cv_auc_std"))
 
 
-def fold_predictions(fitted: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Held-out ratings (user_id, fold, rating_id, paper_id, label) scored by their fold's model."""
-    models, meta = split_fitted(fitted)
-    return predict_pairs(rows, counts, models, meta, ["user_id", "fold"], digits=None)
-
-
 def cross_validate(training: DataFrame, counts: DataFrame, k: int = FOLDS, **fit) -> DataFrame:
-    """Mean and deviation of the AUC over k held-out blocks; a report, not a gate."""
-    counts = written(counts, "cv-counts")
-    fitted = written(fit_models(training, counts, folds=k, **fit), "cv-models")
-    rows = assign_folds(training.drop("text"), k)
-    return cv_summary(roc_auc(fold_predictions(fitted.where("fold > 0"), rows, counts)))
+    """Mean and deviation of the AUC over k held-out folds; a report, not a gate."""
+    scores = written(fold_scores(training, counts, k, **fit), "fold-scores")
+    return cv_summary(roc_auc(scores))
 
 
 def pref_scores(passed: DataFrame, counts: DataFrame, models: DataFrame,

@@ -23,7 +23,7 @@ from dailyfolio.session import written
 MAX_FEATURES = 5000
 TOP_N = 30
 # Rows of a query block that may be broadcast (about 100 bytes each).
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 2_000_000
 # Ranks are taken on rounded scores, so that ties do not hang on summation order.
 DIGITS = 6
 

@@ -14,9 +14,9 @@ RATINGS = "id bigint, user_chat_id bigint, paper_id string, score smallint, crea
 
 DIGEST_LOG = "user_id bigint, paper_id string, sent_at timestamp"
 
-MODELS = "user_id bigint, fold int, term string, idf double, coef double"
+MODELS = "user_id bigint, term string, idf double, coef double"
 
-MODEL_META = "user_id bigint, fold int, n bigint, intercept double"
+MODEL_META = """user_id bigint, intercept double, n bigint, cv_auc_mean double, cv_auc_std double"""
 
 TABLES = {
     "users": USERS,
