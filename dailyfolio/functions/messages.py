@@ -58,7 +58,10 @@ def parse_score_reply(text: Column) -> Column:
 
     A missing or unreadable score counts as 0, a missing reason as empty.
     """
-    items = F.from_json(strip_code_fence(text), SCORE_REPLY)
+    # Wrapped in one more list, anything before or after the array is an error.
+    wrapped = F.from_json(
+        F.concat(F.lit("["), strip_code_fence(text), F.lit("]")), f"array<{SCORE_REPLY}>")
+    items = F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
     return F.transform(items, lambda item: F.struct(
         F.coalesce(item["score"].try_cast("double"), F.lit(0.0)).alias("score"),
         F.coalesce(item["reason"], F.lit("")).alias("reason"),

@@ -278,7 +278,7 @@ def _fit_distributed(train: DataFrame, counts: DataFrame, user: int,
                F.coalesce("vals", F.array().cast("array<double>"))).alias("features"))
     n = sizes["n"]
     fit = LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False,
-                             weightCol="weight", maxIter=1000, tol=1e-10).fit(data)
+                             weightCol="weight", maxIter=1000, tol=1e-8).fit(data)
     rows = pd.DataFrame({
         "user_id": user, "term": [*terms["term"], BIAS], "idf": [*terms["idf"], 0.0],
         "coef": [*fit.coefficients.toArray(), fit.intercept], "n": n})

@@ -308,8 +308,8 @@ def predict_pairs(pairs: DataFrame, counts: DataFrame, models: DataFrame, meta:
     Joins on model and term together, so frequent terms do not pile up.
     """
     keys = list(keys)
-    texts = exploded(pairs.select(*keys, "paper_id").join(counts, "paper_id"),
-                     [*keys, "paper_id"])
+    wanted = pairs.select(*keys, "paper_id").distinct()
+    texts = exploded(wanted.join(counts, "paper_id"), [*keys, "paper_id"])
     w = sublinear(F.col("tf")) * F.col("idf")
     sums = (
         texts.join(models.select(*keys, "term", "idf", "coef"), [*keys, "term"])
