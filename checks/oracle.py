@@ -505,6 +505,26 @@ SQL.update({
 })
 
 
+SQL.update({
+    "strip_code_fence": """
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ltrim(text, ws) || chr(10) ELSE trim(text, ws) END AS text
+FROM conversations, (SELECT ' ' || chr(9) || chr(10) || chr(13) AS ws)""",
+    "parse_score_reply": """
+SELECT user_id, batch_no, pos_in_batch - 1 AS pos, CAST(coalesce(llm_score, 0) AS DOUBLE) AS score, coalesce(llm_explanation, '') AS reason
+FROM batched_v WHERE (user_id + batch_no) % 5 IN (0, 1)
+UNION ALL
+SELECT DISTINCT user_id, batch_no, 0, 9.0, 'one' FROM batched_v WHERE (user_id + batch_no) % 5 = 3""",
+    "like_label": "SELECT id, CASE WHEN score = 1 THEN 0 ELSE 1 END AS label FROM parsed_fx",
+    "pref_score": "SELECT event_id, CAST(10 / (1 + exp(1 - value / 100)) AS DECIMAL(4,2)) AS pref_score FROM events",
+    "read_updates_kinds": "SELECT event_id AS update_id, unnest(['rating', 'message']) AS kind FROM events",
+    "load_tables": """
+SELECT u.user_id, u.chat_id, s.scores, r.ratings FROM users_fx u
+LEFT JOIN (SELECT user_id, count(*) AS scores FROM scores_fx WHERE final_score >= 6 GROUP BY 1) s USING (user_id)
+LEFT JOIN (SELECT user_chat_id, count(*) AS ratings FROM ratings_fx GROUP BY 1) r ON r.user_chat_id = u.chat_id
+WHERE u.active""",
+})
+
+
 def oracle() -> dict[str, str]:
     made = {}
     for name, body in SQL.items():

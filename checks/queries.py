@@ -143,7 +143,7 @@ def combine_sources(v):
 
     ordered = [part(n).withColumn("arrival", F.struct(F.lit(i).alias("source_pos"), "arrival"))
                for i, n in enumerate(("arxiv", "semantic_scholar", "pubmed"))]
-    return ranking.dedup_first(papers.union_all(*ordered)).select("id", "source")
+    return feeds.combine(*ordered).select("id", "source")
 
 
 @query
@@ -315,6 +315,17 @@ def settings_from_log(v):
 
 # --- scores and digests ------------------------------------------------------------------
 
+@query
+def like_label(v):
+    return v["parsed_fx"].select("id", score_fn.like_label(F.col("score")).alias("label"))
+
+
+@query
+def pref_score(v):
+    return v["events"].select("event_id", score_fn.pref_score(
+        score_fn.sigmoid(F.col("value") / 100 - 1)).alias("pref_score"))
+
+
 @query
 def final_score(v):
     return v["score_events_fx"].select(
@@ -500,6 +511,20 @@ def apply_scorer(v):
     return scoring.apply_scorer(_requests(v), scoring.overlap_scorer)
 
 
+@query
+def strip_code_fence(v):
+    fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```  "))
+    return v["conversations"].select("conv_id", "turn", messages.strip_code_fence(
+        F.when(F.col("turn") % 2 == 0, fenced).otherwise(F.col("text"))).alias("text"))
+
+
+@query
+def parse_score_reply(v):
+    return _replies(v).select(
+        "user_id", "batch_no", F.posexplode(messages.parse_score_reply(F.col("reply"))).alias("pos", "item")
+    ).select("user_id", *big("batch_no", "pos"), "item.score", "item.reason")
+
+
 # --- retrieval ---------------------------------------------------------------------------
 
 def _index(v):
@@ -806,7 +831,10 @@ def _store(v, *names: str) -> TableStore:
         "digest_log": lambda: v["digest_log_fx"],
     }
     for name in names:
-        store.replace(name.removeprefix("all_"), content[name]())
+        if name == "paper_scores":
+            store.replace_days(name, content[name]())
+        else:
+            store.replace(name.removeprefix("all_"), content[name]())
     return store
 
 
@@ -838,6 +866,24 @@ def _land_updates(v) -> str:
 ALL_FILES = 1_000_000
 
 
+@query
+def read_updates_kinds(v):
+    return read_updates(v.spark, _land_updates(v), stream=False).select("update_id", "kind")
+
+
+@query
+def load_tables(v):
+    """Scans of stored tables with filters and columns pushed into the files."""
+    store = _store(v, "users", "ratings", "paper_scores")
+    scores = store.load("paper_scores").where(F.col("final_score") >= 6).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("scores"))
+    rated = store.load("ratings").groupBy(F.col("user_chat_id").alias("chat_id")).agg(
+        F.count(F.lit(1)).alias("ratings"))
+    people = users.active_users(store.load("users")).select(F.col("id").alias("user_id"), "chat_id")
+    return people.join(scores, "user_id", "left").join(rated, "chat_id", "left").select(
+        "user_id", "chat_id", "scores", "ratings")
+
+
 @query
 def rating_stream(v):
     store = _store(v, "all_papers")

@@ -29,7 +29,7 @@ from dailyfolio.session import written
 MIN_RATINGS = 30
 FOLDS = 5
 # Distinct terms, summed over a user's rated papers, that one task may hold.
-LOCAL_TERMS = 8_000_000
+LOCAL_TERMS = 5_000_000
 
 
 def training_set(ratings: DataFrame, papers: DataFrame, users: DataFrame) -> DataFrame:
@@ -292,10 +292,16 @@ def _trainable(training: DataFrame, min_ratings: int) -> DataFrame:
 
 
 def _large_users(rows: DataFrame, counts: DataFrame, local_terms: int) -> list[int]:
-    """Users whose rated papers hold more terms than one task may take."""
+    """Users whose rated papers hold more terms than one task may take.
+
+    There are at most (all terms / local_terms) of them, each worth a job of its own.
+    """
     lengths = counts.select("paper_id", F.size("terms").alias("_t"))
-    totals = rows.join(lengths, "paper_id").groupBy("user_id").agg(F.sum("_t").alias("_t"))
-    return [r["user_id"] for r in totals.where(F.col("_t") > local_terms).select("user_id").collect()]
+    weight = 1 + F.coalesce("_t", F.lit(0))
+    totals = rows.join(lengths, "paper_id", "left").groupBy("user_id").agg(
+        F.sum(weight).alias("_terms"))
+    large = totals.where(F.col("_terms") > local_terms).select("user_id")
+    return [r["user_id"] for r in large.collect()]
 
 
 def _with_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:

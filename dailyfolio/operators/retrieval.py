@@ -145,17 +145,23 @@ class PaperIndex:
     vocab: DataFrame
     vectors: DataFrame
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS
+    max_features: int = MAX_FEATURES
 
     def postings(self) -> DataFrame:
         return exploded(self.vectors, ["paper_id"], "weights", "weight")
 
     def materialize(self) -> PaperIndex:
-        """The index written to the scratch folder, for use by several jobs."""
-        counts = written(self.counts, "index-counts")
-        vocab = written(self.vocab, "index-vocab")
-        vectors = written(tfidf(counts.repartition("paper_id"), vocab, ["paper_id"]),
-                          "index-vectors")
-        return PaperIndex(counts.select("paper_id"), counts, vocab, vectors, self.stop_words)
+        """The index written to the scratch folder, for use by several jobs.
+
+        What is read back is partitioned by paper again, one packed row each: scoring then
+        adds up in place instead of shuffling every (paper, user) pair.
+        """
+        counts = written(self.counts, "index-counts").repartition("paper_id")
+        vocab = written(fit_vocab(exploded(counts, ["paper_id"]), counts, self.max_features),
+                        "index-vocab")
+        vectors = written(tfidf(counts, vocab, ["paper_id"]), "index-vectors")
+        return PaperIndex(counts.select("paper_id"), counts, vocab,
+                          vectors.repartition("paper_id"), self.stop_words, self.max_features)
 
 
 def build_index(papers: DataFrame, max_features: int = MAX_FEATURES,
@@ -172,7 +178,7 @@ def build_index(papers: DataFrame, max_features: int = MAX_FEATURES,
     )
     vocab = fit_vocab(exploded(counts, ["paper_id"]), papers, max_features)
     return PaperIndex(papers.select(F.col("id").alias("paper_id")), counts, vocab,
-                      tfidf(counts, vocab, ["paper_id"]), stop_words)
+                      tfidf(counts, vocab, ["paper_id"]), stop_words, max_features)
 
 
 def by_blocks(queries: DataFrame, rows: int, score: Callable[[DataFrame], DataFrame],

@@ -34,6 +34,16 @@ class DigestRun:
     summary: DataFrame
 
 
+def store_scores(store: TableStore, scored: DataFrame, as_of: dt.date) -> None:
+    """Upsert scores, rewriting only today and the days that hold a re-scored pair."""
+    known = store.load("paper_scores")
+    if "scored_on" in known.columns:
+        days = store.days_with("paper_scores", scored.select("paper_id", "user_id"))
+        known = known.where(F.col("scored_on").isin([*days, as_of])).drop("scored_on")
+    now = dt.datetime.combine(as_of, dt.time())
+    store.replace_days("paper_scores", upsert_scores(known, scored, now))
+
+
 def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date, scorer: Scorer,
                  dry_run: bool = False, chat_id: int | None = None, days_back: int = 1,
                  top_n: int = TOP_N, categories: Sequence[str] = (),
@@ -78,7 +88,7 @@ def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date,
     else:
         prefs = pref_scores(scored.where("has_model"), index.counts, models, meta)
         full = attach_pref(scored, prefs)
-        store.replace("paper_scores", upsert_scores(store.load("paper_scores"), full, now))
+        store_scores(store, written(full, "full-scores"), as_of)
         digest = unsent_digest(store.load("paper_scores"), store.load("digest_log"),
                                store.load("papers"), settings, as_of, days_back)
     counts = rating_counts(store.load("ratings"), settings)

@@ -43,11 +43,14 @@ def rating_stream(updates: DataFrame, store: TableStore, checkpoint: str,
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        parsed = parsed_ratings(batch)
-        papers = store.load("papers")
+        parsed = parsed_ratings(batch).persist()
+        # The papers this batch mentions: a small set, found without shuffling the store.
+        papers = store.load("papers").select("id").join(
+            parsed.select(F.col("paper_id").alias("id")), "id", "left_semi")
         accepted = accepted_ratings(parsed, papers)
         store.append("ratings", new_ratings(store.load("ratings"), accepted), f"b{batch_id}")
         store.append("rejected_ratings", refused_ratings(parsed, papers), f"b{batch_id}")
+        parsed.unpersist()
 
     writer = rating_updates(updates).writeStream.foreachBatch(apply).option(
         "checkpointLocation", checkpoint)
