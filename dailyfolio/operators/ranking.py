@@ -12,7 +12,8 @@ from dailyfolio.functions.text import title_hash
 # row_number() <= n is pruned before the shuffle only up to this many rows per key
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 PRUNED_BEFORE_SHUFFLE = 1000
-SALTS = 32
+# Slices of a key that are ranked on their own first; fewer when each may keep many rows.
+SALTS, SALTS_LARGE = 32, 8
 CHUNK_ROWS = 1_000_000
 
 
@@ -20,7 +21,7 @@ def keep_ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
                 rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key; their position is kept as ``rank`` if named."""
     if n > PRUNED_BEFORE_SHUFFLE:
-        return top_n_by(df, keys, order, F.lit(n), rank)
+        return top_n_by(df, keys, order, F.lit(n), rank, salts=SALTS_LARGE)
     name = rank or "_rn"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = out.where(F.col(name) <= n)
@@ -28,17 +29,18 @@ def keep_ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 
 def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: Column,
-             rank: str | None = None, salt: Sequence[str] | None = None) -> DataFrame:
+             rank: str | None = None, salt: Sequence[str] | None = None,
+             salts: int = SALTS) -> DataFrame:
     """As ``keep_ranked`` with a limit taken from each row.
 
     Ranks first inside salted slices of a key, then over the survivors: at most
-    ``SALTS * limit`` rows of a key meet in one task, and the result is exact.
+    ``salts * limit`` rows of a key meet in one task, and the result is exact.
     """
     name = rank or "_rn"
     by = [F.col(c) for c in (salt or [c for c in df.columns if c not in keys])]
     out = (
         df.withColumn("_limit", limit)
-        .withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+        .withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
         .where("_rn <= _limit").drop("_rn", "_salt")
         .withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
