@@ -15,7 +15,7 @@ from dailyfolio.operators import (
 from dailyfolio.plans import daily, feedback, retrain
 from dailyfolio.plans.ingest import ingest as run_ingest
 from dailyfolio.plans.summary import run_summary
-from dailyfolio.session import scratch_path, written
+from dailyfolio.session import scratch_path, spread, written
 from dailyfolio.sources import feeds
 from dailyfolio.sources.tables import TableStore
 from dailyfolio.sources.updates import read_updates
@@ -588,7 +588,7 @@ def _counts(v):
 def _lift_models(v):
     """Linear models that SQL can state: per user and term, idf on the user's rated papers
     and the lean of the term towards liked ones; the intercept is the user's like rate - 1/2."""
-    rows = _training(v).select("user_id", "paper_id", "label")
+    rows = spread(_training(v).select("user_id", "rating_id", "paper_id", "label"), "rating_id")
     seen = retrieval.exploded(rows.join(_counts(v), "paper_id"), ["user_id", "label"])
     totals = seen.groupBy("user_id", "term").agg(
         F.sum("tf").alias("ctf"), F.count(F.lit(1)).alias("df"), F.sum(2 * F.col("label") - 1).alias("lean"))
@@ -602,7 +602,7 @@ def _lift_models(v):
 
 @query
 def keyed_vocab(v):
-    rows = _training(v).select("user_id", "paper_id")
+    rows = spread(_training(v).select("user_id", "rating_id", "paper_id"), "rating_id")
     counts = retrieval.exploded(rows.join(_counts(v), "paper_id"), ["user_id"])
     return retrieval.fit_vocab(counts, rows, keys=["user_id"]).select(
         "user_id", "term", *big("ctf", "df"), r6("idf"))

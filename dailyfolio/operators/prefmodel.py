@@ -24,7 +24,7 @@ from dailyfolio.operators.papers import ratings_with_text, with_user_id
 from dailyfolio.operators.ranking import CHUNK_ROWS, numbered
 from dailyfolio.operators.retrieval import (
     BIAS, MAX_FEATURES, exploded, fit_vocab, predict_pairs, sublinear, term_counts)
-from dailyfolio.session import written
+from dailyfolio.session import spread, written
 
 MIN_RATINGS = 30
 FOLDS = 5
@@ -42,10 +42,15 @@ def training_set(ratings: DataFrame, papers: DataFrame, users: DataFrame) -> Dat
 
 def rated_counts(ratings: DataFrame, papers: DataFrame,
                  stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """Packed term counts, once per rated paper however often it was rated."""
+    """Packed term counts, once per rated paper however often it was rated.
+
+    Partitioned by paper: the exchange also keeps a later join from counting the terms
+    again for every rating of a paper.
+    """
     rated = papers.join(ratings.select(F.col("paper_id").alias("id")), "id", "left_semi")
-    return term_counts(rated.withColumnRenamed("id", "paper_id"), ["paper_id"],
-                       doc_text(F.col("title"), F.col("abstract")), stop_words)
+    counts = term_counts(rated.withColumnRenamed("id", "paper_id"), ["paper_id"],
+                         doc_text(F.col("title"), F.col("abstract")), stop_words)
+    return spread(counts, "paper_id")
 
 
 def class_counts(training: DataFrame) -> DataFrame:
@@ -257,7 +262,7 @@ def _fit_distributed(train: DataFrame, counts: DataFrame, user: int,
     sizes = class_counts(train).first()
     if sizes is None or sizes["classes"] < 2:
         return None
-    postings = exploded(train.join(counts, "paper_id"), ["rating_id"])
+    postings = exploded(spread(train, "rating_id").join(counts, "paper_id"), ["rating_id"])
     # At most max_features rows, so numbering and broadcasting them is safe.
     terms = fit_vocab(postings, train, max_features).orderBy("term").select("term", "idf").toPandas()
     columns = spark.createDataFrame(

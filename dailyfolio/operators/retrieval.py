@@ -18,7 +18,7 @@ from dailyfolio.functions.scores import sigmoid
 from dailyfolio.functions.text import (
     ENGLISH_STOP_WORDS, doc_text, ngrams, remove_stop_words, tokens)
 from dailyfolio.operators.ranking import keep_ranked
-from dailyfolio.session import written
+from dailyfolio.session import spread, written
 
 MAX_FEATURES = 5000
 TOP_N = 30
@@ -156,12 +156,12 @@ class PaperIndex:
         What is read back is partitioned by paper again, one packed row each: scoring then
         adds up in place instead of shuffling every (paper, user) pair.
         """
-        counts = written(self.counts, "index-counts").repartition("paper_id")
+        counts = spread(written(self.counts, "index-counts"), "paper_id")
         vocab = written(fit_vocab(exploded(counts, ["paper_id"]), counts, self.max_features),
                         "index-vocab")
         vectors = written(tfidf(counts, vocab, ["paper_id"]), "index-vectors")
         return PaperIndex(counts.select("paper_id"), counts, vocab,
-                          vectors.repartition("paper_id"), self.stop_words, self.max_features)
+                          spread(vectors, "paper_id"), self.stop_words, self.max_features)
 
 
 def build_index(papers: DataFrame, max_features: int = MAX_FEATURES,
@@ -172,10 +172,8 @@ def build_index(papers: DataFrame, max_features: int = MAX_FEATURES,
     the counts (vocabulary and vectors) reuse that exchange.
     """
     text = doc_text(F.col("title"), F.col("abstract"))
-    counts = (
-        term_counts(papers.withColumnRenamed("id", "paper_id"), ["paper_id"], text, stop_words)
-        .repartition("paper_id")
-    )
+    named = papers.withColumnRenamed("id", "paper_id")
+    counts = spread(term_counts(named, ["paper_id"], text, stop_words), "paper_id")
     vocab = fit_vocab(exploded(counts, ["paper_id"]), papers, max_features)
     return PaperIndex(papers.select(F.col("id").alias("paper_id")), counts, vocab,
                       tfidf(counts, vocab, ["paper_id"]), stop_words, max_features)
@@ -314,7 +312,7 @@ def predict_pairs(pairs: DataFrame, counts: DataFrame, models: DataFrame, meta:
     Joins on model and term together, so frequent terms do not pile up.
     """
     keys = list(keys)
-    wanted = pairs.select(*keys, "paper_id").distinct()
+    wanted = spread(pairs.select(*keys, "paper_id"), *keys, "paper_id").distinct()
     texts = exploded(wanted.join(counts, "paper_id"), [*keys, "paper_id"])
     w = sublinear(F.col("tf")) * F.col("idf")
     sums = (

@@ -58,5 +58,15 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df, *cols):
+    """``df`` hash-partitioned by ``cols`` into the configured number of partitions.
+
+    For packed rows that are exploded next: with the number given, AQE does not merge
+    partitions by their packed size, which says little about the work in them.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def as_date(as_of: dt.date | str) -> dt.date:
     return dt.date.fromisoformat(as_of) if isinstance(as_of, str) else as_of
