@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 SCRATCH_CONF = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}
 
 
 def local_session(app: str = "dailyfolio", cores: int | str = "*", partitions: int = 8,
@@ -30,17 +31,18 @@ def local_session(app: str = "dailyfolio", cores: int | str = "*", partitions: i
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only made up in local mode; on a cluster executors on other
-    machines could not read it, so an unset folder is an error there.
+    Only a local session without the setting gets a folder of its own (as in tests); on a cluster
+    executors on other machines could not read it, so an unset folder is an error there.
     """
     configured = spark.conf.get(SCRATCH_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SCRATCH_CONF} to a folder that every executor can reach")
-    made = tempfile.mkdtemp(prefix="dailyfolio-")
-    spark.conf.set(SCRATCH_CONF, made)
-    return made
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="dailyfolio-")
+    return _own_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
