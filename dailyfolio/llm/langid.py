@@ -1,6 +1,6 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is the sublinear TF-IDF vector of its letter n-grams (one to four, inside and across word
+A text is the sublinear TF-IDF vector of its letter n-grams (one to three, inside and across word
 edges), hashed to a fixed number of features and normalised. The labelled texts of each language
 are clustered by spherical k-means; a text takes the language of the centroid with the largest
 cosine, and is rejected if that cosine is far below what texts of its length reach.
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dailyfolio.llm.words import blocks, codes_of, mix, tables
+from dailyfolio.llm.words import blocks, codes_of, tables
 
-FEATURES = 4096
-ORDERS = (1, 2, 3, 4)
+FEATURE_BITS = 14
+FEATURES = 1 << FEATURE_BITS
+ORDERS = (1, 2, 3)
 CENTROIDS = 4
 #: Expected labelled texts per language that the centroids are fitted on (chosen by a hash of the id).
 FIT_TEXTS = 400
@@ -31,30 +32,41 @@ LOWEST = 0.005
 LENGTHS = 24
 UNKNOWN = "und"
 
+#: Texts and code points whose dense vectors are held at once.
+BLOCK = (100_000, 32)
+
 _SPACE = np.uint32(32)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts (texts x FEATURES) and the number of letters of each text."""
+    """Feature counts (texts x FEATURES) and the number of letters of each text.
+
+    Runs of other characters are one space, which counts only between or beside letters.
+    """
     t = tables()
     out = np.zeros((len(texts), FEATURES), np.float32)
     letters = np.zeros(len(texts), np.int64)
+    longest = max(ORDERS)
     for i, text in enumerate(texts):
         codes = codes_of(text)
         for at in range(0, len(codes), 1_000_000):
-            part = np.minimum(codes[max(0, at - max(ORDERS) + 1):at + 1_000_000], 0x20000)
+            lead = min(at, longest - 1)
+            part = np.minimum(codes[at - lead:at + 1_000_000], 0x20000)
             letter = t.letter[part]
-            letters[i] += int(letter[-len(codes[at:at + 1_000_000]):].sum())
+            letters[i] += int(letter[lead:].sum())
             part = np.where(letter, t.lower[part], _SPACE)
             keep = np.ones(len(part), bool)
             keep[1:] = letter[1:] | letter[:-1]
             part = part[keep].astype(np.uint64)
             gram = np.zeros(len(part), np.uint64)
-            for n in range(1, max(ORDERS) + 1):
-                gram = gram[:len(part) - n + 1] * np.uint64(0x1FFFFF) + part[n - 1:]
-                if n in ORDERS and len(gram):
-                    bucket = (mix(gram + np.uint64(n)) >> np.uint64(40)).astype(np.int64) % FEATURES
-                    out[i] += np.bincount(bucket, minlength=FEATURES)
+            buckets = []
+            for n in range(1, longest + 1):
+                gram = gram[:max(0, len(part) - n + 1)] * np.uint64(0x1FFFFF) + part[n - 1:]
+                if n in ORDERS:
+                    known = gram[part[:len(gram)] != _SPACE] if n == 1 else gram
+                    buckets.append((known + np.uint64(n)) * _SPREAD >> np.uint64(64 - FEATURE_BITS))
+            out[i] += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=FEATURES)
     return out, letters
 
 
@@ -111,6 +123,23 @@ class Model:
             "rejected": none | (score < self.floors[_length(letters)])})
 
 
+def _floors(lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The smallest cosine that each class of length passes with.
+
+    Classes with too few texts take that of the nearest shorter one; below the first, where
+    a handful of n-grams says little, a quarter of it is enough.
+    """
+    floors = np.full(LENGTHS, np.nan)
+    for j in range(LENGTHS):
+        near = cosines[np.abs(lengths - j) <= 1]
+        if len(near) >= 20:
+            floors[j] = REJECT_SHARE * np.quantile(near, LOWEST)
+        elif j:
+            floors[j] = floors[j - 1]
+    first = floors[~np.isnan(floors)]
+    return np.where(np.isnan(floors), first[0] / 4 if len(first) else 0.0, floors)
+
+
 def is_training(doc_id) -> F.Column:
     """Whether a document may be learned from: three of four, by CRC-32 of the id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
@@ -119,7 +148,7 @@ def is_training(doc_id) -> F.Column:
 def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen = np.zeros(FEATURES + 1, np.int64)
     for batch in batches:
-        for _, texts in blocks(batch["text"], 200_000):
+        for _, texts in blocks(batch["text"], *BLOCK):
             seen[:FEATURES] += (_counts(texts)[0] > 0).sum(0)
             seen[FEATURES] += len(texts)
     yield pd.DataFrame({"feature": np.arange(FEATURES + 1), "df": seen})
@@ -148,7 +177,7 @@ def fit(docs: DataFrame) -> Model:
               .filter(share * F.col("count") < FIT_TEXTS).select("lang", "text"))
 
     def fitted(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x, letters = [np.concatenate(p) for p in zip(*(_vectors(b, idf) for _, b in blocks(group["text"].sort_values(), 200_000)))]
+        x, letters = [np.concatenate(p) for p in zip(*(_vectors(b, idf) for _, b in blocks(group["text"].sort_values(), *BLOCK)))]
         x, letters = x[letters > 0], letters[letters > 0]
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "lengths": [], "cosines": []})
@@ -164,11 +193,7 @@ def fit(docs: DataFrame) -> Model:
     centroids = np.array([np.frombuffer(b, np.float32) for b in made["centroid"]], np.float32).reshape(-1, FEATURES)
     lengths = np.frombuffer(b"".join(made["lengths"]), np.int32)
     cosines = np.frombuffer(b"".join(made["cosines"]), np.float32)
-    floors = np.zeros(LENGTHS)
-    for j in range(LENGTHS):
-        near = cosines[np.abs(lengths - j) <= 1]
-        floors[j] = REJECT_SHARE * np.quantile(near, LOWEST) if len(near) >= 20 else (floors[j - 1] if j else 0.0)
-    return Model(idf, made["lang"].tolist(), centroids, floors)
+    return Model(idf, made["lang"].tolist(), centroids, _floors(lengths, cosines))
 
 
 def predictor(model: Model):
@@ -176,7 +201,7 @@ def predictor(model: Model):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        parts = [model.predict(b) for _, b in blocks(texts, 200_000)]
+        parts = [model.predict(b) for _, b in blocks(texts, *BLOCK)]
         return pd.concat(parts, ignore_index=True) if parts else model.predict([])
 
     return predict.asNondeterministic()  # evaluated once, also under filters

@@ -112,13 +112,13 @@ def inside_doc(doc: np.ndarray, n: int) -> np.ndarray:
     return doc[: len(doc) - n + 1] == doc[n - 1:] if len(doc) >= n else np.zeros(0, bool)
 
 
-def blocks(texts: Iterable[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``chars`` code points, each with the place of its first; null is empty."""
+def blocks(texts: Iterable[str | None], chars: int = BLOCK_CHARS, most: int = 1 << 30) -> Iterator[tuple[int, list[str]]]:
+    """Runs of ``most`` texts and about ``chars`` code points, with the place of the first; null is empty."""
     held: list[str] = []
     first = size = 0
     for i, x in enumerate(texts):
         x = x if isinstance(x, str) else ""
-        if held and size + len(x) > chars:
+        if held and (size + len(x) > chars or len(held) >= most):
             yield first, held
             first, held, size = i, [], 0
         held.append(x)

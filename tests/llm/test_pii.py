@@ -1,0 +1,101 @@
+import re
+
+import numpy as np
+import pytest
+
+from dailyfolio.llm import pii
+from dailyfolio.llm.words import table
+from tests.llm.conftest import ODD, frame
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    def passes(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1]))
+            return 16 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+    return [(k, *m.span()) for k, p in PLAIN.items() for m in re.finditer(p, text) if passes(k, m.group())]
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = np.random.default_rng(0)
+    for alphabet in ("ab@.-1 ", "12.9 ", "+1 (2)-.x", "4 -0915", "a@b.c@é "):
+        for _ in range(400):
+            text = "".join(rng.choice(list(alphabet), rng.integers(1, 60)))
+            assert pii.base_spans(text) == plain_spans(text), text
+    for text in ["a@b.c@d.e", "x@@y.z", "4111 1111 1111 1111", "4111-1111-1111-1112", "1.2.3.4.5.6.7.8", "256.1.1.1",
+                 "+1 (743) 555-3824 +12345678", "a" * 5000 + "@b", "9" * 3000]:
+        assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_best_segmentation_equals_exhaustive_search():
+    rng = np.random.default_rng(1)
+    for text in ["a 1 b=2 3@c d", "1 2 3 4 5", "+1 (2) 3-4 x 5"]:
+        (region,) = pii.regions(text)
+        for _ in range(20):
+            field = pii.Field(rng.normal(0, 2, (pii.FEATURES, len(pii.KINDS))))
+            score = (field.weights[region.features].sum(1) - pii.MARGIN).max(1)
+            best = 0.0
+            for mask in range(1 << len(region.segments)):
+                chosen = [k for k in range(len(region.segments)) if mask >> k & 1]
+                places = [(region.segments[k][0], region.segments[k][1]) for k in chosen]
+                if all(a[1] < b[0] or b[1] < a[0] for x, a in enumerate(places) for b in places[:x]):
+                    best = max(best, sum(score[k] for k in chosen))
+            got = {(a, b) for _, a, b in field.segments(region)}
+            total = sum(score[k] for k, s in enumerate(region.segments) if (s[2], s[3]) in got)
+            assert total == pytest.approx(best)
+
+
+def test_marginals_sum_over_segmentations():
+    (region,) = pii.regions("a 1 b=2 3@c d")
+    score = np.random.default_rng(2).normal(0, 1, (len(region.segments), len(pii.KINDS)))
+    p, _ = pii._marginals(region, score)
+    total, mass = 0.0, np.zeros_like(score)
+    weight = np.exp(score)
+    for mask in range(1 << len(region.segments)):
+        chosen = [k for k in range(len(region.segments)) if mask >> k & 1]
+        places = [region.segments[k][:2] for k in chosen]
+        if all(a[1] < b[0] or b[1] < a[0] for x, a in enumerate(places) for b in places[:x]):
+            z = np.prod([weight[k].sum() for k in chosen])
+            total += z
+            for k in chosen:
+                mass[k] += z * weight[k] / weight[k].sum()
+    assert np.allclose(p, mass / total)
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.fit(table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def test_the_field_finds_secrets_and_leaves_prose_alone(field):
+    key = 'the of token = "51' + "ab0c" * 9 + 'de" and'
+    kinds = {text[a:b]: k for text in [key, "on password=3fa0b1c9d2e4f5a6b7 the"] for k, a, b in pii.spans_of(text, field)}
+    assert set(kinds.values()) == {"secret"} and "password=3fa0b1c9d2e4f5a6b7" in kinds
+    for text in ["Released in 1999, version 3.", "pages 10 - 20 of 300", "a = b + c", "x@y", "50% of 1,000"]:
+        assert pii.spans_of(text, field) == []
+
+
+def test_masking_and_columns(spark, field):
+    docs = frame(spark, ["mail a.b@c.de now", "call +1 (743) 555-3824", None, "nothing here"])
+    rows = {r["doc_id"]: r for r in pii.mask(docs, field).collect()}
+    assert [rows[i]["text"] for i in range(4)] == ["mail <EMAIL> now", "call <PHONE>", None, "nothing here"]
+    assert rows[0]["n_chars"] == len("mail <EMAIL> now") and pii.mask(docs, field).columns == docs.columns
+
+
+def test_odd_and_empty_tables(odd, nothing, field):
+    rows = pii.find_spans(odd, field).collect()
+    assert len(rows) == odd.count() and len([r for r in rows if not r["base"]]) >= len(ODD) - 1
+    empty = pii.fit(nothing)
+    assert not empty.weights.any() and pii.mask(nothing, empty).count() == 0
+    assert pii.mask(odd, pii.fit(odd)).count() == odd.count()

@@ -1,0 +1,68 @@
+import re
+
+from dailyfolio.llm import spans
+from tests.llm.conftest import frame, prose
+
+SHARED = ("Shared words come along here with many others, and go on. Then a second sentence follows them with its own. "
+          "A third ends the passage, which is well over fifty words when all of its sentences are counted one by one, "
+          "so that it must be found wherever else it stands in any text of this small corpus.")
+
+
+def plain(texts):
+    """Removed character ranges by comparing runs of sentences as lists of words."""
+    cut = {}
+    seen = {}
+    for d, text in enumerate(texts):
+        words = [(m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text or "")]
+        starts, size = [], 0
+        for k, (at, _) in enumerate(words):
+            gap = (text or "")[words[k - 1][0] + len(words[k - 1][1]):at] if k else "."
+            size += 1
+            if re.search(r"[.!?\n]", gap) or size > spans.LONG:
+                starts.append(k)
+                size = 1
+        ends = [*starts[1:], len(words)]
+        edges = [0, *[words[k][0] for k in starts[1:]], len(text or "")]
+        covered = set()
+        for i in range(len(starts) - spans.RUN + 1):
+            run = tuple(tuple(w for _, w in words[starts[k]:ends[k]]) for k in range(i, i + spans.RUN))
+            if sum(map(len, run)) >= spans.LEAST:
+                if run in seen:
+                    covered |= set(range(i, i + spans.RUN))
+                seen.setdefault(run, (d, i))
+        cut[d] = sorted((edges[k], edges[k + 1]) for k in covered)
+    return cut
+
+
+def removed(docs):
+    return {r["doc_id"]: r["__cut"] for r in spans.without_repeats(docs).select("doc_id", "__cut").collect()}
+
+
+def test_repeats_equal_the_plain_search(spark):
+    long = prose(8, 60).replace(".", "")
+    texts = [prose(1, 90) + ". " + SHARED, SHARED + " " + prose(2, 90), prose(3, 200), SHARED.upper() + "\n" + SHARED,
+             long, "Other. " + long + ". " + prose(4, 30), prose(3, 200), "Short one. Short two. Short one. Short two."]
+    got, want = removed(frame(spark, texts)), plain(texts)
+    for d, text in enumerate(texts):
+        inside = {i for a, b in want[d] for i in range(a, b)}
+        assert {i for r in got[d]["removed"] for i in range(r["start"], r["end"])} == inside
+        assert got[d]["text"] == "".join(c for i, c in enumerate(text) if i not in inside)
+    assert got[0]["removed"] == [] and got[2]["removed"] == [] and got[6]["text"] == ""
+    assert "shared words" not in got[1]["text"].lower() and "shared words" not in got[3]["text"].lower()
+
+
+def test_rows_that_repeat_lose_nothing_to_each_other(spark):
+    docs = frame(spark, [SHARED])
+    twice = spans.remove_repeats(docs.unionByName(docs))
+    assert [r["text"] for r in twice.collect()] == [SHARED] * 2 and twice.columns == docs.columns
+
+
+def test_odd_and_empty_tables(odd, nothing):
+    rows = spans.without_repeats(odd).collect()
+    assert len(rows) == odd.count()
+    assert spans.without_repeats(nothing).count() == 0
+    for r in rows:
+        if r["text"] in (None, ""):
+            assert r["__cut"]["text"] == r["text"]
+    shorter = spans.remove_repeats(odd)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in shorter.collect())
