@@ -287,7 +287,7 @@ def fit(docs: DataFrame, sample: int = FIT_DOCS) -> Field:
                 for region in list(regions(text))[:FIT_PER_DOC]:
                     a, b = region.segments[0][2], region.segments[-1][3]
                     cut.append(text[max(0, a - 60):b + 60])
-            yield pd.DataFrame({"text": cut})
+            yield pd.DataFrame({"text": cut}, dtype=object)
 
     rows = texts.filter(share * total < sample).mapInPandas(near, "text string").toPandas()
     examples = [x for text in sorted(rows["text"]) for x in examples_of(text)]
