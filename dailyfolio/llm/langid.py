@@ -180,7 +180,7 @@ def fit(docs: DataFrame) -> Model:
         x, letters = [np.concatenate(p) for p in zip(*(_vectors(b, idf) for _, b in blocks(group["text"].sort_values(), *BLOCK)))]
         x, letters = x[letters > 0], letters[letters > 0]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "lengths": [], "cosines": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "lengths": [], "cosines": []}, dtype=object)
         c = _clustered(x, CENTROIDS)
         return pd.DataFrame({
             "lang": key[0], "centroid": [v.astype(np.float32).tobytes() for v in c],

@@ -138,8 +138,7 @@ def score(docs: DataFrame, models: list[Pair]) -> DataFrame:
                 mean = np.where(n > 0, losses / np.maximum(n, 1), np.nan)
             out.append(pd.DataFrame({"n_tokens": n, "loss_target": mean[0], "loss_background": mean[1],
                                      "score": mean[1] - mean[0]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"n_tokens": [], "loss_target": [], "loss_background": [], "score": []})
+        return pd.concat(out, ignore_index=True)
 
     text = F.col("text")
     same = F.coalesce(F.xxhash64(text).bitwiseAND(0xFFFF), F.lit(0))

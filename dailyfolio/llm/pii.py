@@ -123,6 +123,7 @@ def _bounds(text: str, start: int, end: int) -> tuple[int, int]:
 _SHAPE = str.maketrans(
     "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "9" * 10 + "A" * 26 + "a" * 26)
 _RUNS = re.compile(r"(.)\1+")
+_ALNUM = re.compile(r"[9aA]+")
 _HEX = frozenset("0123456789abcdef")
 #: Feature slots besides the hashed shapes: each holds a small class.
 _SLOTS = 12
@@ -130,8 +131,13 @@ _SLOT_SIZE = 16
 FEATURES = SHAPES + _SLOTS * _SLOT_SIZE
 
 
+def _mixed(run: re.Match) -> str:
+    """Digits and letters in turn, as in keys, are one class."""
+    return "x" if "9" in run[0] and run[0].strip("9") else run[0]
+
+
 def _features(text: str, before: str, chunks: int) -> list[int]:
-    shape = _RUNS.sub(r"\1", text.translate(_SHAPE))
+    shape = _RUNS.sub(r"\1", _ALNUM.sub(_mixed, text.translate(_SHAPE)))
     n = len(text)
     digits = sum(map(str.isdecimal, text))
     letters = sum(map(str.isalpha, text))
@@ -274,8 +280,23 @@ def examples_of(text: str) -> list[tuple[Region, list[tuple[int, int]]]]:
     return out
 
 
+def made_examples(n: int = 120) -> list[str]:
+    """Short texts that hold a made-up secret of each plain form, for samples that have few."""
+    rng = np.random.default_rng(0)
+    pick = lambda letters, k: "".join(rng.choice(list(letters), k))
+    hexes, upper, small = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    out = []
+    for i in range(n):
+        name = ("password", "passwd", "secret", "token", "api_key")[i % 5]
+        form = (f"{name}={pick(hexes, 12 + i % 12)}", f'{name} = "{pick(hexes, 24 + i % 20)}"',
+                f"AKIA{pick(upper, 16)}")[i % 3]
+        around = [pick(small, 2 + (i + k) % 7) for k in range(4)]
+        out.append(f"{around[0]} {around[1]} {form} {around[2]} {around[3]}, {i % 90} {around[0]}{'.' if i % 2 else ''}")
+    return out
+
+
 def fit(docs: DataFrame, sample: int = FIT_DOCS) -> Field:
-    """Trains on about ``sample`` documents, chosen by a hash of the text; an empty table gives a field that adds nothing."""
+    """Trains on about ``sample`` documents, chosen by a hash of the text, and on ``made_examples``."""
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     share = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     total = max(1, docs.count())
@@ -290,8 +311,7 @@ def fit(docs: DataFrame, sample: int = FIT_DOCS) -> Field:
             yield pd.DataFrame({"text": cut}, dtype=object)
 
     rows = texts.filter(share * total < sample).mapInPandas(near, "text string").toPandas()
-    examples = [x for text in sorted(rows["text"]) for x in examples_of(text)]
-    return train(examples) if examples else Field(np.zeros((FEATURES, len(KINDS))))
+    return train([x for text in [*sorted(rows["text"]), *made_examples()] for x in examples_of(text)])
 
 
 def spans_of(text: str, field: Field) -> list[Span]:

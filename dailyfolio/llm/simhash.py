@@ -104,7 +104,9 @@ def node_rows(distinct: DataFrame, limit: int = NODE_LIMIT, levels: int = LEVELS
     rows = distinct.select("fp", F.lit(0).cast("bigint").alias("mask"))
     for level in range(levels):
         rows = _split(rows, masks).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [c for m in masks for c in children(m)]
+        if level:  # a mask can have two parents
+            rows = rows.distinct()
+        masks = sorted({c for m in masks for c in children(m)})
         if level == levels - 1:
             out.append(rows)
             break

@@ -17,7 +17,7 @@ from dailyfolio.llm.words import Words, blocks, mix, words_of
 from dailyfolio.session import written
 
 RUN = 2
-LEAST = 12
+LEAST = 8
 LONG = 24
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
