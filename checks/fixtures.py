@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 AS_OF = "2024-01-30"
 DAYS_BACK = 7
 
-SPARK_AUTHORS = "slice(split(substring(split_part(text, chr(10), 1), 1, 120), ' '), 1, cast(doc_id % 8 AS int))"
-CHECK_AUTHORS = "list_slice(string_split(substring(split_part(text, chr(10), 1), 1, 120), ' '), 1, doc_id % 8)"
+SPARK_AUTHORS = "slice(split(split_part(text, chr(10), 1), ' '), 1, cast(doc_id % 8 AS int))"
+CHECK_AUTHORS = "list_slice(string_split(split_part(text, chr(10), 1), ' '), 1, doc_id % 8)"
 
 N_PAPERS = "(SELECT count(*) FROM documents)"
 N_PAPERS_PLUS = "(SELECT cast(floor(count(*) * 1.1) AS bigint) FROM documents)"
@@ -24,7 +24,7 @@ N_USERS_PLUS = "(SELECT cast(floor(count(*) * 1.1) AS bigint) FROM benchmark)"
 VIEWS: dict[str, str] = {
     "papers_fx": """
 SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'arxiv:' WHEN 1 THEN 's2:' ELSE 'pm:' END, doc_id) AS id,
-       doc_id, substring(split_part(text, chr(10), 1), 1, 120) AS title, text AS abstract,
+       doc_id, split_part(text, chr(10), 1) AS title, text AS abstract,
        {authors} AS authors, date '2024-01-01' + cast(doc_id % 30 AS int) AS published_date,
        CASE doc_id % 3 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'semantic_scholar' ELSE 'pubmed' END AS source,
        CASE WHEN doc_id % 4 = 0 THEN NULL ELSE source END AS venue,

@@ -308,8 +308,8 @@ SELECT CASE WHEN max(created_at) >= {EARLY} THEN max(id) ELSE min(id) END AS id,
 FROM accepted_v GROUP BY user_chat_id, paper_id""",
     "refused_ratings": """
 SELECT r.update_id, CASE WHEN r.data LIKE 'vote%' THEN 'Unknown action' WHEN r.data LIKE '%|7' THEN 'Invalid score'
-       ELSE 'Unknown paper' END AS reason
-FROM ratings_raw_fx r WHERE r.update_id NOT IN (SELECT id FROM accepted_v)""",
+       WHEN r.update_id IN (SELECT id FROM accepted_v) THEN 'Already rated' ELSE 'Unknown paper' END AS reason
+FROM ratings_raw_fx r WHERE r.update_id NOT IN (SELECT min(id) FROM accepted_v GROUP BY user_chat_id, paper_id)""",
     "rating_counts": "SELECT user_id, chat_id, rating_count FROM counted_v",
     "digest_header": f"""
 SELECT user_id, CASE WHEN rating_count < 30 THEN {lit(messages.INTRO_COLD)} ELSE {lit(messages.INTRO_PERSONAL)} END AS header,
@@ -461,13 +461,13 @@ STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
 
 EXTRA.update({
     "atom_v": f"""
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY published_date DESC, id) AS feed_pos FROM (
-  SELECT 'arxiv:' || doc_id AS id, {CLEAN.format('title')} AS title, {CLEAN.format('abstract')} AS abstract,
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY published_date DESC, doc_id % 24 DESC, doc_id % 60 DESC, id) AS feed_pos FROM (
+  SELECT doc_id, 'arxiv:' || doc_id AS id, {CLEAN.format('title')} AS title, {CLEAN.format('abstract')} AS abstract,
          coalesce(array_to_string(authors[1:5], '; '), '') AS authors, published_date, CAST(NULL AS VARCHAR) AS venue,
          'https://arxiv.org/abs/' || doc_id AS url,
          CASE WHEN doc_id % 3 = 0 THEN 'https://papers.example/pdf/' || doc_id ELSE 'https://arxiv.org/pdf/' || doc_id END AS pdf_url,
          source AS category
-  FROM papers_fx WHERE published_date >= {CUT} AND doc_id % 50 <> 7) a) b WHERE feed_pos <= 100""",
+  FROM papers_fx WHERE published_date >= {CUT} AND doc_id % 50 <> 7) a) b""",
     "search_v": f"""
 SELECT * FROM (
   SELECT CASE WHEN doc_id % 3 = 0 THEN 'arxiv:' || doc_id ELSE 's2:h' || doc_id END AS id,
@@ -487,7 +487,7 @@ SELECT *, row_number() OVER (ORDER BY published_date DESC, id) AS feed_pos FROM
          published_date, 'Journal of ' || source AS venue, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url,
          CAST(NULL AS VARCHAR) AS pdf_url
   FROM papers_fx WHERE doc_id % 17 <> 2 AND published_date >= {CUT}) a
-WHERE title <> '' ORDER BY published_date DESC, id LIMIT 100""",
+WHERE title <> ''""",
 })
 
 # The dedup within a source: first by category and place in the feed.
@@ -495,6 +495,19 @@ FEED_FIRST = ("SELECT {out} FROM (SELECT *, row_number() OVER (PARTITION BY " +
               " ORDER BY {pos}feed_pos, id) AS k FROM {view}) z WHERE k = 1")
 CATEGORY = "CASE category WHEN 'arxiv' THEN 1 WHEN 'semantic_scholar' THEN 2 ELSE 3 END, "
 
+SQL["feedback_stream"] = f"""
+SELECT s.*, r.ratings FROM ({SQL["settings_from_log"]}) s
+LEFT JOIN (SELECT user_chat_id, count(DISTINCT paper_id) AS ratings FROM accepted_v GROUP BY 1) r ON r.user_chat_id = s.chat_id"""
+
+# All sources at once: the first by source, category and place in the feed.
+SQL["ingest"] = f"""
+SELECT id, {HASH} AS title_hash, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY {NORM.format("title")} ORDER BY source_pos, category_pos, feed_pos, id) AS k FROM (
+    SELECT id, title, 'arxiv' AS source, 0 AS source_pos, {CATEGORY.rstrip(", ")} AS category_pos, feed_pos FROM atom_v
+    UNION ALL SELECT id, title, 'semantic_scholar', 1, 0, feed_pos FROM search_v
+    UNION ALL SELECT id, title, 'pubmed', 2, 0, feed_pos FROM pubmed_v) x) y
+WHERE k = 1"""
+
 SQL.update({
     "read_atom": FEED_FIRST.format(out=PAPER_OUT, pos=CATEGORY, view="atom_v"),
     "read_search_json": FEED_FIRST.format(out=PAPER_OUT, pos="", view="search_v"),

@@ -283,7 +283,10 @@ def insert_ratings_last(v):
 @query
 def refused_ratings(v):
     parsed = rating_jobs.parsed_ratings(v["ratings_raw_fx"])
-    return rating_jobs.refused_ratings(parsed, v["papers_fx"]).select("update_id", "reason")
+    accepted = rating_jobs.accepted_ratings(parsed, v["papers_fx"])
+    added = upserts.new_ratings(accepted.limit(0), accepted)
+    return rating_jobs.refused_ratings(parsed, v["papers_fx"]).unionByName(
+        rating_jobs.repeated_ratings(accepted, added)).select("update_id", "reason")
 
 
 @query
@@ -726,7 +729,8 @@ def summary(v):
 def _land_atom(v) -> str:
     """The papers as Atom entries, one feed per source, some with an unreadable date."""
     path = scratch_path(v.spark, "atom")
-    day = F.concat(F.col("published_date").cast("string"), F.lit("T10:00:00Z"))
+    clock = lambda n: F.lpad((F.col("doc_id") % n).cast("string"), 2, "0")
+    day = F.concat(F.col("published_date").cast("string"), F.lit("T"), clock(24), F.lit(":"), clock(60), F.lit(":00Z"))
     number = F.col("doc_id").cast("string")
     v["papers_fx"].select(
         F.col("source").alias("category"),
@@ -924,7 +928,7 @@ def feedback_stream(v):
         running.awaitTermination()
     rated = store.load("ratings").groupBy("user_chat_id").agg(F.count("*").alias("ratings"))
     return store.load("users").join(
-        rated, F.col("chat_id") == F.col("user_chat_id"), "left").drop("user_chat_id")
+        rated, F.col("chat_id") == F.col("user_chat_id"), "left").drop("user_chat_id", "id", "user_id", "created_at")
 
 
 def _landing(v) -> dict[str, str]:

@@ -108,7 +108,7 @@ def dedup_last_by_id(df: DataFrame, order: str = "arrival") -> DataFrame:
     return keep_ranked(df, ["id"], [F.col(order).desc(), F.col("title_hash").desc()])
 
 
-def newest_per_feed(df: DataFrame, feed_cols: Sequence[str], n: int = 100) -> DataFrame:
-    """At most ``n`` records per feed, newest first; ``feed_pos`` keeps their order."""
-    return keep_ranked(
-        df, feed_cols, [F.col("published_date").desc(), F.col("id").asc()], n, rank="feed_pos")
+def newest_per_feed(df: DataFrame, feed_cols: Sequence[str], n: int = 100,
+                    order: str = "published_date") -> DataFrame:
+    """At most ``n`` records per feed, newest by ``order`` first; ``feed_pos`` keeps their order."""
+    return keep_ranked(df, feed_cols, [F.col(order).desc(), F.col("id").asc()], n, rank="feed_pos")

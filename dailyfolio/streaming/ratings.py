@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from dailyfolio.functions.bot import parse_rating_callback
 from dailyfolio.operators.papers import valid_refs
 from dailyfolio.operators.upserts import new_ratings
+from dailyfolio.session import written
 from dailyfolio.sources.tables import TableStore
 from dailyfolio.sources.updates import rating_updates
+from dailyfolio.streaming.tokens import batch_token
 
 
 def parsed_ratings(callbacks: DataFrame) -> DataFrame:
@@ -35,11 +37,18 @@ def refused_ratings(parsed: DataFrame, papers: DataFrame) -> DataFrame:
     return bad.unionByName(unknown).select("update_id", "user_chat_id", "paper_id", "reason")
 
 
+def repeated_ratings(accepted: DataFrame, added: DataFrame) -> DataFrame:
+    """Accepted ratings that were not added, since the chat has rated the paper before."""
+    return accepted.join(added.select("id"), "id", "left_anti").select(
+        F.col("id").alias("update_id"), "user_chat_id", "paper_id", F.lit("Already rated").alias("reason"))
+
+
 def rating_stream(updates: DataFrame, store: TableStore, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
     """Append each batch's new ratings; refused ones go to ``rejected_ratings``.
 
-    Only the batch's rows are written. A replayed batch finds its token and is skipped.
+    Only the batch's rows are written. A replayed batch finds its token, which names the
+    query of the checkpoint, and is skipped. A second rating is refused as ``Already rated``.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -48,8 +57,11 @@ def rating_stream(updates: DataFrame, store: TableStore, checkpoint: str,
         papers = store.load("papers").select("id").join(
             parsed.select(F.col("paper_id").alias("id")), "id", "left_semi")
         accepted = accepted_ratings(parsed, papers)
-        store.append("ratings", new_ratings(store.load("ratings"), accepted), f"b{batch_id}")
-        store.append("rejected_ratings", refused_ratings(parsed, papers), f"b{batch_id}")
+        token = batch_token(store.spark, checkpoint, batch_id)
+        added = written(new_ratings(store.load("ratings"), accepted), "new-ratings")
+        refused = refused_ratings(parsed, papers).unionByName(repeated_ratings(accepted, added))
+        store.append("rejected_ratings", refused, token)
+        store.append("ratings", added, token)
         parsed.unpersist()
 
     writer = rating_updates(updates).writeStream.foreachBatch(apply).option(

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dailyfolio.operators.settings import apply_settings, settings_changes
 from dailyfolio.sources.tables import TableStore
 from dailyfolio.sources.updates import message_updates
+from dailyfolio.streaming.tokens import batch_token
 
 
 def settings_stream(updates: DataFrame, store: TableStore, checkpoint: str,
@@ -21,7 +22,7 @@ def settings_stream(updates: DataFrame, store: TableStore, checkpoint: str,
     def apply(batch: DataFrame, batch_id: int) -> None:
         users = store.load("users")
         store.replace("users", apply_settings(users, settings_changes(batch, users)),
-                      f"s{batch_id}")
+                      batch_token(store.spark, checkpoint, batch_id))
 
     writer = message_updates(updates).writeStream.foreachBatch(apply).option(
         "checkpointLocation", checkpoint)

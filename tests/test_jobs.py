@@ -10,6 +10,7 @@ from dailyfolio import schemas
 from dailyfolio.operators import prefmodel, scoring
 from dailyfolio.operators.settings import settings_from_log
 from dailyfolio.plans import daily, feedback, retrain
+from dailyfolio.plans.ingest import fetch
 from dailyfolio.sources import feeds
 from dailyfolio.sources.tables import TableStore
 from dailyfolio.sources.updates import message_updates, read_updates
@@ -95,6 +96,32 @@ def test_atom(spark, landing):
     assert got["arxiv:2401.00002"]["pdf_url"] == "https://arxiv.org/pdf/2401.00002"
 
 
+def test_a_busy_day_is_read_whole_and_newest_first(spark, tmp_path):
+    entry = ("<entry><id>http://arxiv.org/abs/2401.{0:05d}v1</id><published>2024-01-30T{1:02d}:{2:02d}:00Z</published>"
+             "<title>Title {0}</title><summary>s</summary></entry>")
+    (tmp_path / "feed.xml").write_text(
+        "<feed>" + "".join(entry.format(i, i // 60, i % 60) for i in range(1, 131)) + "</feed>")
+    assert feeds.read_atom(spark, str(tmp_path), DAY, 1).count() == 130
+    newest = feeds.read_atom(spark, str(tmp_path), DAY, 1, per_feed=5)
+    assert sorted(r["id"] for r in newest.collect()) == [f"arxiv:2401.{i:05d}" for i in range(126, 131)]
+
+
+def test_pubmed_responses_are_not_cut(spark, tmp_path):
+    one = ("<PubmedArticle><MedlineCitation><PMID>{0}</PMID><Article><ArticleTitle>T {0}</ArticleTitle><Journal>"
+           "<JournalIssue><PubDate><Year>2024</Year><Month>Jan</Month><Day>30</Day></PubDate></JournalIssue>"
+           "</Journal></Article></MedlineCitation></PubmedArticle>")
+    for k in range(2):
+        (tmp_path / f"{k}.xml").write_text("<PubmedArticleSet>" + "".join(
+            one.format(i) for i in range(100 * k, 100 * k + 100)) + "</PubmedArticleSet>")
+    assert feeds.read_pubmed(spark, str(tmp_path), DAY, 1).count() == 200
+
+
+def test_a_folder_that_has_not_landed_is_an_empty_feed(spark, landing):
+    whole = fetch(spark, landing, DAY, 1)
+    assert fetch(spark, landing | {"pubmed": "/nowhere/at/all"}, DAY, 1).count() < whole.count()
+    assert fetch(spark, {"atom": "/nowhere/at/all"}, DAY, 1) is None
+
+
 def test_search(spark, landing):
     got = by_id(feeds.read_search_json(spark, landing["search"], DAY, 1))
     assert sorted(got) == ["arxiv:2401.7", "s2:aa", "s2:gg"]
@@ -170,7 +197,7 @@ def test_feedback_stream(spark, tmp_path):
     assert sorted((r["id"], r["user_chat_id"], r["paper_id"], r["score"]) for r in store.load("ratings").collect()) == [
         (3, 7, "p", 5), (9, 7, "q", 10), (13, 8, "q", 1)]
     assert sorted((r["update_id"], r["reason"]) for r in store.load("rejected_ratings").collect()) == [
-        (5, "Unknown paper"), (6, "Invalid score")]
+        (4, "Already rated"), (5, "Unknown paper"), (6, "Invalid score"), (11, "Already rated")]
     (user,) = store.load("users").collect()
     assert (user["chat_id"], user["keyword_profile"], user["active"], user["digest_frequency"], user["next_digest_date"],
             user["pending_action"]) == (7, "graphs", True, 7, dt.date(2024, 2, 5), None)
@@ -180,6 +207,26 @@ def test_feedback_stream(spark, tmp_path):
     assert [r["keyword_profile"] for r in replayed.collect()] == ["graphs"]
 
 
+def test_a_second_feed_with_its_own_checkpoint_loses_nothing(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.replace("papers", stored_papers(spark, ["p", "q"]))
+    for k, lines in enumerate(([say(1, 7, "/start"), rate(2, 7, "rate|p|5")], [say(11, 8, "/start"), rate(12, 8, "rate|q|1")])):
+        write_updates(tmp_path / f"feed{k}" / "1.json", lines)
+        for _ in range(2):  # the second start finds nothing new
+            for q in feedback.feedback_stream(store, str(tmp_path / f"feed{k}"), str(tmp_path / f"check{k}")):
+                q.awaitTermination()
+    assert sorted(r["id"] for r in store.load("ratings").collect()) == [2, 12]
+    assert sorted(r["chat_id"] for r in store.load("users").collect()) == [7, 8]
+
+
+def test_a_replayed_batch_writes_nothing_twice(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, 7, "p", 5, NOW)], schemas.RATINGS)
+    for _ in range(2):
+        store.append("ratings", rows, "abc.0")
+    assert store.load("ratings").count() == 1
+
+
 def test_running_counts(spark, tmp_path):
     source, out = str(tmp_path / "ratings"), []
     spark.createDataFrame([(i, i % 2, f"p{i}", 5, NOW) for i in range(5)], schemas.RATINGS).write.parquet(source)
