@@ -25,9 +25,10 @@ STEPS = 3
 #: Groups of fewer rows are pooled by language, then all together; a smaller pool rejects nothing.
 LEAST_GROUP = 100
 #: Squared distance from which a text is rejected, in units of the estimate's spread.
-REJECT = 60.0
+REJECT = 50.0
 #: Variances that are added to every estimate: what a measured statistic is allowed to vary at least.
-FLOORS = (0.05 ** 2, 0.05 ** 2, 0.12 ** 2, 0.12 ** 2)
+#: A table drawn with bars has one symbol in eight characters and is no outlier.
+FLOORS = (0.05 ** 2, 0.08 ** 2, 0.12 ** 2, 0.12 ** 2)
 DIMENSIONS = len(FLOORS)
 #: Distance classes per doubling.
 CLASSES = 16
