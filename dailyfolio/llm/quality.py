@@ -32,6 +32,8 @@ FLOORS = (0.05 ** 2, 0.08 ** 2, 0.12 ** 2, 0.12 ** 2)
 DIMENSIONS = len(FLOORS)
 #: Distance classes per doubling.
 CLASSES = 16
+#: Groups up to which estimates (some 200 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -154,6 +156,12 @@ def consistency(subset: float = SUBSET) -> float:
     return subset / below(low, DIMENSIONS // 2 + 1)
 
 
+def _beside(rows: DataFrame, of_group: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with what their group has; few groups are broadcast, so that a large group stays where it is."""
+    few = of_group.count() <= 2 * BROADCAST_GROUPS  # two starts
+    return rows.join(F.broadcast(of_group) if few else of_group, "grp", how)
+
+
 def _estimates(sums: DataFrame, scale: float) -> DataFrame:
     """Centre and factor from the sums of the chosen rows."""
     frame = sums
@@ -174,7 +182,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
     """Two first estimates of each group: all rows, and medians with median absolute deviations."""
     whole = _estimates(vectors.groupBy("grp").agg(*_sums()).withColumn("start", F.lit(0)), 1.0)
     middle = written(vectors.groupBy("grp").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(_X)]), "medians")
-    spread = vectors.join(middle, "grp").groupBy("grp").agg(
+    spread = _beside(vectors, middle).groupBy("grp").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMENSIONS)],
         *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(DIMENSIONS)])
     for i, j in _PAIRS:
@@ -187,7 +195,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
 def _step(vectors: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step of all groups and starts."""
     grade = F.floor(F.log2(_distance() + 2.0 ** -10) * CLASSES)
-    classes = vectors.join(params, "grp").withColumn("grade", grade).groupBy("grp", "start", "grade").agg(*_sums())
+    classes = _beside(vectors, params).withColumn("grade", grade).groupBy("grp", "start", "grade").agg(*_sums())
     by = Window.partitionBy("grp", "start")
     before = F.coalesce(F.sum("n").over(by.orderBy("grade").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = (classes.withColumn("before", before).withColumn("all", F.sum("n").over(by))
@@ -207,6 +215,8 @@ def grouped(stats: DataFrame, least: int = LEAST_GROUP) -> DataFrame:
            .when(F.col("pooled") >= least, name("lang"))
            .when(F.lit((rest.first() or [0])[0] >= least), F.lit("[]")))
     names = written(fine.join(small, "lang", "left").select("lang", "source", key.alias("grp")), "groups")
+    if names.count() <= BROADCAST_GROUPS:
+        names = F.broadcast(names)
     return stats.join(names, ["lang", "source"], "left")
 
 
@@ -227,7 +237,7 @@ def judged(docs: DataFrame, least: int = LEAST_GROUP, reject: float = REJECT) ->
     whole = stats
     for x, v in zip(_X, vector()):
         whole = whole.withColumn(x, F.when(~base_failed(), v))
-    out = whole.join(best, "grp", "left").withColumn("base_failed", base_failed()).withColumn("distance", _distance())
+    out = _beside(whole, best, "left").withColumn("base_failed", base_failed()).withColumn("distance", _distance())
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= reject)).alias("kept"))
