@@ -1,8 +1,7 @@
 """Per-user preference models: training data, folds, fits, evaluation.
 
 Spark joins ratings to packed term counts, gates, folds, groups and evaluates; a task then
-fits one user's small model on Arrow data. Users whose texts are too large for one task,
-which is measured beforehand, are fitted with Spark ML instead, one distributed fit each.
+fits one user's small model on Arrow data, of a bounded number of ratings.
 """
 
 from __future__ import annotations
@@ -10,26 +9,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dailyfolio.functions.scores import SCORE, like_label, pref_score
 from dailyfolio.functions.text import ENGLISH_STOP_WORDS, doc_text
 from dailyfolio.operators.papers import ratings_with_text, with_user_id
-from dailyfolio.operators.ranking import CHUNK_ROWS, numbered
-from dailyfolio.operators.retrieval import (
-    BIAS, MAX_FEATURES, exploded, fit_vocab, predict_pairs, sublinear, term_counts)
+from dailyfolio.operators.ranking import CHUNK_ROWS, keep_ranked, numbered
+from dailyfolio.operators.retrieval import BIAS, MAX_FEATURES, predict_pairs, term_counts
 from dailyfolio.session import spread, written
 
 MIN_RATINGS = 30
 FOLDS = 5
-# Distinct terms, summed over a user's rated papers, that one task may hold.
-LOCAL_TERMS = 5_000_000
+# Ratings of one user that a model is fitted on at most, the newest first.
+MAX_TRAIN_ROWS = 5000
+# Newton steps and the gradient at which a fit has converged.
+STEPS, GRADIENT = 100, 1e-9
 
 
 def training_set(ratings: DataFrame, papers: DataFrame, users: DataFrame) -> DataFrame:
@@ -108,6 +105,7 @@ def _solve(rows, cols, vals, y, weight, p):
     """Minimise weighted logistic loss + |w|^2/2 by Newton steps with conjugate gradients.
 
     The matrix is given by its entries; the last coefficient is the unpenalised intercept.
+    Returns None if the gradient does not vanish in ``STEPS`` steps.
     """
     n = len(y)
 
@@ -125,15 +123,16 @@ def _solve(rows, cols, vals, y, weight, p):
         return weight @ (np.logaddexp(0, z) - y * z) + 0.5 * v[:p] @ v[:p]
 
     w = np.zeros(p + 1)
-    for _ in range(100):
+    for _ in range(STEPS):
         prob = 1 / (1 + np.exp(-times(w)))
         grad = transposed(weight * (prob - y)) + penalty(w)
-        if np.abs(grad).max() < 1e-9:
-            break
+        steep = np.abs(grad).max()
+        if steep < GRADIENT:
+            return w
         curve = weight * prob * (1 - prob)
         step, res = np.zeros_like(w), -grad
         direction, size = res.copy(), res @ res
-        goal = 1e-22 * size
+        goal = size * min(0.01, steep) ** 2  # loose while far from the optimum
         for _ in range(2 * len(w)):
             if size <= goal:
                 break
@@ -147,7 +146,7 @@ def _solve(rows, cols, vals, y, weight, p):
         while loss(w + scale * step) > now + 1e-4 * scale * slope and scale > 1e-8:
             scale /= 2
         w = w + scale * step
-    return w
+    return None
 
 
 class _UserTexts:
@@ -191,14 +190,15 @@ class _UserTexts:
         return rows, cols, vals / norm[rows]
 
     def fit(self, use: np.ndarray, max_features: int):
-        """Vocabulary codes, idf and weights fitted on the rows in use; None with one class."""
+        """Vocabulary codes, idf and weights fitted on the rows in use; None with one class or without convergence."""
         y = self.label[use]
         liked = y.sum()
         if liked == 0 or liked == len(y):
             return None
         kept, idf_of = self.vocabulary(use, max_features)
         weight = len(y) / (2 * np.where(y == 1, liked, len(y) - liked))
-        return kept, idf_of, _solve(*self.features(use, kept, idf_of), y, weight, len(kept))
+        w = _solve(*self.features(use, kept, idf_of), y, weight, len(kept))
+        return None if w is None else (kept, idf_of, w)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -251,62 +251,15 @@ def _user_fold_scores(max_features: int):
     return run
 
 
-def _to_vector(size, positions, values):
-    return Vectors.sparse(size, positions, values)
-
-
-def _fit_distributed(train: DataFrame, counts: DataFrame, user: int,
-                     max_features: int) -> DataFrame | None:
-    """One model fitted by Spark ML, for a user whose texts exceed a single task."""
-    spark = train.sparkSession
-    sizes = class_counts(train).first()
-    if sizes is None or sizes["classes"] < 2:
-        return None
-    postings = exploded(spread(train, "rating_id").join(counts, "paper_id"), ["rating_id"])
-    # At most max_features rows, so numbering and broadcasting them is safe.
-    terms = fit_vocab(postings, train, max_features).orderBy("term").select("term", "idf").toPandas()
-    columns = spark.createDataFrame(
-        terms.assign(at=np.arange(len(terms), dtype=np.int32)), "term string, idf double, at int")
-    packed = (
-        postings.join(F.broadcast(columns), "term")
-        .withColumn("w", sublinear(F.col("tf")) * F.col("idf"))
-        .groupBy("rating_id").agg(
-            F.sort_array(F.collect_list(F.struct("at", "w"))).alias("_v"),
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-        .select("rating_id", F.col("_v.at").alias("at"),
-                F.transform("_v.w", lambda x: x / F.col("_norm")).alias("vals"))
-    )
-    vector = F.udf(_to_vector, VectorUDT())
-    data = balanced_weights(train).join(packed, "rating_id", "left").select(
-        F.col("label").cast("double").alias("label"), "weight",
-        vector(F.lit(len(terms)), F.coalesce("at", F.array().cast("array<int>")),
-               F.coalesce("vals", F.array().cast("array<double>"))).alias("features"))
-    n = sizes["n"]
-    fit = LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False,
-                             weightCol="weight", maxIter=1000, tol=1e-8).fit(data)
-    rows = pd.DataFrame({
-        "user_id": user, "term": [*terms["term"], BIAS], "idf": [*terms["idf"], 0.0],
-        "coef": [*fit.coefficients.toArray(), fit.intercept], "n": n})
-    return spark.createDataFrame(rows, FITTED)
-
-
 def _trainable(training: DataFrame, min_ratings: int) -> DataFrame:
     keep = [c for c in ("user_id", "rating_id", "paper_id", "label", "fold") if c in training.columns]
     return training.select(*keep).join(
         trainable_users(training, min_ratings).select("user_id"), "user_id", "left_semi")
 
 
-def _large_users(rows: DataFrame, counts: DataFrame, local_terms: int) -> list[int]:
-    """Users whose rated papers hold more terms than one task may take.
-
-    There are at most (all terms / local_terms) of them, each worth a job of its own.
-    """
-    lengths = counts.select("paper_id", F.size("terms").alias("_t"))
-    weight = 1 + F.coalesce("_t", F.lit(0))
-    totals = rows.join(lengths, "paper_id", "left").groupBy("user_id").agg(
-        F.sum(weight).alias("_terms"))
-    large = totals.where(F.col("_terms") > local_terms).select("user_id")
-    return [r["user_id"] for r in large.collect()]
+def _newest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest ratings of each user."""
+    return keep_ranked(rows, ["user_id"], [F.col("rating_id").desc()], n)
 
 
 def _with_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -317,44 +270,26 @@ def _with_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def fit_models(training: DataFrame, counts: DataFrame, max_features: int = MAX_FEATURES,
-               min_ratings: int = MIN_RATINGS, local_terms: int = LOCAL_TERMS) -> DataFrame:
+               min_ratings: int = MIN_RATINGS, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """L2 logistic regressions (C=1, balanced classes) on each user's own TF-IDF features.
 
     Returns rows (user_id, term, idf, coef, n); the intercept is the row of the bias term.
-    Users below the rating gate or with one class get no row. A user's packed rows meet in
-    one task only if their terms fit there, which is measured first.
+    Users below the rating gate or with one class get no row, nor does a fit that did not
+    converge, so that a stored model stays. A user's packed rows meet in one task: at most
+    ``max_train_rows`` of them, the newest.
     """
-    rows = written(_trainable(training, min_ratings), "training")
-    counts = written(counts, "training-counts")
-    large = _large_users(rows, counts, local_terms)
-    local = _with_terms(rows.where(~F.col("user_id").isin(large)), counts)
-    fitted = local.withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
+    rows = _newest(_trainable(training, min_ratings), max_train_rows)
+    return _with_terms(rows, counts).withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
         _user_model(max_features), FITTED)
-    for user in large:
-        one = _fit_distributed(rows.where(F.col("user_id") == user), counts, user, max_features)
-        fitted = fitted if one is None else fitted.unionByName(one)
-    return fitted
 
 
 def fold_scores(training: DataFrame, counts: DataFrame, k: int = FOLDS,
                 max_features: int = MAX_FEATURES, min_ratings: int = MIN_RATINGS,
-                local_terms: int = LOCAL_TERMS) -> DataFrame:
+                max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Every rating scored by the model fitted without its fold (vocabulary included)."""
-    rows = written(assign_folds(_trainable(training, min_ratings), k), "folds")
-    counts = written(counts, "fold-counts")
-    large = _large_users(rows, counts, local_terms)
-    local = _with_terms(rows.where(~F.col("user_id").isin(large)), counts)
-    scores = local.groupBy("user_id").applyInArrow(_user_fold_scores(max_features), FOLD_SCORES)
-    for user in large:
-        own = rows.where(F.col("user_id") == user)
-        for fold in range(1, k + 1):
-            one = _fit_distributed(own.where(F.col("fold") != fold), counts, user, max_features)
-            if one is not None:
-                models, meta = split_fitted(one)
-                held = predict_pairs(own.where(F.col("fold") == fold), counts, models, meta,
-                                     digits=None)
-                scores = scores.unionByName(held.select(*scores.columns))
-    return scores
+    rows = assign_folds(_newest(_trainable(training, min_ratings), max_train_rows), k)
+    return _with_terms(rows, counts).groupBy("user_id").applyInArrow(
+        _user_fold_scores(max_features), FOLD_SCORES)
 
 
 def split_fitted(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:

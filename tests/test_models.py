@@ -114,16 +114,28 @@ def reference_fit(docs, rows, cap):
     return vec, terms, w
 
 
-@pytest.mark.parametrize("local_terms", [10**9, 1500])
-def test_fit_models(spark, local_terms):
-    """Both ways of fitting: in one task, and distributed for users with too many terms."""
+def test_fit_models(spark):
     docs, rows, training, counts = training_case(spark)
-    fitted = prefmodel.fit_models(training, counts, max_features=80, local_terms=local_terms).collect()
+    fitted = prefmodel.fit_models(training, counts, max_features=80).collect()
     for u in range(3):
         _, terms, w = reference_fit(docs, [r for r in rows if r[0] == u], 80)
         got = {r["term"]: r["coef"] for r in fitted if r["user_id"] == u}
         assert sorted(got) == sorted([*terms, ""])
-        assert max(abs(got[t] - x) for t, x in zip([*terms, ""], w)) < 1e-5
+        assert max(abs(got[t] - x) for t, x in zip([*terms, ""], w)) < 1e-6
+
+
+def test_no_more_than_the_newest_ratings_are_fitted(spark):
+    docs, rows, training, counts = training_case(spark, users=1)
+    newest = sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])[-35:]
+    fitted = prefmodel.fit_models(training, counts, max_features=80, max_train_rows=35).collect()
+    assert {r["n"] for r in fitted} == {35}
+    _, terms, w = reference_fit(docs, newest, 80)
+    assert {r["term"]: pytest.approx(r["coef"], abs=1e-6) for r in fitted} == dict(zip([*terms, ""], w))
+
+
+def test_a_fit_that_does_not_converge_gives_no_model(spark, monkeypatch):
+    monkeypatch.setattr(prefmodel, "STEPS", 1)
+    assert prefmodel._solve(np.array([0, 1]), np.array([0, 1]), np.ones(2), np.array([0.0, 1.0]), np.ones(2), 2) is None
 
 
 def test_gates(spark):
@@ -150,6 +162,12 @@ def test_predictions(spark):
     for block_rows in (10**6, 100):
         got = {(r["user_id"], r["paper_id"]): r["score"] for r in retrieval.predict(index.counts, models, meta, block_rows).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-5
+    for block_cells in (10**7, 200):
+        top = retrieval.top_n_for_models(index, models, meta, 7, block_cells).collect()
+        for u in range(3):
+            ranked = sorted((-round(p, 6), i) for (v, i), p in want.items() if v == u)[:7]
+            assert [(-s, i) for _, i, s in sorted((r["rank"], r["paper_id"], r["score"]) for r in top if r["user_id"] == u)] == [
+                (pytest.approx(s), i) for s, i in ranked]
     pairs = spark.createDataFrame([(0, "p001"), (2, "p026")], "user_id bigint, paper_id string")
     prefs = prefmodel.pref_scores(pairs, index.counts, models, meta).collect()
     assert {(r["user_id"], r["paper_id"]): float(r["pref_score"]) for r in prefs} == {
@@ -201,10 +219,9 @@ def test_auc_counts_pairs(spark):
         assert got[key] == (None if want is None else pytest.approx(want))
 
 
-@pytest.mark.parametrize("local_terms", [10**9, 1500])
-def test_cross_validation(spark, local_terms):
+def test_cross_validation(spark):
     docs, rows, training, counts = training_case(spark, users=2)
-    got = {r["user_id"]: r for r in prefmodel.cross_validate(training, counts, 5, max_features=80, local_terms=local_terms).collect()}
+    got = {r["user_id"]: r for r in prefmodel.cross_validate(training, counts, 5, max_features=80).collect()}
     for u in range(2):
         own = [r for r in rows if r[0] == u]
         folds = dealt_folds([r[3] for r in own], 5)
