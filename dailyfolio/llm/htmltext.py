@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -44,10 +45,13 @@ UNWANTED = re.compile(
     r"navigation|newsletter|notice|notices|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|reply|"
     r"respond|rss|search|share|sharing|shoutbox|sidebar|sidebars|skip|social|sponsor|sponsored|subscribe|teaser|"
     r"toolbar|tooltip|widget|widgets)(?:$|[\s_-])", re.I)
+#: Compounds that speak of the layout, not of the element itself.
+LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|entry-content|post-content|story|main)(?:$|[\s_-])", re.I)
 
+#: A comment, a tag (at most 200 pieces of attributes, none with a bare ``<``), or other markup.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)>|<[!?/][^<>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 LEAST_PARAGRAPH = 25
@@ -84,7 +88,7 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             words.append(value)
-    text = " ".join(words)
+    text = LAYOUT.sub("", " ".join(words))
     article = bool(ARTICLE.search(text))
     return hidden or (bool(UNWANTED.search(text)) and not article), article
 
@@ -94,6 +98,7 @@ def parse(source: str) -> Node:
     root = Node("html", None)
     node, held, links, dropped = root, [], 0, 0
     open_: list[tuple[str, Node, bool]] = [("html", root, False)]
+    named: Counter[str] = Counter()
     linked = 0
     place = 0
 
@@ -111,7 +116,8 @@ def parse(source: str) -> Node:
     def close(depth: int) -> None:
         nonlocal node, links, dropped
         while len(open_) > depth:
-            name, at, hidden = open_.pop()
+            name, _, hidden = open_.pop()
+            named[name] -= 1
             if name in BLOCKS:
                 flush()
             if name == "a":
@@ -134,7 +140,7 @@ def parse(source: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] == name), 0)
+            depth = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] == name), 0) if named[name] else 0
             if depth:
                 close(depth)
             elif name == "p" and not dropped:
@@ -142,9 +148,9 @@ def parse(source: str) -> Node:
             continue
         if name in ("html", "body"):
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and named["p"]:
             _end_open(open_, close, frozenset(["p"]), _P_SCOPE)
-        if name in CLOSES:
+        if name in CLOSES and any(named[x] for x in CLOSES[name][0]):
             _end_open(open_, close, *CLOSES[name])
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             if name in BLOCKS:
@@ -162,6 +168,7 @@ def parse(source: str) -> Node:
         else:
             child = node
         open_.append((name, child, hidden))
+        named[name] += 1
         node = child
         dropped += hidden
         links += name == "a"

@@ -278,7 +278,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, limit: int = NODE_L
     rows, heads = classes(docs, shingle, limit)
     kept = written(
         rows.join(heads, "fp").filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.filter("n = 1"), "doc_id", "left_semi")
+    # Hinted, so that small tables take the same plan as large ones: ids meet texts in hash joins.
+    once = docs.join(kept.filter("n = 1").hint("shuffle_hash"), "doc_id", "left_semi")
     mark = "__fp"
     of_row = _fp(shingle)(F.col("text"))
     repeated = (docs.join(kept.filter("n > 1"), "doc_id", "left_semi").withColumn(mark, of_row)

@@ -20,7 +20,7 @@ def test_article_without_its_surroundings():
 
 def test_page_without_article_element():
     page = f"""<body><div id="menu"><a href="/">Home</a> <a href="/b">More</a></div>
-    <div class="content"><h1>Title</h1><p>{P1}</p><p>{P2}</p><ul><li>one point of it</li></ul></div>
+    <div class="content with-sidebar"><h1>Title</h1><p>{P1}</p><p>{P2}</p><ul><li>one point of it</li></ul></div>
     <div class="sidebar"><p>{P2}</p></div><div class="footer"><p>All rights, and so on, are reserved by us.</p></div></body>"""
     assert htmltext.main_text(page) == f"Title {P1} {P2} one point of it"
 
