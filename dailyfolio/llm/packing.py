@@ -23,7 +23,7 @@ from dailyfolio.session import written
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one task packs.
-GROUP_PIECES = 8192
+GROUP_PIECES = 4096
 #: Sequences with a larger gap are packed again.
 OPEN_GAP = 16
 #: Words whose ids a worker keeps.
