@@ -399,6 +399,15 @@ SELECT user_id, batch_no, count(*) AS n,
               'Return a JSON array with ', count(*), ' elements, one per paper, in the same order.') AS request
 FROM batched_v JOIN papers_fx p ON p.id = paper_id
 JOIN (SELECT user_id, keyword_profile FROM users_fx WHERE keyword_profile <> '') u USING (user_id) GROUP BY 1, 2""",
+    # The plug-in of the checks: shared words of profile and paper, ten at most.
+    "apply_scorer": f"""
+SELECT user_id, batch_no, concat('[', string_agg(concat('{{"score": ', s, ', "reason": "', s, ' shared words"}}'), ', ' ORDER BY pos_in_batch), ']') AS reply
+FROM (SELECT user_id, batch_no, pos_in_batch, least(10, len(list_intersect(
+        list_distinct(regexp_extract_all(lower(keyword_profile), '[\\p{{L}}\\p{{N}}_]{{2,}}')),
+        list_distinct(regexp_extract_all(lower(regexp_replace({item('pos_in_batch')}, '^\\[[0-9]+\\] ', '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'))))) AS s
+      FROM batched_v JOIN papers_fx p ON p.id = paper_id
+      JOIN (SELECT user_id, keyword_profile FROM users_fx WHERE keyword_profile <> '') u USING (user_id)) x
+GROUP BY 1, 2""",
     "reply_outcomes": "SELECT user_id, batch_no, status FROM outcome_v",
     "score_replies": """
 SELECT user_id, paper_id, CAST(CASE WHEN (user_id + batch_no) % 5 = 3 THEN 9 ELSE coalesce(llm_score, 0) END AS DOUBLE) AS llm_score,
