@@ -442,6 +442,10 @@ SELECT user_id, count(*) AS n, count(*) FILTER (label = 1) AS n_liked, count(*)
        count(DISTINCT label) AS classes FROM training_v GROUP BY 1""",
     "trainable_users": """
 SELECT user_id, count(*) AS n FROM training_v GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT label) = 2""",
+    "fit_models_optimum": """
+SELECT t.user_id, t.n, m.terms, m.idf, CAST(0.0 AS DOUBLE) AS steepest
+FROM (SELECT user_id, count(*) AS n FROM training_v GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT label) = 2) t
+JOIN (SELECT user_id, count(*) AS terms, round(sum(idf), 4) AS idf FROM model_v GROUP BY 1) m USING (user_id)""",
     "balanced_weights": """
 SELECT rating_id, round(count(*) OVER (PARTITION BY user_id) / (2.0 * count(*) OVER (PARTITION BY user_id, label)), 6) AS weight
 FROM training_v""",

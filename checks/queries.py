@@ -709,6 +709,27 @@ def fit_models(v):
     return prefmodel.fit_models(_training(v), _counts(v))
 
 
+@query
+def fit_models_optimum(v):
+    """The size of each model, and its largest absolute gradient, which is zero at the optimum."""
+    training, counts = _training(v).drop("text"), _counts(v)
+    models, meta = prefmodel.split_fitted(written(prefmodel.fit_models(training, counts), "fitted"))
+    rows = prefmodel.balanced_weights(training.join(meta.select("user_id"), "user_id", "left_semi"))
+    pulls = retrieval.predict_pairs(rows, counts, models, meta, digits=None).withColumn(
+        "pull", F.col("weight") * (F.col("score") - F.col("label")))
+    keys = ["user_id", "paper_id", "pull"]
+    entries = retrieval.exploded(pulls.join(counts, "paper_id").select(*keys, "terms", "tfs"), keys).join(
+        models, ["user_id", "term"]).withColumn("w", retrieval.sublinear(F.col("tf")) * F.col("idf"))
+    norms = entries.groupBy("user_id", "paper_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    slopes = entries.join(norms, ["user_id", "paper_id"]).groupBy("user_id", "term").agg(
+        (F.sum(F.col("pull") * F.col("w") / F.col("norm")) + F.first("coef")).alias("slope"))
+    steepest = slopes.select("user_id", F.abs("slope").alias("s")).unionByName(
+        pulls.groupBy("user_id").agg(F.abs(F.sum("pull")).alias("s"))).groupBy("user_id").agg(F.max("s").alias("s"))
+    sizes = models.groupBy("user_id").agg(F.count("*").alias("terms"), F.sum("idf").alias("idf"))
+    return meta.join(sizes, "user_id").join(steepest, "user_id").select(
+        "user_id", *big("n", "terms"), F.round("idf", 4).alias("idf"), F.round("s", 6).alias("steepest"))
+
+
 @query
 def cross_validate(v):
     return prefmodel.cross_validate(_training(v), _counts(v))
