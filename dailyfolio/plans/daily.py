@@ -98,7 +98,8 @@ def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date,
     else:
         store.replace("outbox", outbox)
         outbox = store.load("outbox")
-        store.replace("users", update_users(store.load("users"), advance_schedule(due, as_of)))
+        base = store.version("users")
+        store.replace("users", update_users(store.load("users"), advance_schedule(due, as_of)), base=base)
     stages["messages"] = outbox
     return DigestRun(outbox, run_summary(stages))
 

@@ -20,9 +20,10 @@ def settings_stream(updates: DataFrame, store: TableStore, checkpoint: str,
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        base = store.version("users")
         users = store.load("users")
         store.replace("users", apply_settings(users, settings_changes(batch, users)),
-                      batch_token(store.spark, checkpoint, batch_id))
+                      batch_token(store.spark, checkpoint, batch_id), base)
 
     writer = message_updates(updates).writeStream.foreachBatch(apply).option(
         "checkpointLocation", checkpoint)

@@ -12,7 +12,7 @@ from dailyfolio.operators.settings import settings_from_log
 from dailyfolio.plans import daily, feedback, retrain
 from dailyfolio.plans.ingest import fetch
 from dailyfolio.sources import feeds
-from dailyfolio.sources.tables import TableStore
+from dailyfolio.sources.tables import ConcurrentWrite, TableStore
 from dailyfolio.sources.updates import message_updates, read_updates
 from dailyfolio.streaming.ratings import rating_counts_stream
 
@@ -227,6 +227,27 @@ def test_a_replayed_batch_writes_nothing_twice(spark, tmp_path):
     assert store.load("ratings").count() == 1
 
 
+def test_competing_writers_and_failed_writes(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"), compact_after=3)
+    row = lambda i: spark.createDataFrame([(i, 7, f"p{i}", 5, NOW)], schemas.RATINGS)
+    store.replace("ratings", row(0))
+    base = store.version("ratings")
+    store.append("ratings", row(1))
+    with pytest.raises(ConcurrentWrite):
+        store.replace("ratings", row(9), base=base)
+    broken = row(2).withColumn("id", F.raise_error(F.lit("stop")).cast("bigint"))
+    with pytest.raises(Exception, match="stop"):
+        store.append("ratings", broken, "t.1")
+    assert sorted(r["id"] for r in store.load("ratings").collect()) == [0, 1]
+    store.append("ratings", row(2), "t.1")  # the replay of the failed batch is written
+    for i in (3, 4, 5):
+        store.append("ratings", row(i))
+    assert sorted(r["id"] for r in store.load("ratings").collect()) == [0, 1, 2, 3, 4, 5]
+    assert len(store._current("ratings")) <= 3
+    store.append("ratings", row(2), "t.1")  # still known after compaction
+    assert store.load("ratings").count() == 6
+
+
 def test_running_counts(spark, tmp_path):
     source, out = str(tmp_path / "ratings"), []
     spark.createDataFrame([(i, i % 2, f"p{i}", 5, NOW) for i in range(5)], schemas.RATINGS).write.parquet(source)
