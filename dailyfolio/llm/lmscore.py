@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from dailyfolio.llm.words import Words, blocks, grams, words_of
 
-WORD_BITS = 17
-PAIR_BITS = 20
+WORD_BITS = 16
+PAIR_BITS = 19
+SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS)
 FOLDS = 2
 #: Weight of the pair model, and counts added to each word class.
 PAIR_WEIGHT = 0.5
@@ -42,9 +43,8 @@ def _fold(same: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of one task: rows of class, target count and background count, per fold."""
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    seen = np.zeros((FOLDS, 2, size), np.int32)
+    """Counts of one task: rows of class (those of the second fold behind the first), target and background count."""
+    seen = np.zeros((FOLDS, 2, SIZE), np.int32)
     for batch in batches:
         folds, target = _fold(batch["same"].to_numpy()), batch["target"].to_numpy(bool)
         for at, part in blocks(batch["text"]):
@@ -53,14 +53,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fold, hit = folds[at:at + len(part)][w.doc], target[at:at + len(part)][w.doc]
             for f in range(FOLDS):
                 for model, chosen in ((0, (fold == f) & hit), (1, fold == f)):
-                    seen[f, model] += np.bincount(word[chosen], minlength=size).astype(np.int32)
+                    seen[f, model] += np.bincount(word[chosen], minlength=SIZE).astype(np.int32)
                     both = pair[chosen & follows] + (1 << WORD_BITS)
-                    seen[f, model] += np.bincount(both, minlength=size).astype(np.int32)
+                    seen[f, model] += np.bincount(both, minlength=SIZE).astype(np.int32)
     for f in range(FOLDS):
         at = np.flatnonzero(seen[f, 1])
         for cut in range(0, len(at), 200_000):
             some = at[cut:cut + 200_000]
-            yield pd.DataFrame({"fold": np.int32(f), "place": some.astype(np.int32),
+            yield pd.DataFrame({"place": (some + f * SIZE).astype(np.int32),
                                 "t": seen[f, 0][some].astype(np.int64), "b": seen[f, 1][some].astype(np.int64)})
 
 
@@ -89,16 +89,16 @@ def fit(docs: DataFrame, target: DataFrame) -> list[Pair]:
     """The models that score each fold. ``target`` has the ``doc_id`` of the target texts.
 
     Counts cover every text; a task sends at most one row per class and fold, and the driver
-    gets as many in all (bounded by the class bits). Null texts count nothing.
+    gets as many in all (``FOLDS * SIZE`` rows of 12 bytes at most). Null texts count nothing.
     """
     ids = target.select("doc_id").filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     rows = (docs.select("doc_id", "text").filter("text is not null").join(ids, "doc_id", "left")
             .select("text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("same"), F.coalesce("target", F.lit(False)).alias("target"))
-            .mapInPandas(_counted, "fold int, place int, t bigint, b bigint")
-            .groupBy("fold", "place").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toPandas())
+            .mapInPandas(_counted, "place int, t bigint, b bigint")
+            .groupBy("place").agg(F.sum("t").cast("float").alias("t"), F.sum("b").cast("float").alias("b")).toPandas())
     split = 1 << WORD_BITS
-    counts = np.zeros((FOLDS, 2, split + (1 << PAIR_BITS)), np.float32)
-    fold, place = rows["fold"].to_numpy(np.int64), rows["place"].to_numpy(np.int64)
+    counts = np.zeros((FOLDS, 2, SIZE), np.float32)
+    fold, place = np.divmod(rows["place"].to_numpy(np.int64), SIZE)
     counts[fold, 0, place] = rows["t"]
     counts[fold, 1, place] = rows["b"]
     made = []
