@@ -92,7 +92,8 @@ def fit(docs: DataFrame, target: DataFrame) -> list[Pair]:
     gets as many in all (``FOLDS * SIZE`` rows of 12 bytes at most). Null texts count nothing.
     """
     ids = target.select("doc_id").filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    rows = (docs.select("doc_id", "text").filter("text is not null").join(ids, "doc_id", "left")
+    # Hinted, so that small tables take the plan of large ones.
+    rows = (docs.select("doc_id", "text").filter("text is not null").join(ids.hint("shuffle_hash"), "doc_id", "left")
             .select("text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("same"), F.coalesce("target", F.lit(False)).alias("target"))
             .mapInPandas(_counted, "place int, t bigint, b bigint")
             .groupBy("place").agg(F.sum("t").cast("float").alias("t"), F.sum("b").cast("float").alias("b")).toPandas())
