@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailyfolio.llm.words import Words, blocks, grams, words_of
+from dailyfolio.session import written
 
-WORD_BITS = 16
-PAIR_BITS = 19
+WORD_BITS = 15
+PAIR_BITS = 18
 SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS)
 FOLDS = 2
+#: Parts in which the driver takes the counts.
+SLICES = 4
 #: Weight of the pair model, and counts added to each word class.
 PAIR_WEIGHT = 0.5
 ADDED = 0.1
@@ -89,19 +92,22 @@ def fit(docs: DataFrame, target: DataFrame) -> list[Pair]:
     """The models that score each fold. ``target`` has the ``doc_id`` of the target texts.
 
     Counts cover every text; a task sends at most one row per class and fold, and the driver
-    gets as many in all (``FOLDS * SIZE`` rows of 12 bytes at most). Null texts count nothing.
+    gets as many in all (``FOLDS * SIZE`` rows of 12 bytes at most), a slice at a time. Null texts count nothing.
     """
     ids = target.select("doc_id").filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     # Hinted, so that small tables take the plan of large ones.
-    rows = (docs.select("doc_id", "text").filter("text is not null").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    sums = (docs.select("doc_id", "text").filter("text is not null").join(ids.hint("shuffle_hash"), "doc_id", "left")
             .select("text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("same"), F.coalesce("target", F.lit(False)).alias("target"))
             .mapInPandas(_counted, "place int, t bigint, b bigint")
-            .groupBy("place").agg(F.sum("t").cast("float").alias("t"), F.sum("b").cast("float").alias("b")).toPandas())
+            .groupBy("place").agg(F.sum("t").cast("float").alias("t"), F.sum("b").cast("float").alias("b")))
+    sums = written(sums, "lm-counts")
     split = 1 << WORD_BITS
     counts = np.zeros((FOLDS, 2, SIZE), np.float32)
-    fold, place = np.divmod(rows["place"].to_numpy(np.int64), SIZE)
-    counts[fold, 0, place] = rows["t"]
-    counts[fold, 1, place] = rows["b"]
+    for part in range(SLICES):
+        rows = sums.filter(F.pmod("place", F.lit(SLICES)) == part).toPandas()
+        fold, place = np.divmod(rows["place"].to_numpy(np.int64), SIZE)
+        counts[fold, 0, place] = rows["t"]
+        counts[fold, 1, place] = rows["b"]
     made = []
     for f in range(FOLDS):
         other = counts[1 - f]
