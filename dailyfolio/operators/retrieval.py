@@ -211,10 +211,10 @@ def profile_vectors(index: PaperIndex, users: DataFrame) -> DataFrame:
     return exploded(vectors, ["user_id"], "weights", "query_weight")
 
 
-def profile_rows(users: DataFrame) -> int:
+def profile_rows(users: DataFrame, max_features: int = MAX_FEATURES) -> int:
     """Upper bound of the profile terms: a text of c characters has at most c/3+1 words of
     two letters, and twice as many 1- and 2-grams."""
-    bound = F.least(F.lit(MAX_FEATURES), 2 * (F.length("keyword_profile") / 3 + 1))
+    bound = F.least(F.lit(max_features), 2 * (F.length("keyword_profile") / 3 + 1))
     total = users.agg(F.ceil(F.sum(bound)).alias("n")).first()["n"]
     return int(total or 0)
 
@@ -259,7 +259,7 @@ def top_n_for_profiles(index: PaperIndex, users: DataFrame, n: int = TOP_N,
     """
     queries = profile_vectors(index, users)
     postings = index.postings()
-    sims = by_blocks(queries, profile_rows(users), lambda q: sparse_dot(q, postings),
+    sims = by_blocks(queries, profile_rows(users, index.max_features), lambda q: sparse_dot(q, postings),
                      block_rows=block_rows)
     hits = sims.select("user_id", "paper_id", F.round("dot", DIGITS).alias("score"))
     return fill_to_n(top_n(hits.where("score > 0"), n), users, index.papers, n)
