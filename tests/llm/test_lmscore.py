@@ -43,3 +43,34 @@ def test_odd_and_empty_tables(spark, odd, nothing):
     empty = lmscore.fit(nothing, ids)
     assert lmscore.score(nothing, empty).count() == 0
     assert lmscore.score(odd, empty).count() == odd.count()
+
+
+def test_counts_are_exact_for_a_vocabulary_beyond_any_table(spark):
+    """Far more words and pairs than the former tables had classes, against counts by plain dictionaries."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 120_000, 1500)) for _ in range(120)] + [prose(i, 40) for i in range(6)]
+    docs = frame(spark, texts)
+    target = docs.select("doc_id").filter("doc_id % 3 = 0")
+    folds = {r["doc_id"]: r["f"] for r in docs.selectExpr("doc_id", "(xxhash64(text) & 65535) % 2 f").collect()}
+    counts = [[{}, {}], [{}, {}]]
+    for d, text in enumerate(texts):
+        words = text.replace(".", "").split()
+        for gram in [*words, *zip(words, words[1:])]:
+            for m in ((0, 1) if d % 3 == 0 else (1,)):
+                held = counts[folds[d]][m]
+                held[gram] = held.get(gram, 0) + 1
+    size = 1 + len({g for f in counts for g in f[1] if isinstance(g, str)})
+    assert size > 1 << lmscore.WORD_BITS
+    rows = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.fit(docs, target)).collect()}
+    total = [[sum(n for g, n in m.items() if isinstance(g, str)) for m in f] for f in counts]
+    for d in (0, 1, 2, 50, 119, 121):
+        words, f, want = texts[d].replace(".", "").split(), 1 - folds[d], [0.0, 0.0]
+        for m in (0, 1):
+            scale = total[f][0] / total[f][m]
+            for before, word in zip([None, *words], words):
+                p = (counts[f][m].get(word, 0) * scale + lmscore.ADDED) / (total[f][0] + lmscore.ADDED * size)
+                if counts[f][m].get(before, 0):
+                    p = p / 2 + counts[f][m].get((before, word), 0) / counts[f][m][before] / 2
+                want[m] -= math.log(p) / len(words)
+        assert math.isclose(rows[d]["loss_target"], want[0], rel_tol=1e-9)
+        assert math.isclose(rows[d]["loss_background"], want[1], rel_tol=1e-9)
