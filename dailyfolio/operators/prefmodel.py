@@ -208,6 +208,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 FITTED = "user_id bigint, term string, idf double, coef double, n bigint"
+FOLD_FITTED = "user_id bigint, fold int, term string, idf double, coef double"
 FOLD_SCORES = "user_id bigint, fold int, rating_id bigint, paper_id string, label int, score double"
 
 
@@ -227,6 +228,16 @@ def _user_model(max_features: int):
     return run
 
 
+def _fold_model(max_features: int):
+    """As ``_user_model``, of the ratings that one fold of one user is fitted on."""
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        fitted = _user_model(max_features)(key[:1], docs)
+        fold = pa.array([key[1].as_py()] * len(fitted), pa.int32())
+        return fitted.add_column(1, "fold", fold).select(_schema(FOLD_FITTED).names)
+
+    return run
+
+
 def _user_fold_scores(max_features: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         texts = _UserTexts(docs)
@@ -257,9 +268,9 @@ def _trainable(training: DataFrame, min_ratings: int) -> DataFrame:
         trainable_users(training, min_ratings).select("user_id"), "user_id", "left_semi")
 
 
-def _newest(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` newest ratings of each user."""
-    return keep_ranked(rows, ["user_id"], [F.col("rating_id").desc()], n)
+def _newest(rows: DataFrame, n: int, keys: Sequence[str] = ("user_id",)) -> DataFrame:
+    """The ``n`` newest ratings of each user (or other key)."""
+    return keep_ranked(rows, list(keys), [F.col("rating_id").desc()], n)
 
 
 def _with_terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -286,10 +297,26 @@ def fit_models(training: DataFrame, counts: DataFrame, max_features: int = MAX_F
 def fold_scores(training: DataFrame, counts: DataFrame, k: int = FOLDS,
                 max_features: int = MAX_FEATURES, min_ratings: int = MIN_RATINGS,
                 max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Every rating scored by the model fitted without its fold (vocabulary included)."""
-    rows = assign_folds(_newest(_trainable(training, min_ratings), max_train_rows), k)
-    return _with_terms(rows, counts).groupBy("user_id").applyInArrow(
+    """Every rating scored by the model fitted without its fold (vocabulary included).
+
+    Folds cover all ratings. A user with over ``max_train_rows`` has each fold fitted on that many of
+    the newest ratings of the others, one fold per task, and all ratings of the fold scored by joins.
+    """
+    rows = written(assign_folds(_trainable(training, min_ratings), k), "folds")
+    large = rows.groupBy("user_id").count().where(F.col("count") > max_train_rows).select("user_id")
+    whole = _with_terms(rows.join(large, "user_id", "left_anti"), counts).groupBy("user_id").applyInArrow(
         _user_fold_scores(max_features), FOLD_SCORES)
+    if large.isEmpty():
+        return whole
+    hot = rows.join(large, "user_id", "left_semi")
+    others = hot.withColumn("_out", F.explode(F.sequence(F.lit(1), F.lit(k)))).where("fold <> _out")
+    others = _newest(others.drop("fold").withColumnRenamed("_out", "fold"), max_train_rows, ["user_id", "fold"])
+    fitted = written(_with_terms(others, counts).groupBy("user_id", "fold").applyInArrow(
+        _fold_model(max_features), FOLD_FITTED), "fold-fitted")
+    scored = predict_pairs(
+        hot, counts, fitted.where(F.col("term") != BIAS),
+        fitted.where(F.col("term") == BIAS).withColumnRenamed("coef", "intercept"), ["user_id", "fold"], digits=None)
+    return whole.unionByName(scored.select(*whole.columns))
 
 
 def split_fitted(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -316,3 +316,15 @@ def test_retrain_keeps_models_of_others(spark, tmp_path):
     assert sorted(r["user_id"] for r in stored.collect()) == [1, 5]
     assert {(r["stage"], r["rows"]) for r in summary.collect()} == {("active users", 1), ("trained", 1)}
     assert prefmodel.MIN_RATINGS == 30
+
+
+def test_retrain_counts_ratings_beyond_the_bound(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    put_user(store, spark)
+    store.replace("papers", stored_papers(spark, [f"p{i}" for i in range(40)]).withColumn(
+        "abstract", F.when(F.expr("cast(substr(id, 2) as int) % 2 = 0"), F.lit("graph nets")).otherwise(F.lit("cooking soup"))))
+    store.replace("ratings", spark.createDataFrame([(i, 11, f"p{i}", 10 if i % 2 == 0 else 1, NOW) for i in range(40)], schemas.RATINGS))
+    store.replace("models", spark.createDataFrame([], schemas.MODELS))
+    store.replace("model_meta", spark.createDataFrame([], schemas.MODEL_META))
+    (row,) = retrain.retrain_all(store, max_train_rows=31)[0].collect()
+    assert (row["user_id"], row["n"], row["cv_auc_mean"], row["cv_auc_std"]) == (1, 40, 1.0, 0.0)

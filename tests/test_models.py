@@ -233,3 +233,20 @@ def test_cross_validation(spark):
             aucs.append(pair_auc([(round(sum(x * coef[t] for t, x in vec(docs[int(p[1:])]).items()), 7), y) for _, _, p, y in held]))
         assert got[u]["cv_auc_mean"] == pytest.approx(np.mean(aucs), abs=2e-3)
         assert got[u]["cv_auc_std"] == pytest.approx(np.std(aucs), abs=2e-3)
+
+
+def test_all_ratings_beyond_the_bound_are_cross_validated(spark):
+    """User 0 has 120 ratings; with a bound of 70 each fold is fitted on the newest 70 of the others."""
+    docs, rows, training, counts = training_case(spark, users=2)
+    got = prefmodel.fold_scores(training, counts, 5, max_features=80, max_train_rows=70).collect()
+    assert sorted((r["user_id"], r["rating_id"]) for r in got) == sorted((r[0], r[1]) for r in rows)
+    own = [r for r in rows if r[0] == 0]
+    folds = dealt_folds([r[3] for r in own], 5)
+    of = {r["rating_id"]: r for r in got if r["user_id"] == 0}
+    for k in range(1, 6):
+        vec, terms, w = reference_fit(docs, [r for r, f in zip(own, folds) if f != k][-70:], 80)
+        coef = dict(zip(terms, w))
+        for _, rating, paper, label in (r for r, f in zip(own, folds) if f == k):
+            z = sum(x * coef[t] for t, x in vec(docs[int(paper[1:])]).items()) + w[-1]
+            assert (of[rating]["fold"], of[rating]["label"]) == (k, label)
+            assert of[rating]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
