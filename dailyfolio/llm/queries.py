@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailyfolio.llm import decontam, htmltext, langid, lmscore, packing, pii, quality, simhash, spans, urls
+from dailyfolio.llm import decontam, htmltext, langid, lmscore, merkle, packing, pii, quality, simhash, spans, urls
 from dailyfolio.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.sql()}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.sql(), "op11_merkle_manifest": merkle.sql()}
 
 
 def query(fn: Query) -> Query:
@@ -94,3 +94,8 @@ def op10_substring_dedup(spark, sf_dir):
         F.aggregate(removed, F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"]).alias("removed_chars"),
         F.array_join(F.transform(removed, lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",").alias("removed"),
         F.sha2("__cut.text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
