@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailyfolio.llm import decontam, htmltext, langid, lmscore, merkle, packing, pii, quality, simhash, spans, urls
+from dailyfolio.llm import bags, decontam, htmltext, langid, lmscore, merkle, packing, pii, quality, simhash, spans, topk, urls
 from dailyfolio.llm.words import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.sql(), "op11_merkle_manifest": merkle.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": urls.sql(), "op11_merkle_manifest": merkle.sql(), "op12_exact_top_k_search": topk.sql(),
+    "op13_ranked_lexical_search": bags.sql()}
 
 
 def query(fn: Query) -> Query:
@@ -99,3 +101,13 @@ def op10_substring_dedup(spark, sf_dir):
 @query
 def op11_merkle_manifest(spark, sf_dir):
     return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_exact_top_k_search(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_ranked_lexical_search(spark, sf_dir):
+    return bags.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -35,6 +35,6 @@ def test_stages_pass_odd_tables(spark, odd, nothing, tmp_path):
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
