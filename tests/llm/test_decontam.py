@@ -66,6 +66,51 @@ def test_verbatim_reordered_and_partial_passages(spark, bench):
     assert found(frame(spark, texts), bench, block_words=10) == got
 
 
+def plain(texts, items, least=5, coverage=0.6):
+    """Every text tiled against every item, without seeds."""
+    keys = lambda x: words_of([x or ""]).key.tolist()
+    out = {}
+    for d, text in enumerate(texts):
+        out[d], words = {}, keys(text)
+        for i, item in items:
+            item = keys(item)
+            if i is not None and item:
+                share = plain_tiles(item, words, min(least, len(item))) / len(item)
+                if share >= coverage:
+                    out[d][i] = max(round(share, 2), out[d].get(i, 0))
+    return out
+
+
+def test_whole_query_equals_tiling_every_pair(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n, k: " ".join(f"w{v}" for v in rng.integers(0, k, n))
+    items = [(f"item {i}", draw(6 + 3 * (i % 5), 5 + 20 * (i % 3))) for i in range(12)] + [
+        ("few", "w1 w2 w3"), ("same", "so " * 30), (None, draw(20, 9)), ("null", None), ("item 0", "w1 w1 w2 w2 w3 w3 w4")]
+    texts = [draw(30, 4 + 6 * (i % 6)) for i in range(40)]
+    for i in range(12):
+        w = items[i][1].split()
+        texts += [draw(9, 60) + " " + " ".join(w[len(w) // 2:]) + " x y z " + " ".join(w[:len(w) // 2]), items[i][1].upper()]
+    texts += ["so " * 17, "so " * 90, "so " * 19 + "x " + "so " * 8, None, "", "w1 w2 w3"]
+    bench = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id string, text string, coverage double")
+    want = plain(texts, items)
+    assert sum(map(bool, want.values())) > 15
+    assert found(frame(spark, texts), bench) == want
+    assert found(frame(spark, texts), bench, block_words=12) == want
+    kept = decontam.decontaminated(frame(spark, texts), bench, block_words=30)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [d for d, f in want.items() if not f]
+
+
+def test_repeated_words_stay_small(spark):
+    import tracemalloc
+
+    block = decontam.Benchmark(["word " * 1000, "a b " * 300], 5, 0.6)
+    tracemalloc.start()
+    got = block.matches(["word " * 40_000, "word " * 700, "word " * 500, "a b " * 5_000 + "b " * 900])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [[(0, 1.0)], [(0, 0.7)], [], [(1, 1.0)]] and peak < 60e6
+
+
 def test_stage_drops_only_contaminated(spark, bench):
     docs = frame(spark, [ITEM, prose(1, 50), None])
     kept = decontam.decontaminated(docs, bench)
