@@ -1,10 +1,11 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The patterns find the base spans, which always stay. The field then works on the neighbourhoods
-of digits, ``@``, ``=`` and ``+``: every run of up to ``MAX_CHUNKS`` white-space separated chunks is a candidate
-segment, described by features of the whole span (its shape, digit counts, checksums, context).
-A dynamic program over segments of bounded length picks boundaries and types together. It
-is trained on the base spans and on plain forms of secrets in a bounded sample, so that what it
+of digits, ``@``, ``=``, ``+`` and of what follows a name like ``password:``: every run of up to ``MAX_CHUNKS`` chunks is a candidate
+segment, described by features of the whole span (its shape, digit counts, checksums, context). Chunks are parted by white space;
+longer ones, and those that look like a record, also by quotes, brackets and other marks, so none is too long to be looked at.
+A dynamic program over segments of a bounded number of chunks picks boundaries and types together; features are held for a block of
+chunks at a time. It is trained on the base spans and on plain forms of secrets in a bounded sample, so that what it
 adds are spans that look and stand like those.
 """
 
@@ -14,6 +15,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,13 +26,18 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 
-#: Chunks of a segment, characters of a chunk that can be part of one, chunks of context.
+#: Chunks of a segment, characters from which a chunk is parted at marks too, chunks of context.
 MAX_CHUNKS = 6
-MAX_CHUNK_CHARS = 200
+LONG_CHUNK = 200
 CONTEXT = 2
-#: Expected documents of the training sample, chosen by a hash, and neighbourhoods kept of each.
+#: First chunks of the segments whose features are held at once.
+BLOCK_CHUNKS = 1024
+#: Expected distinct texts of the training sample, chosen by a hash, neighbourhoods kept of each, and
+#: the chunks and characters that one may have there (longer ones are cut, for the training only).
 FIT_DOCS = 3000
 FIT_PER_DOC = 8
+FIT_CHUNKS = 64
+FIT_CHARS = 2000
 #: How far a segment's score must lie above that of no entity.
 MARGIN = 2.0
 SHAPES = 2048
@@ -43,6 +51,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@=+]")
 _CHUNK = re.compile(r"\S+")
+_PIECE = re.compile(r"[^\s\"'`,;:&|{}\[\]()<>]+")
+#: What announces a secret; the chunk behind it is looked at whatever it holds.
+_NAME = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api_?key)[\"']?\s?[=:]\s?[\"']?(?=\S)")
 
 Span = tuple[str, int, int]
 
@@ -100,11 +111,11 @@ def _seed_secrets(text: str) -> list[Span]:
 
 @dataclass(frozen=True)
 class Region:
-    """A neighbourhood: its candidate segments as (first chunk, last chunk, start, end)."""
+    """Candidate segments of a neighbourhood as rows (first chunk, last chunk, start, end), with their features."""
 
     chunks: int
-    segments: list[tuple[int, int, int, int]]
-    features: np.ndarray  # segments x ACTIVE indices
+    segments: np.ndarray
+    features: np.ndarray  # segments x active indices
 
 
 def _bounds(text: str, start: int, end: int) -> tuple[int, int]:
@@ -163,30 +174,68 @@ def _features(text: str, before: str, chunks: int) -> list[int]:
             *(SHAPES + k * _SLOT_SIZE + min(int(v), _SLOT_SIZE - 1) for k, v in enumerate(slots))]
 
 
-def regions(text: str) -> Iterator[Region]:
-    """The neighbourhoods of the chunks that hold a trigger, in order."""
-    if not _TRIGGER.search(text):
+#: Short segments repeat (numbers, words after names); those of tables nearly all do.
+_short_features = lru_cache(1 << 14)(_features)
+
+
+def chunks_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the chunks."""
+    out: list[int] = []
+    for m in _CHUNK.finditer(text):
+        a, b = m.span()
+        if b - a > LONG_CHUNK or text.find('":', a, b) >= 0:
+            for p in _PIECE.finditer(text, a, b):
+                out += p.span()
+        else:
+            out += (a, b)
+    flat = np.array(out, np.int64)
+    return flat[::2], flat[1::2]
+
+
+def neighbourhoods(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of chunks around triggers: their starts, their ends, and which of them hold a trigger."""
+    if not _TRIGGER.search(text) and not _NAME.search(text):
         return
-    chunks = [m.span() for m in _CHUNK.finditer(text)]
-    starts = np.array([a for a, _ in chunks])
+    starts, ends = chunks_of(text)
     marks = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
+    marks = np.concatenate([marks, np.fromiter((m.end() for m in _NAME.finditer(text)), np.int64)])
     hit = np.unique(np.searchsorted(starts, marks, "right") - 1)
+    hit = hit[hit >= 0]
+    if not len(hit):
+        return
     for run in np.split(hit, np.flatnonzero(np.diff(hit) > 2 * CONTEXT) + 1):
-        low, high = max(0, int(run[0]) - CONTEXT), min(len(chunks), int(run[-1]) + CONTEXT + 1)
-        triggered = set(run.tolist())
+        low, high = max(0, int(run[0]) - CONTEXT), min(len(starts), int(run[-1]) + CONTEXT + 1)
+        triggered = np.zeros(high - low, bool)
+        triggered[run - low] = True
+        yield starts[low:high], ends[low:high], triggered
+
+
+def segments_of(text: str, starts: np.ndarray, ends: np.ndarray, triggered: np.ndarray) -> Iterator[Region]:
+    """The candidate segments of a neighbourhood, a block of first chunks at a time.
+
+    A segment begins and ends with a chunk that holds a trigger.
+    """
+    places = np.flatnonzero(triggered)
+    for at in range(0, len(places), BLOCK_CHUNKS):
         segments, features = [], []
-        for i in range(low, high):
-            for j in range(i, min(high, i + MAX_CHUNKS)):
-                if chunks[j][1] - chunks[j][0] > MAX_CHUNK_CHARS:
-                    break
-                if i not in triggered or j not in triggered:
-                    continue  # a segment begins and ends with a trigger
-                a, b = _bounds(text, chunks[i][0], chunks[j][1])
-                if a < b:
-                    segments.append((i - low, j - low, a, b))
-                    features.append(_features(text[a:b], text[max(0, a - 16):a], j - i + 1))
+        for i in places[at:at + BLOCK_CHUNKS].tolist():
+            for j in range(i, min(len(starts), i + MAX_CHUNKS)):
+                if triggered[j]:
+                    a, b = _bounds(text, int(starts[i]), int(ends[j]))
+                    if a < b:
+                        segments.append((i, j, a, b))
+                        of = _short_features if b - a <= 64 else _features
+                        features.append(of(text[a:b], text[max(0, a - 16):a], j - i + 1))
         if segments:
-            yield Region(high - low, segments, np.array(features, np.int64))
+            yield Region(len(starts), np.array(segments, np.int64), np.array(features, np.int64))
+
+
+def regions(text: str) -> Iterator[Region]:
+    """The neighbourhoods with all their segments, in order; for texts of bounded length."""
+    for starts, ends, triggered in neighbourhoods(text):
+        parts = list(segments_of(text, starts, ends, triggered))
+        if parts:
+            yield Region(len(starts), np.concatenate([p.segments for p in parts]), np.concatenate([p.features for p in parts]))
 
 
 @dataclass(frozen=True)
@@ -195,31 +244,41 @@ class Field:
 
     weights: np.ndarray  # FEATURES x kinds
 
-    def segments(self, region: Region) -> list[Span]:
-        """The best segmentation: kinds and boundaries chosen together."""
-        score = self.weights[region.features].sum(1) - MARGIN
-        kind = score.argmax(1)
-        score = score[np.arange(len(kind)), kind]
-        best = [0.0] * (region.chunks + 1)
-        back: list[int | None] = [None] * (region.chunks + 1)
+    def _promising(self, parts: Iterator[Region]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The segments that score above no entity, with their best kinds and scores."""
+        segments, kinds, scores = [np.zeros((0, 4), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for part in parts:
+            score = self.weights[part.features].sum(1) - MARGIN
+            kind = score.argmax(1)
+            score = score[np.arange(len(kind)), kind]
+            keep = score > 0
+            segments.append(part.segments[keep])
+            kinds.append(kind[keep])
+            scores.append(score[keep])
+        return np.concatenate(segments), np.concatenate(kinds), np.concatenate(scores)
+
+    def segments(self, chunks: int, parts: Iterator[Region]) -> list[Span]:
+        """The best segmentation of a neighbourhood: kinds and boundaries chosen together."""
+        segments, kinds, scores = self._promising(parts)
+        best = [0.0] * (chunks + 1)
+        back: dict[int, int] = {}
         ending: dict[int, list[int]] = {}
-        for k, (i, j, _, _) in enumerate(region.segments):
-            if score[k] > 0:
-                ending.setdefault(j + 1, []).append(k)
-        for at in range(1, region.chunks + 1):
+        for k, j in enumerate(segments[:, 1].tolist()):
+            ending.setdefault(j + 1, []).append(k)
+        for at in range(1, chunks + 1):
             best[at] = best[at - 1]
             for k in ending.get(at, ()):
-                total = best[region.segments[k][0]] + score[k]
+                total = best[segments[k, 0]] + scores[k]
                 if total > best[at]:
                     best[at], back[at] = total, k
-        out, at = [], region.chunks
+        out, at = [], chunks
         while at > 0:
-            k = back[at]
+            k = back.get(at)
             if k is None:
                 at -= 1
             else:
-                i, _, a, b = region.segments[k]
-                out.append((KINDS[kind[k]], a, b))
+                i, _, a, b = segments[k].tolist()
+                out.append((KINDS[kinds[k]], a, b))
                 at = i
         return out[::-1]
 
@@ -230,7 +289,7 @@ def _marginals(region: Region, score: np.ndarray) -> tuple[np.ndarray, float]:
     by_end: dict[int, list[int]] = {}
     by_start: dict[int, list[int]] = {}
     total = np.logaddexp.reduce(score, axis=1)
-    for k, (i, j, _, _) in enumerate(region.segments):
+    for k, (i, j, _, _) in enumerate(region.segments.tolist()):
         by_end.setdefault(j + 1, []).append(k)
         by_start.setdefault(i, []).append(k)
     alpha, beta = np.zeros(n + 1), np.zeros(n + 1)
@@ -240,7 +299,7 @@ def _marginals(region: Region, score: np.ndarray) -> tuple[np.ndarray, float]:
     for at in range(n - 1, -1, -1):
         beta[at] = np.logaddexp.reduce(
             [beta[at + 1], *(beta[region.segments[k][1] + 1] + total[k] for k in by_start.get(at, ()))])
-    edges = np.array([alpha[i] + beta[j + 1] for i, j, _, _ in region.segments]) - alpha[n]
+    edges = np.array([alpha[i] + beta[j + 1] for i, j, _, _ in region.segments.tolist()]) - alpha[n]
     return np.exp(score + edges[:, None]), float(alpha[n])
 
 
@@ -266,13 +325,14 @@ def train(examples: list[tuple[Region, list[tuple[int, int]]]], epochs: int = EP
     return Field(w)
 
 
-def examples_of(text: str) -> list[tuple[Region, list[tuple[int, int]]]]:
-    """Regions with the seed spans that coincide with a candidate segment."""
-    seeds = {(a, b): KINDS.index(k) for k, a, b in [*_seed_secrets(text), *base_spans(text)]}
+def examples_of(text: str, secrets: list[Span] | None = None) -> list[tuple[Region, list[tuple[int, int]]]]:
+    """Regions with the seed spans (or the given ``secrets``) that coincide with a candidate segment."""
+    known = _seed_secrets(text) if secrets is None else secrets
+    seeds = {(a, b): KINDS.index(k) for k, a, b in [*known, *base_spans(text)]}
     out = []
     for region in regions(text):
         gold, end = [], -1
-        for k, (_, _, a, b) in enumerate(region.segments):
+        for k, (_, _, a, b) in enumerate(region.segments.tolist()):
             if (a, b) in seeds and a >= end:
                 gold.append((k, seeds[a, b]))
                 end = b
@@ -280,38 +340,53 @@ def examples_of(text: str) -> list[tuple[Region, list[tuple[int, int]]]]:
     return out
 
 
-def made_examples(n: int = 120) -> list[str]:
-    """Short texts that hold a made-up secret of each plain form, for samples that have few."""
+def made_examples(n: int = 240) -> list[tuple[str, list[Span]]]:
+    """Short texts that hold a made-up secret of each plain form, for samples that have few, with its place."""
     rng = np.random.default_rng(0)
     pick = lambda letters, k: "".join(rng.choice(list(letters), k))
     hexes, upper, small = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    mixed = upper + small
     out = []
     for i in range(n):
         name = ("password", "passwd", "secret", "token", "api_key")[i % 5]
-        form = (f"{name}={pick(hexes, 12 + i % 12)}", f'{name} = "{pick(hexes, 24 + i % 20)}"',
-                f"AKIA{pick(upper, 16)}")[i % 3]
+        key, short = pick(hexes, 24 + i % 20), pick(hexes, 12 + i % 12)
+        form, held = (  # the text of a form, and what of it is the secret
+            (f"{name}={short}",) * 2, (f'{name} = "{key}"', key), (f"AKIA{pick(upper, 16)}",) * 2,
+            (f"{name}: {(letters := pick(small, 8 + i % 14))}", letters),
+            ((token := f"{pick(small, 2 + i // 8 % 5)}{'_-'[i // 8 % 2]}{pick(mixed, 20 + i // 8)}"), token),
+            (f'{{"id":"{i}","{name}":"{(value := pick(mixed, 12 + i % 20))}","on":"yes"}}', value),
+            (f"{name}={(whole := pick(mixed, 210 + i))}", f"{name}={whole}"),
+            (f"{name}: {pick(small, 2 + i // 8 % 5)}", ""))[i % 8]  # a short word is none
         around = [pick(small, 2 + (i + k) % 7) for k in range(4)]
-        out.append(f"{around[0]} {around[1]} {form} {around[2]} {around[3]}, {i % 90} {around[0]}{'.' if i % 2 else ''}")
+        text = f"{around[0]} {around[1]} {form} {around[2]} {around[3]}, {i % 90} {around[0]}{'.' if i % 2 else ''}"
+        at = text.index(held)
+        out.append((text, [("secret", at, at + len(held))] if held else []))
     return out
 
 
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The text of the first neighbourhoods of each text, cut to the size of training examples."""
+    for batch in batches:
+        cut = []
+        for text in batch["text"]:
+            for starts, ends, _ in islice(neighbourhoods(text), FIT_PER_DOC):
+                a, b = int(starts[0]), int(ends[min(len(ends), FIT_CHUNKS) - 1])
+                cut.append(text[max(0, a - 16):min(b, a + FIT_CHARS)])
+        yield pd.DataFrame({"text": cut}, dtype=object)
+
+
 def fit(docs: DataFrame, sample: int = FIT_DOCS) -> Field:
-    """Trains on about ``sample`` documents, chosen by a hash of the text, and on ``made_examples``."""
+    """Trains on about ``sample`` distinct texts, chosen by a hash of the text, and on ``made_examples``.
+
+    The driver gets at most ``FIT_PER_DOC`` neighbourhoods of ``FIT_CHARS`` characters of each. Null and empty texts
+    have none; a text that repeats counts once; an empty table leaves the made-up examples.
+    """
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     share = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     total = max(1, docs.count())
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cut = []
-            for text in batch["text"]:
-                for region in list(regions(text))[:FIT_PER_DOC]:
-                    a, b = region.segments[0][2], region.segments[-1][3]
-                    cut.append(text[max(0, a - 60):b + 60])
-            yield pd.DataFrame({"text": cut}, dtype=object)
-
-    rows = texts.filter(share * total < sample).mapInPandas(near, "text string").toPandas()
-    return train([x for text in [*sorted(rows["text"]), *made_examples()] for x in examples_of(text)])
+    rows = texts.filter(share * total < sample).distinct().mapInPandas(_near, "text string").toPandas()
+    examples = [x for text in sorted(rows["text"]) for x in examples_of(text)]
+    return train(examples + [x for text, secrets in made_examples() for x in examples_of(text, secrets)])
 
 
 def spans_of(text: str, field: Field) -> list[Span]:
@@ -321,8 +396,8 @@ def spans_of(text: str, field: Field) -> list[Span]:
     starts = np.array([a for a, _ in taken])
     reach = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
     added = []
-    for region in regions(text):
-        for kind, a, b in field.segments(region):
+    for near in neighbourhoods(text):
+        for kind, a, b in field.segments(len(near[0]), segments_of(text, *near)):
             k = int(np.searchsorted(starts, b)) - 1
             if k < 0 or reach[k] <= a:
                 added.append((kind, a, b))
@@ -370,7 +445,11 @@ def masked(text: str | None, field: Field) -> str | None:
 
 
 def mask(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with personal data masked; ``n_chars`` becomes the length of the new text."""
+    """``docs`` with personal data masked; ``n_chars`` becomes the length of the new text.
+
+    A null text stays null (and its ``n_chars`` becomes null), an empty one empty. Every row is masked by itself, so rows that repeat
+    stay equal; all other columns are kept.
+    """
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series) -> pd.Series:

@@ -51,7 +51,7 @@ def test_best_segmentation_equals_exhaustive_search():
                 places = [(region.segments[k][0], region.segments[k][1]) for k in chosen]
                 if all(a[1] < b[0] or b[1] < a[0] for x, a in enumerate(places) for b in places[:x]):
                     best = max(best, sum(score[k] for k in chosen))
-            got = {(a, b) for _, a, b in field.segments(region)}
+            got = {(a, b) for _, a, b in field.segments(region.chunks, iter([region]))}
             total = sum(score[k] for k, s in enumerate(region.segments) if (s[2], s[3]) in got)
             assert total == pytest.approx(best)
 
@@ -87,6 +87,47 @@ def test_the_field_finds_secrets_and_leaves_prose_alone(field):
         assert pii.spans_of(text, field) == []
 
 
+def secrets(text, field):
+    return {text[a:b] for k, a, b in pii.spans_of(text, field) if k == "secret"}
+
+
+def test_long_chunks_and_values_of_letters_are_looked_at(field):
+    long = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789"), 300))
+    assert secrets(f"set token={long} here", field) == {f"token={long}"}
+    assert secrets("the password: correcthorsebattery of", field) == {"correcthorsebattery"}
+    record = '{"id":"17","note":"' + "plain-words-" * 20 + '","token":"' + long[:40] + '","on":"yes"}'
+    assert len(record) > 300 and long[:40] in secrets(record, field)
+    glued = "x," * 150 + f"password={long[:24]}," + "y," * 150
+    assert f"password={long[:24]}" in secrets(glued, field)
+    for key in ("ghp_" + long[:36], "glpat-" + long[40:60] + long[:8], "zq9_" + long[100:132]):
+        assert secrets(f"use {key} today", field) == {key}  # no pattern names these forms
+    for text in ["the password is short", "a secret: yes or no", "token ring networks of 1990", "see https://a.org/x/2019/05/some-long-title-here-2 now"]:
+        assert secrets(text, field) == set(), text
+
+
+def test_blocks_of_chunks_change_nothing_and_bound_memory(field, monkeypatch):
+    import tracemalloc
+
+    text = " ".join(f"{i % 97} {'a' * (i % 5)} +{i} token={i:08x}{i:08x}" for i in range(400))
+    whole = pii.spans_of(text, field)
+    monkeypatch.setattr(pii, "BLOCK_CHUNKS", 3)
+    assert pii.spans_of(text, field) == whole and len(whole) > 200
+    monkeypatch.undo()
+    tracemalloc.start()
+    pii.spans_of("1 " * 100_000, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 300 bytes a character before the chunks went block by block: 870 MB
+
+
+def test_the_sample_is_of_distinct_texts(spark):
+    docs = frame(spark, ["call +1 (743) 555-3824 now"] * 3000)
+    got = docs.select("text").distinct().mapInPandas(pii._near, "text string").count()
+    assert got == 1 and pii.fit(docs).weights.shape == (pii.FEATURES, len(pii.KINDS))
+    (cut,) = [t for b in pii._near(iter([docs.select("text").limit(1).toPandas().assign(text="7 " * 9000)])) for t in b["text"]]
+    assert len(cut) <= pii.FIT_CHARS
+
+
 def test_masking_and_columns(spark, field):
     docs = frame(spark, ["mail a.b@c.de now", "call +1 (743) 555-3824", None, "nothing here"])
     rows = {r["doc_id"]: r for r in pii.mask(docs, field).collect()}
