@@ -1,9 +1,10 @@
 """Repeated passages: hashes of runs of consecutive sentences, joined over the whole corpus.
 
-A sentence ends at ``. ! ?`` or a line feed; one of over ``LONG`` words is cut into pieces of that
-many, so that a passage without stops is several sentences too. Every run of ``RUN`` sentences with at
-least ``LEAST`` words is hashed (case, spacing and punctuation do not count). A run that occurs
-more than once keeps its first place, the smallest (doc_id, text hash, position); the sentences that any other place covers are removed.
+A sentence ends at ``. ! ?`` or a line feed; one of over ``LONG`` words is parted where the content says so, at words
+whose hash is the least among ``WINDOW`` words on either side, so that the parts move with a passage and are found at any
+offset (what repeats one word is parted by length). Every run of ``RUN`` sentences, extended by more of them until it has ``LEAST`` words, is hashed (case, spacing and
+punctuation do not count). A run that occurs more than once keeps its first place, the smallest (doc_id, text hash,
+position); the sentences that any other place covers are removed.
 """
 
 from __future__ import annotations
@@ -17,49 +18,72 @@ from dailyfolio.llm.words import Words, blocks, mix, words_of
 from dailyfolio.session import written
 
 RUN = 2
-LEAST = 8
-LONG = 24
+LEAST = 20
+LONG = 12
+WINDOW = 5
+#: Words of the parts of what repeats one word.
+STRIDE = 24
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _OTHER = np.uint64(0xA24BAED4963EE407)
 
 
 def sentences(w: Words, long: int = LONG) -> np.ndarray:
-    """The index of the first word of each sentence."""
+    """The index of the first word of each sentence, parts of long ones included."""
     if not len(w.doc):
         return np.zeros(0, np.int64)
     new = w.breaks.copy()
     new[0] = True
     new[1:] |= w.doc[1:] != w.doc[:-1]
-    start = np.flatnonzero(new)
-    place = np.arange(len(new)) - np.repeat(start, np.diff(np.concatenate([start, [len(new)]])))
-    return np.flatnonzero(place % long == 0)
+    number = np.cumsum(new)
+    least = (np.bincount(number)[number] > long) & ~new
+    for k in range(1, WINDOW + 1):
+        same = number[k:] == number[:-k]
+        least[k:] &= ~same | (w.key[k:] < w.key[:-k])
+        least[:-k] &= ~same | (w.key[:-k] <= w.key[k:])
+    first = np.flatnonzero(new | least)
+    # Where nothing stands out (one word over and over) parts of equal length from the part's own start are as good.
+    place = np.arange(len(new)) - np.repeat(first, np.diff(np.concatenate([first, [len(new)]])))
+    return np.flatnonzero(place % STRIDE == 0)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def _run_hash(sentence: np.ndarray, step: np.uint64, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each run, whatever its place: differences of one running sum, shifted back."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sentence * _powers(step, len(sentence)))])
+    back = _powers(np.uint64(pow(int(step), -1, 1 << 64)), len(sentence))
+    return mix((total[end] - total[first]) * back[first] + (end - first).astype(np.uint64))
 
 
 def runs(texts: list[str], run: int = RUN, least: int = LEAST, long: int = LONG) -> pd.DataFrame:
-    """Runs of each text: its place in the list, the first sentence, and 64 + 32 bits of hash."""
+    """Runs of each text: its place in the list, the first sentence, how many, and 64 + 32 bits of hash."""
     w = words_of(texts)
     first = sentences(w, long)
-    n = len(first) - run + 1
-    if n <= 0:
-        return pd.DataFrame({"doc": np.zeros(0, np.int64), "sentence": np.zeros(0, np.int32),
+    n = len(first)
+    if not n:
+        return pd.DataFrame({"doc": np.zeros(0, np.int64), "sentence": np.zeros(0, np.int32), "many": np.zeros(0, np.int32),
                              "hash": np.zeros(0, np.int64), "check": np.zeros(0, np.int32)})
-    size = np.diff(np.concatenate([first, [len(w.doc)]]))
+    edge = np.concatenate([first, [len(w.doc)]])
+    size = np.diff(edge)
     place = np.arange(len(w.doc)) - np.repeat(first, size)
-    power = np.ones(long, np.uint64)
-    power[1:] = _STEP
-    whole = mix(np.add.reduceat(w.key * np.cumprod(power)[place], first) + size.astype(np.uint64))
-    other = mix(np.add.reduceat(mix(w.key + _OTHER) * np.cumprod(power)[place], first))
-    h, c, words = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for k in range(run):
-        h = mix(h * _STEP + whole[k:n + k])
-        c = mix(c * _OTHER + other[k:n + k])
-        words += size[k:n + k]
+    power = _powers(_STEP, int(size.max()))
+    whole = mix(np.add.reduceat(w.key * power[place], first) + size.astype(np.uint64))
+    other = mix(np.add.reduceat(mix(w.key + _OTHER) * power[place], first))
+    begin = np.arange(n)
+    end = np.maximum(begin + run, np.searchsorted(edge, first + least))
     doc = w.doc[first]
     head = np.searchsorted(doc, doc, "left")
-    keep = np.flatnonzero((doc[:n] == doc[run - 1:]) & (words >= least))
-    return pd.DataFrame({"doc": doc[keep], "sentence": (np.arange(len(doc)) - head)[keep].astype(np.int32),
-                         "hash": h[keep].view(np.int64), "check": (c[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)})
+    keep = np.flatnonzero(end <= np.searchsorted(doc, doc, "right"))
+    begin, end = begin[keep], end[keep]
+    h, c = _run_hash(whole, _STEP, begin, end), _run_hash(other, _OTHER, begin, end)
+    return pd.DataFrame({"doc": doc[keep], "sentence": (begin - head[keep]).astype(np.int32),
+                         "many": (end - begin).astype(np.int32), "hash": h.view(np.int64),
+                         "check": (c >> np.uint64(32)).astype(np.uint32).view(np.int32)})
 
 
 def kept_text(text: str, covered: list[int], long: int = LONG) -> tuple[str, list[tuple[int, int]]]:
@@ -85,11 +109,11 @@ def kept_text(text: str, covered: list[int], long: int = LONG) -> tuple[str, lis
 
 
 def run_rows(docs: DataFrame, run: int = RUN, least: int = LEAST, long: int = LONG) -> DataFrame:
-    """``(doc_id, same, sentence, hash, check)``: a row for every run; ``same`` is a hash of the text."""
+    """``(doc_id, same, sentence, many, hash, check)``: a row for every run; ``same`` is a hash of the text."""
 
-    @F.pandas_udf("struct<sentence: array<int>, hash: array<bigint>, check: array<int>>")
+    @F.pandas_udf("struct<sentence: array<int>, many: array<int>, hash: array<bigint>, check: array<int>>")
     def made(texts: pd.Series) -> pd.DataFrame:
-        out: dict[str, list] = {"sentence": [], "hash": [], "check": []}
+        out: dict[str, list] = {"sentence": [], "many": [], "hash": [], "check": []}
         for _, part in blocks(texts):
             r = runs(part, run, least, long)
             edge = np.searchsorted(r["doc"].to_numpy(), np.arange(1, len(part)))
@@ -99,7 +123,7 @@ def run_rows(docs: DataFrame, run: int = RUN, least: int = LEAST, long: int = LO
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("same"),
                        made.asNondeterministic()(F.col("text")).alias("runs"))
-    return rows.select("doc_id", "same", F.inline(F.arrays_zip("runs.sentence", "runs.hash", "runs.check")))
+    return rows.select("doc_id", "same", F.inline(F.arrays_zip("runs.sentence", "runs.many", "runs.hash", "runs.check")))
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -118,7 +142,7 @@ def covered(docs: DataFrame, run: int = RUN, least: int = LEAST, long: int = LON
     later = rows.join(again, ["hash", "check"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "same").agg(
         F.array_distinct(F.flatten(F.collect_set(F.transform(
-            F.sequence(F.lit(0), F.lit(run - 1)), lambda k: F.col("sentence") + k)))).alias("covered"))
+            F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.col("sentence") + k)))).alias("covered"))
 
 
 def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST, long: int = LONG) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
 import re
 
 from dailyfolio.llm import spans
+from dailyfolio.llm.words import table, words_of
 from tests.llm.conftest import frame, prose
 
 SHARED = ("Shared words come along here with many others, and go on. Then a second sentence follows them with its own. "
@@ -8,28 +10,40 @@ SHARED = ("Shared words come along here with many others, and go on. Then a seco
           "so that it must be found wherever else it stands in any text of this small corpus.")
 
 
+def parted(keys):
+    """Where a sentence of these word hashes is parted, by the rule read literally."""
+    cuts = [0]
+    if len(keys) > spans.LONG:
+        for i in range(1, len(keys)):
+            before, after = keys[max(0, i - spans.WINDOW):i], keys[i + 1:i + 1 + spans.WINDOW]
+            if all(keys[i] < k for k in before) and all(keys[i] <= k for k in after):
+                cuts.append(i)
+    ends = [*cuts[1:], len(keys)]
+    return [k for a, b in zip(cuts, ends) for k in range(a, b, spans.STRIDE)]
+
+
 def plain(texts):
     """Removed character ranges by comparing runs of sentences as lists of words."""
     cut = {}
     seen = {}
     for d, text in enumerate(texts):
-        words = [(m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text or "")]
-        starts, size = [], 0
-        for k, (at, _) in enumerate(words):
-            gap = (text or "")[words[k - 1][0] + len(words[k - 1][1]):at] if k else "."
-            size += 1
-            if re.search(r"[.!?\n]", gap) or size > spans.LONG:
-                starts.append(k)
-                size = 1
+        text = text or ""
+        words = [(m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text)]
+        gaps = [text[words[k - 1][0] + len(words[k - 1][1]):words[k][0]] if k else "." for k in range(len(words))]
+        stops = [k for k, g in enumerate(gaps) if re.search(r"[.!?\n]", g)]
+        keys = words_of([text]).key.tolist()
+        starts = [a + k for a, b in zip(stops, [*stops[1:], len(words)]) for k in parted(keys[a:b])]
         ends = [*starts[1:], len(words)]
-        edges = [0, *[words[k][0] for k in starts[1:]], len(text or "")]
+        edges = [0, *[words[k][0] for k in starts[1:]], len(text)]
         covered = set()
-        for i in range(len(starts) - spans.RUN + 1):
-            run = tuple(tuple(w for _, w in words[starts[k]:ends[k]]) for k in range(i, i + spans.RUN))
-            if sum(map(len, run)) >= spans.LEAST:
-                if run in seen:
-                    covered |= set(range(i, i + spans.RUN))
-                seen.setdefault(run, (d, i))
+        for i in range(len(starts)):
+            for j in range(i + spans.RUN, len(starts) + 1):
+                if ends[j - 1] - starts[i] >= spans.LEAST:
+                    run = tuple(tuple(w for _, w in words[starts[k]:ends[k]]) for k in range(i, j))
+                    if run in seen:
+                        covered |= set(range(i, j))
+                    seen.setdefault(run, (d, i))
+                    break
         cut[d] = sorted((edges[k], edges[k + 1]) for k in covered)
     return cut
 
@@ -41,7 +55,7 @@ def removed(docs):
 def test_repeats_equal_the_plain_search(spark):
     long = prose(8, 60).replace(".", "")
     texts = [prose(1, 90) + ". " + SHARED, SHARED + " " + prose(2, 90), prose(3, 200), SHARED.upper() + "\n" + SHARED,
-             long, "Other. " + long + ". " + prose(4, 30), prose(3, 200), "Short one. Short two. Short one. Short two."]
+             long, "Other. " + long + ". " + prose(4, 30), prose(3, 200), "Short one. Short two. " * 9, "same " * 300, "x. " + "same " * 400]
     got, want = removed(frame(spark, texts)), plain(texts)
     for d, text in enumerate(texts):
         inside = {i for a, b in want[d] for i in range(a, b)}
@@ -51,6 +65,50 @@ def test_repeats_equal_the_plain_search(spark):
     assert "shared words" not in got[1]["text"].lower() and "shared words" not in got[3]["text"].lower()
 
 
+def drawn(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+
+def test_a_passage_without_stops_is_found_at_any_offset(spark):
+    passage = drawn(1, 60)
+    texts = [" ".join(drawn(2, 40) + passage + drawn(3, 40))]
+    for before in range(0, 40, 3):
+        texts.append(" ".join(drawn(100 + before, before) + passage + drawn(200 + before, 37 - before)))
+    got = removed(frame(spark, texts))
+    assert got[0]["removed"] == []
+    for d in range(1, len(texts)):
+        gone = len(texts[d].split()) - len(got[d]["text"].split())
+        held = [w for w in passage if w in set(got[d]["text"].split())]
+        assert len(held) <= 25 and gone <= 60 + 10, (d, gone, len(held))
+
+
+def test_runs_of_short_sentences_are_extended(spark):
+    lines = [" ".join(drawn(k, 3)) for k in range(20)]
+    passage = ". ".join(lines) + "."
+    texts = [prose(1, 50) + ". " + passage + " " + prose(2, 50), prose(3, 70) + ". " + passage + " " + prose(4, 50),
+             prose(5, 70) + ". " + ". ".join(lines[:4]) + ". " + prose(6, 50)]
+    got = removed(frame(spark, texts))
+    assert got[0]["removed"] == [] and not any(line in got[1]["text"] for line in lines)
+    assert got[2]["removed"] == []  # twelve repeated words are no passage
+
+
+def test_clean_documents_of_the_given_table_stay(spark):
+    """Of the documents that share no run of ``LEAST`` words with another, or with themselves, all stay as they are."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    keys = [words_of([t]).key.tolist() for _, t in rows]
+    seen, shared = {}, set()
+    for d, k in enumerate(keys):
+        for i in range(len(k) - spans.LEAST + 1):
+            first = seen.setdefault(tuple(k[i:i + spans.LEAST]), (d, i))
+            if first != (d, i):
+                shared |= {d, first[0]}
+    got = removed(docs)
+    clean = [rows[d][0] for d in range(len(rows)) if d not in shared]
+    assert len(clean) > 500 and all(got[i]["removed"] == [] for i in clean)
+
+
 def test_rows_that_repeat_lose_nothing_to_each_other(spark):
     docs = frame(spark, [SHARED])
     twice = spans.remove_repeats(docs.unionByName(docs))
