@@ -91,7 +91,7 @@ SELECT event_id AS update_id, ts, 1000 + user_id % {N_USERS_PLUS} AS chat_id,
 FROM events""",
 }
 
-BASE = ("documents", "benchmark", "events", "labels", "pages", "conversations")
+BASE = ("documents", "benchmark", "events", "labels", "pages", "conversations", "embeddings")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -576,7 +576,7 @@ def sparse_dot(v):
 
 @query
 def top_n_profiles(v):
-    return retrieval.top_n_for_profiles(_index(v), _profiles(v)).select(
+    return retrieval.top_n_for_profiles(_index(v).materialize(), _profiles(v)).select(
         "user_id", "paper_id", "score", *big("rank"))
 
 
@@ -588,9 +588,21 @@ def _counts(v):
     return prefmodel.rated_counts(v["ratings_fx"], v["papers_fx"])
 
 
+_lifted: dict[tuple[str, str], tuple] = {}
+
+
 def _lift_models(v):
     """Linear models that SQL can state: per user and term, idf on the user's rated papers
-    and the lean of the term towards liked ones; the intercept is the user's like rate - 1/2."""
+    and the lean of the term towards liked ones; the intercept is the user's like rate - 1/2.
+
+    Models are tables that retraining has written before, so they are written here once for a session and folder."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _lifted:
+        _lifted[key] = _made_lift_models(v)
+    return _lifted[key]
+
+
+def _made_lift_models(v):
     rows = spread(_training(v).select("user_id", "rating_id", "paper_id", "label"), "rating_id")
     seen = retrieval.exploded(rows.join(_counts(v), "paper_id"), ["user_id", "label"])
     totals = seen.groupBy("user_id", "term").agg(
@@ -599,8 +611,7 @@ def _lift_models(v):
     models = retrieval.cap_vocab(totals, keys=["user_id"]).join(sizes, "user_id").select(
         "user_id", "term", retrieval.idf(F.col("n"), F.col("df")).alias("idf"),
         (F.col("lean") / (F.col("df") + 1)).alias("coef"))
-    # Models are tables that retraining has written, so they are written here, too.
-    return written(models, "lift-models"), sizes.select("user_id", "intercept")
+    return written(models, "lift-models"), written(sizes.select("user_id", "intercept"), "lift-meta")
 
 
 @query
@@ -618,7 +629,7 @@ def predict_linear(v):
 
 @query
 def top_n_models(v):
-    return retrieval.top_n_for_models(_index(v), *_lift_models(v)).select(
+    return retrieval.top_n_for_models(_index(v).materialize(), *_lift_models(v)).select(
         "user_id", "paper_id", "score", *big("rank"))
 
 
@@ -626,7 +637,7 @@ def top_n_models(v):
 def candidates(v):
     models, meta = _lift_models(v)
     meta = meta.where(F.col("intercept") > 0)
-    return retrieval.candidates(_index(v), _profiles(v), models, meta).select(
+    return retrieval.candidates(_index(v).materialize(), _profiles(v), models, meta).select(
         "user_id", "paper_id", "score", *big("rank"), "has_model")
 
 

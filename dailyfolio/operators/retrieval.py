@@ -1,33 +1,28 @@
 """TF-IDF index over a paper batch and top-n retrieval for every user at once.
 
-Layout: one packed row of term counts per paper, hash-partitioned by paper. Everything
-per paper (weights, norms, dot products with a block of users) happens inside that
-partitioning; only term totals and per-task top-n rows are shuffled again.
+Layout: one packed row of term counts per paper, hash-partitioned by paper, in which weights and
+norms are made. Rankings meet slices of these rows with blocks of users (``operators.blocks``); what is
+shuffled afterwards are term totals and the top n of each meeting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dailyfolio.functions.scores import sigmoid
 from dailyfolio.functions.text import (
     ENGLISH_STOP_WORDS, doc_text, ngrams, remove_stop_words, tokens)
+from dailyfolio.operators.blocks import (
+    BLOCK_TERMS, DIGITS, SLICE_PAPERS, best_by_models, best_by_profiles, codes, meet)
 from dailyfolio.operators.ranking import keep_ranked
 from dailyfolio.session import spread, written
 
 MAX_FEATURES = 5000
 TOP_N = 30
-# Rows of a query block that may be broadcast (about 100 bytes each).
-BLOCK_ROWS = 2_000_000
-# Ranks are taken on rounded scores, so that ties do not hang on summation order.
-DIGITS = 6
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: Column,
@@ -153,17 +148,12 @@ class PaperIndex:
         return exploded(self.vectors, ["paper_id"], "weights", "weight")
 
     def materialize(self) -> PaperIndex:
-        """The index written to the scratch folder, for use by several jobs.
-
-        What is read back is partitioned by paper again, one packed row each: scoring then
-        adds up in place instead of shuffling every (paper, user) pair.
-        """
-        counts = spread(written(self.counts, "index-counts"), "paper_id")
+        """The index written to the scratch folder, for use by several jobs: one packed row a paper."""
+        counts = written(self.counts, "index-counts")
         vocab = written(fit_vocab(exploded(counts, ["paper_id"]), counts, self.max_features),
                         "index-vocab")
-        vectors = written(tfidf(counts, vocab, ["paper_id"]), "index-vectors")
-        return PaperIndex(counts.select("paper_id"), counts, vocab,
-                          spread(vectors, "paper_id"), self.stop_words, self.max_features)
+        vectors = written(tfidf(spread(counts, "paper_id"), vocab, ["paper_id"]), "index-vectors")
+        return PaperIndex(counts.select("paper_id"), counts, vocab, vectors, self.stop_words, self.max_features)
 
 
 def build_index(papers: DataFrame, max_features: int = MAX_FEATURES,
@@ -181,42 +171,26 @@ def build_index(papers: DataFrame, max_features: int = MAX_FEATURES,
                       tfidf(counts, vocab, ["paper_id"]), stop_words, max_features)
 
 
-def by_blocks(queries: DataFrame, rows: int, score: Callable[[DataFrame], DataFrame],
-              key: str = "user_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Apply ``score`` to broadcast blocks of ``queries`` and union the results.
+def sparse_dot(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """Sum over shared terms of weight products, per (user, paper) that share a term.
 
-    ``rows`` is an upper bound of the query rows, known before anything is broadcast; it
-    sets how many blocks of users there are. One block covers the usual case.
+    Rows for every such pair: for small sets and checks. Rankings use ``top_n_for_profiles``.
     """
-    blocks = max(1, -(-rows // block_rows))
-    if blocks == 1:
-        return score(F.broadcast(queries))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
-    return reduce(DataFrame.unionByName,
-                  [score(F.broadcast(queries.where(block == b))) for b in range(blocks)])
-
-
-def sparse_dot(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Sum over shared terms of weight products, per (user, paper) that share a term."""
     return (
         postings.join(queries, "term").groupBy("paper_id", "user_id")
         .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("dot"))
     )
 
 
-def profile_vectors(index: PaperIndex, users: DataFrame) -> DataFrame:
-    """Profiles in the index's vocabulary, one row per (user, term)."""
+def packed_profiles(index: PaperIndex, users: DataFrame) -> DataFrame:
+    """Profiles in the index's vocabulary, one packed row (terms, weights) per user."""
     packed = term_counts(users, ["user_id"], F.col("keyword_profile"), index.stop_words)
-    vectors = tfidf(packed, index.vocab, ["user_id"])
-    return exploded(vectors, ["user_id"], "weights", "query_weight")
+    return tfidf(packed, index.vocab, ["user_id"])
 
 
-def profile_rows(users: DataFrame, max_features: int = MAX_FEATURES) -> int:
-    """Upper bound of the profile terms: a text of c characters has at most c/3+1 words of
-    two letters, and twice as many 1- and 2-grams."""
-    bound = F.least(F.lit(max_features), 2 * (F.length("keyword_profile") / 3 + 1))
-    total = users.agg(F.ceil(F.sum(bound)).alias("n")).first()["n"]
-    return int(total or 0)
+def profile_vectors(index: PaperIndex, users: DataFrame) -> DataFrame:
+    """Profiles in the index's vocabulary, one row per (user, term)."""
+    return exploded(packed_profiles(index, users), ["user_id"], "weights", "query_weight")
 
 
 def fill_to_n(hits: DataFrame, users: DataFrame, papers: DataFrame, n: int) -> DataFrame:
@@ -251,60 +225,46 @@ def top_n(scored: DataFrame, n: int) -> DataFrame:
 
 
 def top_n_for_profiles(index: PaperIndex, users: DataFrame, n: int = TOP_N,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       block_terms: int = BLOCK_TERMS, slice_papers: int = SLICE_PAPERS) -> DataFrame:
     """Top papers per user by cosine similarity to the profile: (user_id, paper_id, score, rank).
 
     ``users`` has ``user_id`` and ``keyword_profile``. The result has min(n, papers) rows per
-    user; papers without any shared term score 0.
+    user; papers without any shared term score 0. Exact, but only pairs that can reach a user's best are added up.
     """
-    queries = profile_vectors(index, users)
-    postings = index.postings()
-    sims = by_blocks(queries, profile_rows(users, index.max_features), lambda q: sparse_dot(q, postings),
-                     block_rows=block_rows)
-    hits = sims.select("user_id", "paper_id", F.round("dot", DIGITS).alias("score"))
-    return fill_to_n(top_n(hits.where("score > 0"), n), users, index.papers, n)
+    queries = written(packed_profiles(index, users).select("user_id", codes(F.col("terms")).alias("codes"), "weights"), "profiles")
+    papers = written(index.vectors.select("paper_id", codes(F.col("terms")).alias("codes"), "weights"), "impacts")
+    rows = queries.agg(F.sum(F.size("codes"))).first()[0] or 0
+    hits = meet(papers, queries, rows, best_by_profiles(n), slice_papers=slice_papers, block_terms=block_terms)
+    return fill_to_n(top_n(hits, n), users, index.papers, n)
 
 
 # The intercept travels as the weight of this term, which every paper carries once.
 BIAS = ""
 
 
-def _with_bias(counts: DataFrame) -> DataFrame:
-    return counts.select(
-        "paper_id", F.concat("terms", F.array(F.lit(BIAS))).alias("terms"),
-        F.concat("tfs", F.array(F.lit(1))).alias("tfs"))
-
-
-def with_intercepts(models: DataFrame, meta: DataFrame) -> DataFrame:
-    """Model weights with the intercept as the weight of the bias term."""
-    bias = meta.select("user_id", F.lit(BIAS).alias("term"), F.lit(0.0).alias("idf"),
-                       F.col("intercept").alias("coef"))
-    return models.select("user_id", "term", "idf", "coef").unionByName(bias)
-
-
-def probability() -> list[Column]:
-    """Aggregates that turn rows (term, tf, idf, coef) of one document and model into p."""
-    w = sublinear(F.col("tf")) * F.col("idf")
-    length = F.sqrt(F.sum(w * w))
-    dot = F.when(length > 0, F.sum(w * F.col("coef")) / length).otherwise(F.lit(0.0))
-    bias = F.coalesce(F.sum(F.when(F.col("term") == BIAS, F.col("coef"))), F.lit(0.0))
-    return [F.round(sigmoid(dot + bias), DIGITS).alias("score")]
+def _met_with_models(counts: DataFrame, models: DataFrame, meta: DataFrame, n: int | None,
+                     block_terms: int, slice_papers: int) -> DataFrame:
+    """Every paper slice with every block of models; a model is one packed row."""
+    packed = models.groupBy("user_id").agg(F.collect_list(F.struct(
+        F.xxhash64("term").alias("code"), F.col("idf").cast("double").alias("idf"), F.col("coef").cast("double").alias("coef"))).alias("_m"))
+    none = F.array().cast("array<struct<code:bigint,idf:double,coef:double>>")
+    usable = meta.where(F.col("intercept").isNotNull()).select("user_id", F.col("intercept").cast("double").alias("intercept"))
+    queries = written(usable.join(packed, "user_id", "left").withColumn("_m", F.coalesce("_m", none)).select(
+        "user_id", "intercept", F.col("_m.code").alias("codes"), F.col("_m.idf").alias("idfs"), F.col("_m.coef").alias("coefs")),
+        "packed-models")
+    rows = queries.agg(F.sum(F.size("codes") + 1)).first()[0] or 0
+    papers = written(counts.select("paper_id", codes(F.col("terms")).alias("codes"), "tfs"), "packed-papers")
+    return meet(papers, queries, rows, best_by_models(n), slice_papers=slice_papers, block_terms=block_terms)
 
 
-def predict(counts: DataFrame, models: DataFrame, meta: DataFrame,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+def predict(counts: DataFrame, models: DataFrame, meta: DataFrame, block_terms: int = BLOCK_TERMS,
+            slice_papers: int = SLICE_PAPERS) -> DataFrame:
     """Like-probability of every paper for every model: (user_id, paper_id, score).
 
-    Papers without a known term score sigmoid(intercept). With ``counts`` partitioned by
-    paper, scores are summed up in place; follow with ``top_n`` to keep the output small.
+    Papers without a known term score sigmoid(intercept). Rows for all pairs: for small sets and checks. ``predict_pairs``
+    scores given pairs, ``top_n_for_models`` keeps the best of each slice before anything is shuffled.
     """
-    weights = with_intercepts(models, meta)
-    postings = exploded(_with_bias(counts), ["paper_id"])
-    rows = weights.count()
-    return by_blocks(
-        weights, rows,
-        lambda m: postings.join(m, "term").groupBy("paper_id", "user_id").agg(*probability()),
-        block_rows=block_rows)
+    return _met_with_models(counts, models, meta, None, block_terms, slice_papers)
 
 
 def predict_pairs(pairs: DataFrame, counts: DataFrame, models: DataFrame, meta: DataFrame,
@@ -331,84 +291,14 @@ def predict_pairs(pairs: DataFrame, counts: DataFrame, models: DataFrame, meta:
     )
 
 
-class _ModelBlock:
-    """The models of some users over their joint vocabulary, as dense term x user arrays."""
-
-    def __init__(self, models: pd.DataFrame, meta: pd.DataFrame):
-        self.users = meta["user_id"].to_numpy(np.int64)
-        self.intercept = meta["intercept"].to_numpy(float)
-        code, terms = pd.factorize(models["term"])
-        self.row_of = {t: i for i, t in enumerate(terms)}
-        user = pd.Index(self.users).get_indexer(models["user_id"])
-        idf_of, coef = models["idf"].to_numpy(float), models["coef"].to_numpy(float)
-        self.weighted = np.zeros((len(terms) + 1, len(self.users)))
-        self.squared = np.zeros_like(self.weighted)
-        self.weighted[code, user] = idf_of * coef
-        self.squared[code, user] = idf_of ** 2
-
-    def scores(self, terms: list, tfs: list) -> np.ndarray:
-        """Like-probability of each paper (its terms and their counts) for each user, rounded."""
-        find = self.row_of.get
-        rows = [[find(t, -1) for t in own] + [-1] for own in terms]
-        start = np.cumsum([0, *map(len, rows[:-1])])
-        at = np.concatenate([np.asarray(r, np.int64) for r in rows])
-        tf = np.concatenate([np.append(1 + np.log(np.asarray(own, float)), 0.0) for own in tfs])[:, None]
-        dot = np.add.reduceat(self.weighted[at] * tf, start)
-        length = np.sqrt(np.add.reduceat(self.squared[at] * tf ** 2, start))
-        z = np.divide(dot, length, out=np.zeros_like(dot), where=length > 0) + self.intercept
-        return np.round(1 / (1 + np.exp(-z)), DIGITS)
-
-    def best(self, batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-        """Each user's best ``n`` papers of one task; a paper beyond them never leaves it."""
-        ids: list[np.ndarray] = [np.zeros(0, object)] * len(self.users)
-        held: list[np.ndarray] = [np.zeros(0)] * len(self.users)
-        for batch in batches:
-            for at in range(0, len(batch), PAPER_ROWS):
-                part = batch.iloc[at:at + PAPER_ROWS]
-                names = part["paper_id"].to_numpy(object)
-                scores = self.scores(part["terms"].tolist(), part["tfs"].tolist())
-                for u in range(len(self.users)):
-                    least = held[u][-1] if len(held[u]) == n else -1.0
-                    new = np.flatnonzero(scores[:, u] >= least)
-                    if len(new):
-                        both = np.concatenate([held[u], scores[new, u]])
-                        of = np.concatenate([ids[u], names[new]])
-                        order = sorted(range(len(both)), key=lambda i: (-both[i], of[i]))[:n]
-                        held[u], ids[u] = both[order], of[order]
-        for u, user in enumerate(self.users):
-            if len(held[u]):
-                yield pd.DataFrame({"user_id": user, "paper_id": ids[u], "score": held[u]})
-
-
-# Cells of a model block (terms times users) and papers that a task scores at once.
-BLOCK_CELLS = 8_000_000
-PAPER_ROWS = 256
-
-
-def top_n_for_models(index: PaperIndex, models: DataFrame, meta: DataFrame,
-                     n: int = TOP_N, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def top_n_for_models(index: PaperIndex, models: DataFrame, meta: DataFrame, n: int = TOP_N,
+                     block_terms: int = BLOCK_TERMS, slice_papers: int = SLICE_PAPERS) -> DataFrame:
     """Top papers per user by like-probability: (user_id, paper_id, score, rank).
 
-    Papers stay where they are. Blocks of models, bounded in size before they are sent, pass
-    over them as dense products; a task keeps its best ``n`` per user, so at most users x n rows
-    per task are shuffled. The last rank over those is exact.
+    Blocks of models meet slices of papers as dense products; a meeting returns the best ``n`` of each user, so at most
+    users x n rows per slice are shuffled. The last rank over those is exact.
     """
-    weights = models.select("user_id", "term", "idf", "coef")
-    usable = meta.where(F.col("intercept").isNotNull()).select("user_id", "intercept")
-    sizes = usable.join(weights.groupBy("user_id").agg(F.count(F.lit(1)).alias("terms")), "user_id", "left")
-    users, largest = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("terms"), F.lit(0))).first()
-    # A block of u users has at most u * largest terms, so u * u * largest cells.
-    per_block = max(1, int((block_cells / max(1, largest)) ** 0.5))
-    blocks = max(1, -(-users // per_block))
-    own = F.pmod(F.xxhash64("user_id"), F.lit(blocks))
-    out = None
-    for b in range(blocks):
-        block = _ModelBlock(weights.where(own == b).toPandas(), usable.where(own == b).toPandas())
-        held = models.sparkSession.sparkContext.broadcast(block)
-        scored = index.counts.select("paper_id", "terms", "tfs").mapInPandas(
-            lambda batches, held=held: held.value.best(batches, n), "user_id bigint, paper_id string, score double")
-        out = scored if out is None else out.unionByName(scored)
-    return top_n(out, n)
+    return top_n(_met_with_models(index.counts, models, meta, n, block_terms, slice_papers), n)
 
 
 def route_users(users: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:

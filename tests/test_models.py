@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dailyfolio.functions.text import ENGLISH_STOP_WORDS
-from dailyfolio.operators import prefmodel, retrieval
+from dailyfolio.operators import blocks, prefmodel, retrieval
 
 WORDS = [f"w{i:02d}" for i in range(60)] + ["the", "and", "été", "graph"]
 
@@ -45,12 +46,12 @@ def papers_frame(spark, docs):
     return spark.createDataFrame([(f"p{i:03d}", "", d) for i, d in enumerate(docs)], "id string, title string, abstract string")
 
 
-@pytest.mark.parametrize("block_rows", [10**6, 40])
-def test_profile_retrieval(spark, block_rows):
+@pytest.mark.parametrize("block_terms,slice_papers", [(10**6, 2048), (20, 2048), (20, 15)])
+def test_profile_retrieval(spark, block_terms, slice_papers):
     docs, profiles = texts(70), texts(5, seed=3, lo=1, hi=4) + ["nothing known", "the"]
     index = retrieval.build_index(papers_frame(spark, docs), max_features=200)
     people = spark.createDataFrame(list(enumerate(profiles)), "user_id bigint, keyword_profile string")
-    got = retrieval.top_n_for_profiles(index, people, 12, block_rows)
+    got = retrieval.top_n_for_profiles(index, people, 12, block_terms, slice_papers)
     vec = Vectoriser(docs, 200)
     vectors = [vec(d) for d in docs]
     want = []
@@ -68,12 +69,61 @@ def test_fewer_papers_than_asked(spark):
     assert sorted(got) == [(1, 1, "p000"), (1, 2, "p001"), (2, 1, "p000"), (2, 2, "p001")]
 
 
-def test_top_n_plan_stays_partitioned(spark):
-    index = retrieval.build_index(papers_frame(spark, texts(20)))
-    people = spark.createDataFrame([(1, "graph")], "user_id bigint, keyword_profile string")
-    plan = retrieval.top_n_for_profiles(index, people)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "WindowGroupLimit" in plan and "Python" not in plan and "ArrowEval" not in plan
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_do_not_grow_with_the_users(spark):
+    index = retrieval.build_index(papers_frame(spark, texts(20))).materialize()
+    sizes = {}
+    for n in (1, 400):
+        people = spark.range(n).selectExpr("id as user_id", "concat('graph nets ', id) as keyword_profile")
+        models = spark.range(n).selectExpr("id as user_id", "'graph' as term", "1.5 as idf", "cast(id as double) as coef")
+        meta = spark.range(n).selectExpr("id as user_id", "0.1D as intercept")
+        for name, ranked in (("profiles", retrieval.top_n_for_profiles(index, people, block_terms=10)),
+                             ("models", retrieval.top_n_for_models(index, models, meta, block_terms=10))):
+            plan = plan_of(ranked)
+            assert "Cartesian" not in plan and "CoGroups" in plan
+            sizes.setdefault(name, set()).add(len(plan.splitlines()))
+            assert ranked.count() == 20 * n
+    assert all(len(s) == 1 for s in sizes.values())
+
+
+def packed(rows, value):
+    return pa.table({"paper_id": [f"p{i:04d}" for i in range(len(rows))], "codes": pa.array([list(r) for r in rows], pa.list_(pa.int64())),
+                     value: pa.array([list(r.values()) for r in rows], pa.list_(pa.float64()))})
+
+
+def test_bounds_skip_pairs_but_lose_none():
+    rng = np.random.default_rng(7)
+    for case in range(30):
+        terms = 300
+        # Frequent terms weigh little, rare ones much, as with idf; coarse values make ties.
+        docs = [{int(t): float(np.round(rng.random() * (0.02 + t / terms), 2 if case % 2 else 6))
+                 for t in np.unique((terms * rng.random(30) ** 2).astype(int))} for _ in range(400)]
+        index = blocks.Impacts(packed(docs, "weights"))
+        for q in range(4):
+            query = {int(t): float(rng.random() * (0.05 + t / terms)) for t in np.unique((terms * rng.random(12) ** 2).astype(int))}
+            index.added, n = 0, (1, 5, 30, 1000)[q]
+            rows, scores = index.best(np.array(list(query)), np.array(list(query.values())), n)
+            dots = [round(sum(w * d.get(t, 0) for t, w in query.items()), 6) for d in docs]
+            want = sorted((-s, i) for i, s in enumerate(dots) if s > 0)[:n]
+            assert [(i, pytest.approx(-s, abs=2e-6)) for s, i in want] == list(zip(rows.tolist(), scores.tolist()))
+            pairs = sum(len(d.keys() & query.keys()) for d in docs)
+            assert index.added <= pairs and (n > 5 or index.added < 0.8 * pairs)
+
+
+def test_empty_slices_blocks_and_papers():
+    none = blocks.Impacts(packed([{}, {}], "weights"))
+    assert len(none.best(np.array([1, 2]), np.array([0.5, 0.5]), 3)[0]) == 0
+    assert len(blocks.Impacts(packed([], "weights")).best(np.array([1]), np.array([1.0]), 3)[0]) == 0
+    papers = packed([{}, {5: 2.0}, {}], "tfs")
+    models = pa.table({"user_id": [1, 2], "intercept": [0.0, 1.0], "codes": pa.array([[], [5]], pa.list_(pa.int64())),
+                       "idfs": pa.array([[], [2.0]], pa.list_(pa.float64())), "coefs": pa.array([[], [3.0]], pa.list_(pa.float64()))})
+    sigmoid = lambda z: round(1 / (1 + math.exp(-z)), 6)
+    assert blocks.probabilities(papers, models).tolist() == [[0.5, sigmoid(1)], [0.5, sigmoid(4)], [0.5, sigmoid(1)]]
+    assert blocks.best_by_models(1)(papers, models).to_pylist() == [
+        {"user_id": 1, "paper_id": "p0000", "score": 0.5}, {"user_id": 2, "paper_id": "p0001", "score": sigmoid(4)}]
 
 
 def training_case(spark, users=3, n=60, seed=5):
@@ -159,11 +209,11 @@ def test_predictions(spark):
         for i, d in enumerate(fresh):
             z = w[-1] + sum(x * coef[t] for t, x in vec(d).items())
             want[u, f"p{i:03d}"] = 1 / (1 + math.exp(-z))
-    for block_rows in (10**6, 100):
-        got = {(r["user_id"], r["paper_id"]): r["score"] for r in retrieval.predict(index.counts, models, meta, block_rows).collect()}
+    for block_terms, slice_papers in ((10**6, 2048), (100, 10)):
+        got = {(r["user_id"], r["paper_id"]): r["score"] for r in retrieval.predict(index.counts, models, meta, block_terms, slice_papers).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-5
-    for block_cells in (10**7, 200):
-        top = retrieval.top_n_for_models(index, models, meta, 7, block_cells).collect()
+    for block_terms, slice_papers in ((10**6, 2048), (100, 10)):
+        top = retrieval.top_n_for_models(index, models, meta, 7, block_terms, slice_papers).collect()
         for u in range(3):
             ranked = sorted((-round(p, 6), i) for (v, i), p in want.items() if v == u)[:7]
             assert [(-s, i) for _, i, s in sorted((r["rank"], r["paper_id"], r["score"]) for r in top if r["user_id"] == u)] == [
