@@ -543,6 +543,10 @@ SELECT DISTINCT user_id, batch_no, 0, 9.0, 'one' FROM batched_v WHERE (user_id +
     "like_label": "SELECT id, CASE WHEN score = 1 THEN 0 ELSE 1 END AS label FROM parsed_fx",
     "pref_score": "SELECT event_id, CAST(10 / (1 + exp(1 - value / 100)) AS DECIMAL(4,2)) AS pref_score FROM events",
     "read_updates_kinds": "SELECT event_id AS update_id, unnest(['rating', 'message']) AS kind FROM events",
+    "dead_letters": """
+SELECT CASE update_id % 3 WHEN 0 THEN 'ignored' ELSE 'bad json' END AS reason,
+  CASE WHEN update_id % 3 = 0 THEN update_id END AS update_id,
+  CASE WHEN update_id % 3 = 1 THEN '{"update_id": ' || update_id END AS line FROM ratings_raw_fx WHERE update_id % 3 < 2""",
     "load_tables": """
 SELECT u.user_id, u.chat_id, s.scores, r.ratings FROM users_fx u
 LEFT JOIN (SELECT user_id, count(*) AS scores FROM scores_fx WHERE final_score >= 6 GROUP BY 1) s USING (user_id)

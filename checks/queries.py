@@ -19,6 +19,7 @@ from dailyfolio.session import scratch_path, spread, written
 from dailyfolio.sources import feeds
 from dailyfolio.sources.tables import TableStore
 from dailyfolio.sources.updates import read_updates
+from dailyfolio.streaming import dead_letters as dead_letter_jobs
 from dailyfolio.streaming import ratings as rating_jobs
 from dailyfolio.streaming import settings as settings_jobs
 
@@ -867,10 +868,7 @@ def _store(v, *names: str) -> TableStore:
         "digest_log": lambda: v["digest_log_fx"],
     }
     for name in names:
-        if name == "paper_scores":
-            store.replace_days(name, content[name]())
-        else:
-            store.replace(name.removeprefix("all_"), content[name]())
+        store.replace(name.removeprefix("all_"), content[name]())
     return store
 
 
@@ -941,16 +939,29 @@ def settings_stream(v):
 
 @query
 def rating_counts_stream(v):
-    source = _store(v, "ratings").load("ratings")
-    path, out = source.inputFiles()[0].rsplit("/", 1)[0], scratch_path(v.spark, "counts")
-    counts = rating_jobs.rating_counts_stream(v.spark.readStream.schema(source.schema).parquet(path))
+    """Counts of ratings that arrive in several files, merged batch by batch."""
+    store, path = _store(v), scratch_path(v.spark, "landed-ratings")
+    v["ratings_fx"].repartition(4, "id").write.parquet(path)
+    source = v.spark.readStream.schema(v["ratings_fx"].schema).option("maxFilesPerTrigger", 2).parquet(path)
+    rating_jobs.keep_rating_counts(source, store, scratch_path(v.spark, "checkpoint")).awaitTermination()
+    return store.load("rating_counts")
 
-    def save(batch, batch_id):
-        batch.write.mode("overwrite").parquet(out)
 
-    counts.writeStream.outputMode("complete").foreachBatch(save).trigger(availableNow=True).option(
-        "checkpointLocation", scratch_path(v.spark, "checkpoint")).start().awaitTermination()
-    return v.spark.read.parquet(out)
+@query
+def dead_letters(v):
+    """A feed in which some lines are cut short and some updates are of no known kind."""
+    path = scratch_path(v.spark, "updates")
+    lines = v["ratings_raw_fx"].select("update_id")
+    whole = F.concat(F.lit('{"update_id": '), F.col("update_id").cast("string"))
+    lines.select(F.when(F.col("update_id") % 3 == 0, F.concat(whole, F.lit("}")))
+                 .when(F.col("update_id") % 3 == 1, whole)
+                 .otherwise(F.concat(whole, F.lit(', "message": {"chat": {"id": 1}, "text": "x"}}'))).alias("value")).write.text(path)
+    store, checkpoint = _store(v), scratch_path(v.spark, "checkpoint")
+    for _ in range(2):  # a second start finds nothing new
+        letters = dead_letter_jobs.dead_letter_stream(read_updates(v.spark, path, max_files=ALL_FILES), store, checkpoint)
+        letters.awaitTermination()
+    return store.load("dead_letters").select("reason", F.when(F.col("reason") == "ignored", F.col("update_id")).alias("update_id"),
+                                             F.when(F.col("reason") == "bad json", F.col("line")).alias("line"))
 
 
 @query

@@ -102,12 +102,13 @@ def settings_changes(updates: DataFrame, users: DataFrame,
         F.nullif("pending", F.lit("")).alias("pending_action"), "created_at")
 
 
-def apply_settings(users: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_settings(users: DataFrame, changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Users with the changes merged in column by column and new chats added.
 
-    One full outer join; users and changes are of one row per chat, so no key is hot.
+    One full outer join; users and changes are of one row per chat, so no key is hot. ``users`` may be those of
+    the changed chats alone; ``known``, all of them, then tells which ids are taken.
     """
-    last_id = users.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    last_id = (users if known is None else known).agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     defaults = {
         "active": F.lit(True), "max_papers": F.lit(DEFAULTS["max_papers"]),
         "digest_frequency": F.lit(DEFAULTS["digest_frequency"]),

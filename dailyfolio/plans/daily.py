@@ -15,15 +15,16 @@ from dailyfolio.operators.papers import canonical_ids
 from dailyfolio.operators.prefmodel import attach_pref, pref_scores
 from dailyfolio.operators.retrieval import TOP_N, build_index, candidates
 from dailyfolio.operators.scoring import (
-    BATCH_SIZE, Scorer, apply_scorer, reply_outcomes, score_replies, score_requests)
+    BATCH_SIZE, Scorer, ask, reply_outcomes, score_replies, score_requests)
 from dailyfolio.operators.upserts import update_users, upsert_scores
 from dailyfolio.operators.users import (
     active_users, advance_schedule, due_users, has_profile, resolve_settings, user_by_chat)
 from dailyfolio.plans.ingest import fetch, store_new
 from dailyfolio.plans.retrain import load_models
 from dailyfolio.plans.summary import run_summary
-from dailyfolio.session import written
-from dailyfolio.sources.tables import TableStore
+from dailyfolio.session import scratch_path, written
+from dailyfolio.sources.log import Snapshot
+from dailyfolio.sources.tables import Staged, TableStore, Write
 
 
 @dataclass(frozen=True)
@@ -35,13 +36,16 @@ class DigestRun:
 
 
 def store_scores(store: TableStore, scored: DataFrame, as_of: dt.date) -> None:
-    """Upsert scores, rewriting only today and the days that hold a re-scored pair."""
-    known = store.load("paper_scores")
-    if "scored_on" in known.columns:
-        days = store.days_with("paper_scores", scored.select("paper_id", "user_id"))
-        known = known.where(F.col("scored_on").isin([*days, as_of])).drop("scored_on")
+    """Upsert scores. Only the scored pairs are written; days that hold none of them are not read in full."""
     now = dt.datetime.combine(as_of, dt.time())
-    store.replace_days("paper_scores", upsert_scores(known, scored, now))
+    pairs = scored.select("paper_id", "user_id")
+
+    def make(at: Snapshot) -> list[Write]:
+        days = store.parts_with("paper_scores", pairs, at)
+        known = store.load("paper_scores", days, at).join(pairs, pairs.columns, "left_semi")
+        return [Write("paper_scores", "delta", upsert_scores(known, scored, now))]
+
+    store.update(["paper_scores"], make)
 
 
 def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date, scorer: Scorer,
@@ -76,9 +80,9 @@ def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date,
     models, meta = load_models(store)
     ranked = written(candidates(index, settings, models, meta, top_n), "candidates")
     requests = written(score_requests(ranked, batch, settings), "requests")
-    # As many tasks as requests allow, up to the cluster's parallelism: calls are slow.
-    spread = store.spark.sparkContext.defaultParallelism
-    replies = written(apply_scorer(requests, scorer, spread), "replies")
+    # The day's ledger outlives this run: a second one asks only for what the first did not get.
+    ledger = scratch_path(store.spark, "replies") if dry_run else f"{store.root}/_replies/{as_of.isoformat()}"
+    replies = written(ask(requests, scorer, ledger), "replies")
     scored = written(score_replies(ranked, requests, replies, settings, BATCH_SIZE), "scored")
     stages["requests"] = reply_outcomes(requests, replies)
     stages["passed"] = scored
@@ -89,22 +93,30 @@ def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date,
         prefs = pref_scores(scored.where("has_model"), index.counts, models, meta)
         full = attach_pref(scored, prefs)
         store_scores(store, written(full, "full-scores"), as_of)
-        digest = unsent_digest(store.load("paper_scores"), store.load("digest_log"),
-                               store.load("papers"), settings, as_of, days_back)
+        at = store.snapshot()
+        since_day = (as_of - dt.timedelta(days=days_back)).isoformat()
+        recent = [p for p in at.parts("papers") if p >= since_day and p != "none"]
+        digest = unsent_digest(store.load("paper_scores", at=at), store.load("digest_log", at=at),
+                               store.load("papers", recent, at), settings, as_of, days_back)
     counts = rating_counts(store.load("ratings"), settings)
     outbox = digest_messages(digest, counts, dry_run)
     if dry_run:
         outbox = written(outbox, "outbox")
     else:
-        store.replace("outbox", outbox)
+        ready, schedule = store.stage("outbox", "full", outbox), advance_schedule(due, as_of)
+
+        def make(at: Snapshot) -> list[Write | Staged]:
+            # Messages and schedule stand or fall together; settings that changed meanwhile are kept.
+            theirs = store.load("users", at=at).join(schedule.select("chat_id"), "chat_id", "left_semi")
+            return [ready, Write("users", "delta", update_users(theirs, schedule))]
+
+        store.update(["users"], make)
         outbox = store.load("outbox")
-        base = store.version("users")
-        store.replace("users", update_users(store.load("users"), advance_schedule(due, as_of)), base=base)
     stages["messages"] = outbox
     return DigestRun(outbox, run_summary(stages))
 
 
 def confirm_delivery(store: TableStore, receipts: DataFrame, sent_at: dt.datetime) -> None:
     """Log the papers that were delivered, so that they are never sent again."""
-    store.append("digest_log", delivered_to_log(
-        store.load("outbox"), receipts, store.load("digest_log"), sent_at))
+    store.update(["digest_log"], lambda at: [Write("digest_log", "add", delivered_to_log(
+        store.load("outbox", at=at), receipts, store.load("digest_log", at=at), sent_at))])

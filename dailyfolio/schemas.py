@@ -51,4 +51,9 @@ actions array<struct<label:string,data:string>>"""
 
 REJECTED = "update_id bigint, user_chat_id bigint, paper_id string, reason string"
 
-TABLES.update({"outbox": OUTBOX, "rejected_ratings": REJECTED})
+RATING_COUNTS = "user_chat_id bigint, rating_count bigint"
+
+DEAD_LETTERS = "update_id bigint, reason string, line string, file string"
+
+TABLES.update({"outbox": OUTBOX, "rejected_ratings": REJECTED, "rating_counts": RATING_COUNTS,
+               "dead_letters": DEAD_LETTERS})

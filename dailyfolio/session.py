@@ -45,6 +45,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the scratch folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -12,7 +12,7 @@ def read_updates(spark: SparkSession, path: str, stream: bool = True,
                  max_files: int = 100) -> DataFrame:
     """One JSON update per line, with ``kind``: rating, message, ignored or bad json.
 
-    A callback takes precedence over a message.
+    A callback takes precedence over a message. ``file`` is where the line stands; ``_corrupt_record`` holds what could not be read.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", max_files) if stream else spark.read
     raw = reader.schema(UPDATE + ", _corrupt_record string").json(path)
@@ -22,7 +22,7 @@ def read_updates(spark: SparkSession, path: str, stream: bool = True,
         .when(F.col("message").isNotNull(), F.lit("message"))
         .otherwise(F.lit("ignored"))
     )
-    return raw.withColumn("kind", kind)
+    return raw.select("*", F.col("_metadata.file_path").alias("file")).withColumn("kind", kind)
 
 
 def rating_updates(updates: DataFrame) -> DataFrame:
@@ -37,3 +37,13 @@ def message_updates(updates: DataFrame) -> DataFrame:
     return updates.where(F.col("kind") == "message").select(
         "update_id", "ts", F.col("message.chat.id").alias("chat_id"),
         F.col("message.text").alias("text"))
+
+
+def dead_letters(updates: DataFrame) -> DataFrame:
+    """(update_id, reason, line, file) of what no job consumes: unreadable lines, and updates of no known kind.
+
+    A line that could be read is given by the fields that it has.
+    """
+    known = F.to_json(F.struct("update_id", "ts"))
+    return updates.where(F.col("kind").isin("bad json", "ignored")).select(
+        "update_id", F.col("kind").alias("reason"), F.coalesce("_corrupt_record", known).alias("line"), "file")

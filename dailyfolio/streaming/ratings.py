@@ -10,7 +10,8 @@ from dailyfolio.functions.bot import parse_rating_callback
 from dailyfolio.operators.papers import valid_refs
 from dailyfolio.operators.upserts import new_ratings
 from dailyfolio.session import written
-from dailyfolio.sources.tables import TableStore
+from dailyfolio.sources.log import Snapshot
+from dailyfolio.sources.tables import TableStore, Write, bucket
 from dailyfolio.sources.updates import rating_updates
 from dailyfolio.streaming.tokens import batch_token
 
@@ -47,21 +48,25 @@ def rating_stream(updates: DataFrame, store: TableStore, checkpoint: str,
                   available_now: bool = True) -> StreamingQuery:
     """Append each batch's new ratings; refused ones go to ``rejected_ratings``.
 
-    Only the batch's rows are written. A replayed batch finds its token, which names the
-    query of the checkpoint, and is skipped. A second rating is refused as ``Already rated``.
+    Only the batch's rows are written, both tables in one commit, and only the buckets of the batch's chats are read for
+    earlier ratings. A replayed batch finds its token, which names the query of the checkpoint, and is skipped. A second
+    rating is refused as ``Already rated``, also one that another feed stores meanwhile.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         parsed = parsed_ratings(batch).persist()
-        # The papers this batch mentions: a small set, found without shuffling the store.
-        papers = store.load("papers").select("id").join(
-            parsed.select(F.col("paper_id").alias("id")), "id", "left_semi")
-        accepted = accepted_ratings(parsed, papers)
-        token = batch_token(store.spark, checkpoint, batch_id)
-        added = written(new_ratings(store.load("ratings"), accepted), "new-ratings")
-        refused = refused_ratings(parsed, papers).unionByName(repeated_ratings(accepted, added))
-        store.append("rejected_ratings", refused, token)
-        store.append("ratings", added, token)
+        buckets = [r[0] for r in parsed.select(bucket(F.col("user_chat_id"))).distinct().collect()]  # at most BUCKETS
+
+        def make(at: Snapshot) -> list[Write]:
+            # The papers this batch mentions: a small set, found without shuffling the store.
+            papers = store.load("papers", at=at).select("id").join(
+                parsed.select(F.col("paper_id").alias("id")), "id", "left_semi")
+            accepted = accepted_ratings(parsed, papers)
+            added = written(new_ratings(store.load("ratings", buckets, at), accepted), "new-ratings")
+            refused = refused_ratings(parsed, papers).unionByName(repeated_ratings(accepted, added))
+            return [Write("rejected_ratings", "add", refused), Write("ratings", "add", added)]
+
+        store.update(["ratings"], make, f"ratings:{batch_token(store.spark, checkpoint, batch_id)}")
         parsed.unpersist()
 
     writer = rating_updates(updates).writeStream.foreachBatch(apply).option(
@@ -72,5 +77,19 @@ def rating_stream(updates: DataFrame, store: TableStore, checkpoint: str,
 
 
 def rating_counts_stream(ratings: DataFrame) -> DataFrame:
-    """Running number of ratings per chat; write it in update mode."""
+    """Running number of ratings per chat; ``keep_rating_counts`` writes it in update mode."""
     return ratings.groupBy("user_chat_id").agg(F.count(F.lit(1)).alias("rating_count"))
+
+
+def keep_rating_counts(ratings: DataFrame, store: TableStore, checkpoint: str,
+                       available_now: bool = True) -> StreamingQuery:
+    """The running counts in the table ``rating_counts``: each batch merges the chats whose count has changed."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        store.merge("rating_counts", batch, batch_token(store.spark, checkpoint, batch_id))
+
+    writer = rating_counts_stream(ratings).writeStream.outputMode("update").foreachBatch(apply).option(
+        "checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

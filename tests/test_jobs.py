@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from dailyfolio.operators.settings import settings_from_log
 from dailyfolio.plans import daily, feedback, retrain
 from dailyfolio.plans.ingest import fetch
 from dailyfolio.sources import feeds
-from dailyfolio.sources.tables import ConcurrentWrite, TableStore
+from dailyfolio.sources.tables import ConcurrentWrite, TableStore, Write
 from dailyfolio.sources.updates import message_updates, read_updates
-from dailyfolio.streaming.ratings import rating_counts_stream
+from dailyfolio.streaming.ratings import keep_rating_counts, rating_counts_stream, rating_stream
+from dailyfolio.streaming.settings import settings_stream
 
 DAY = dt.date(2024, 1, 30)
 NOW = dt.datetime(2024, 1, 30)
@@ -154,7 +156,7 @@ def test_store_versions(spark, tmp_path):
     store.append("digest_log", row("a"))
     store.append("digest_log", row("b"), "b7")
     store.append("digest_log", row("c"), "b7")
-    (tmp_path / "digest_log" / "00000009-full").mkdir()
+    (tmp_path / "digest_log" / "left-by-a-failed-job").mkdir()
     assert sorted(r["paper_id"] for r in store.load("digest_log").collect()) == ["a", "b"]
     store.compact("digest_log")
     store.append("digest_log", row("d"))
@@ -243,11 +245,163 @@ def test_competing_writers_and_failed_writes(spark, tmp_path):
     for i in (3, 4, 5):
         store.append("ratings", row(i))
     assert sorted(r["id"] for r in store.load("ratings").collect()) == [0, 1, 2, 3, 4, 5]
-    assert len(store._current("ratings")) <= 3
+    assert len(store.snapshot().segments("ratings")) <= 3
     store.append("ratings", row(2), "t.1")  # still known after compaction
     assert store.load("ratings").count() == 6
 
 
+def meta_row(spark, user, intercept):
+    return spark.createDataFrame([(user, intercept, 30, None, None)], schemas.MODEL_META)
+
+
+def model_row(spark, user, *terms):
+    return spark.createDataFrame([(user, t, 1.0, 1.0) for t in terms], schemas.MODELS)
+
+
+def test_a_crash_between_two_tables_leaves_both_as_they_were(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"))
+    retrain.save_models(store, model_row(spark, 1, "old", "older"), meta_row(spark, 1, 0.1))
+    retrain.save_models(store, model_row(spark, 2, "other"), meta_row(spark, 2, 0.2))
+    stage = TableStore.stage
+
+    def dies(self, name, kind, rows):
+        if name == "model_meta":
+            raise RuntimeError("lost")
+        return stage(self, name, kind, rows)
+
+    monkeypatch.setattr(TableStore, "stage", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        retrain.save_models(store, model_row(spark, 1, "new"), meta_row(spark, 1, 0.9))
+    monkeypatch.undo()
+    state = lambda: tuple(sorted(map(tuple, t.select(*c).collect())) for t, c in zip(
+        retrain.load_models(store), (("user_id", "term"), ("user_id", "intercept"))))
+    assert state() == ([(1, "old"), (1, "older"), (2, "other")], [(1, 0.1), (2, 0.2)])
+    retrain.save_models(store, model_row(spark, 1, "new"), meta_row(spark, 1, 0.9))
+    assert state() == ([(1, "new"), (2, "other")], [(1, 0.9), (2, 0.2)])
+    store.compact("models")
+    assert state() == ([(1, "new"), (2, "other")], [(1, 0.9), (2, 0.2)])
+
+
+def test_an_update_is_made_again_when_another_writer_comes_between(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    put_user(store, spark)
+    other, seen = TableStore(spark, str(tmp_path / "store")), []
+
+    def pause(at):
+        users = store.load("users", at=at)
+        seen.append(at.number)
+        if len(seen) < 3:  # the other writer changes another column of the same row, twice
+            other.merge("users", other.load("users").withColumn("max_papers", F.lit(len(seen) + 4)))
+        return [Write("users", "delta", users.withColumn("active", F.lit(False)))]
+
+    store.update(["users"], pause)
+    (user,) = store.load("users").collect()
+    assert len(seen) == 3 and (user["active"], user["max_papers"]) == (False, 6)
+
+
+def test_appends_of_many_writers_all_count(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "store")
+    row = lambda i: spark.createDataFrame([(i, i % 5, f"p{i}", 5, NOW)], schemas.RATINGS)
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: TableStore(spark, root, compact_after=8).append("ratings", row(i), f"feed{i}.0"), range(24)))
+    store = TableStore(spark, root)
+    assert sorted(r["id"] for r in store.load("ratings").collect()) == list(range(24))
+
+
+def test_parts_are_pruned_and_merged_rows_replace_older_ones_in_any_part(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    old = stored_papers(spark, ["a", "b", "c"])
+    store.append("papers", old)
+    moved = stored_papers(spark, ["b"]).withColumn("published_date", F.lit(DAY + dt.timedelta(days=3)))
+    files = set((tmp_path / "store" / "papers").rglob("*.parquet"))
+    store.merge("papers", moved)
+    assert len(set((tmp_path / "store" / "papers").rglob("*.parquet")) - files) == 1
+    assert {r["id"]: r["published_date"] for r in store.load("papers").collect()} == {
+        "a": DAY, "c": DAY, "b": DAY + dt.timedelta(days=3)}
+    assert sorted(r["id"] for r in store.load("papers", [DAY.isoformat()]).collect()) == ["a", "c"]
+    assert [r["id"] for r in store.load("papers", ["2024-02-02"]).collect()] == ["b"]
+    assert store.load("papers", ["1999-01-01"]).count() == 0
+    read = store.load("papers", ["2024-02-02"])._jdf.queryExecution().optimizedPlan().toString()
+    assert store.snapshot().parts("papers") == ["2024-01-30", "2024-02-02"] and "Relation" in read
+    snapshot = store.snapshot()
+    store.replace("papers", stored_papers(spark, ["z"]))
+    assert store.load("papers", at=snapshot).count() == 3 and store.load("papers").count() == 1
+
+
+def test_scores_of_a_day_stay_readable_and_only_scored_pairs_are_written(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    scored = lambda rows: spark.createDataFrame(rows, "paper_id string, user_id bigint, llm_score double, pref_score double, llm_explanation string")
+    daily.store_scores(store, scored([("p", 1, 7.0, None, "x"), ("q", 1, 6.0, 5.0, "y")]), DAY)
+    begun = store.load("paper_scores")
+    daily.store_scores(store, scored([("p", 1, None, 9.0, None), ("r", 2, 8.0, None, "z")]), DAY + dt.timedelta(days=1))
+    rows = {(r["paper_id"], r["user_id"]): r for r in store.load("paper_scores").collect()}
+    assert {k: (float(r["llm_score"]), r["scored_at"].date()) for k, r in rows.items()} == {
+        ("p", 1): (7.0, DAY), ("q", 1): (6.0, DAY), ("r", 2): (8.0, DAY + dt.timedelta(days=1))}
+    assert float(rows["p", 1]["pref_score"]) == 9.0 and begun.count() == 2
+    assert store.snapshot().parts("paper_scores") == ["2024-01-30", "2024-01-31"]
+    assert sum(spark.read.parquet(f"{store.root}/{s.path}").count() for s in store.snapshot().segments("paper_scores")) == 4
+
+
+def test_one_message_writes_one_row(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    for i in range(3):
+        put = dict(id=i + 1, chat_id=11 + i)
+        store.append("users", spark.createDataFrame([(put["id"], put["chat_id"], "x", True, None, None, None, None, None, NOW)], schemas.USERS))
+    write_updates(tmp_path / "feed" / "1.json", [say(1, 12, "/limit 7")])
+    feed = read_updates(spark, str(tmp_path / "feed"))
+    settings_stream(feed, store, str(tmp_path / "check")).awaitTermination()
+    last = store.snapshot().segments("users")[-1]
+    assert last.delta and spark.read.parquet(f"{store.root}/{last.path}").count() == 1
+    assert {r["chat_id"]: r["max_papers"] for r in store.load("users").collect()} == {11: None, 12: 7, 13: None}
+
+
+def test_a_batch_of_ratings_reads_only_the_buckets_of_its_chats(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.replace("papers", stored_papers(spark, ["p"]))
+    store.replace("ratings", spark.createDataFrame([(i, i, "p", 5, NOW) for i in range(1, 400)], schemas.RATINGS))
+    write_updates(tmp_path / "feed" / "1.json", [rate(1001, 7, "rate|p|5"), rate(1002, 900, "rate|p|5")])
+    read, load = [], TableStore.load
+
+    def watched(self, name, parts=None, at=None):
+        if name == "ratings":
+            read.append(parts)
+        return load(self, name, parts, at)
+
+    TableStore.load = watched
+    try:
+        rating_stream(read_updates(spark, str(tmp_path / "feed")), store, str(tmp_path / "check")).awaitTermination()
+    finally:
+        TableStore.load = load
+    assert len(read) == 1 and len(read[0]) <= 2 < len(store.snapshot().parts("ratings"))
+    assert store.load("ratings").count() == 400
+    assert [(r["update_id"], r["reason"]) for r in store.load("rejected_ratings").collect()] == [(1001, "Already rated")]
+
+
+def test_dead_letters_are_kept_once(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    write_updates(tmp_path / "feed" / "1.json", ["not json", {"update_id": 8}, say(9, 7, "/start")])
+    for _ in range(2):
+        for q in feedback.feedback_stream(store, str(tmp_path / "feed"), str(tmp_path / "check")):
+            q.awaitTermination()
+    rows = {r["reason"]: r for r in store.load("dead_letters").collect()}
+    assert store.load("dead_letters").count() == 2 and set(rows) == {"bad json", "ignored"}
+    assert rows["bad json"]["line"] == "not json" and rows["ignored"]["update_id"] == 8
+    assert all(r["file"].endswith("1.json") for r in rows.values())
+
+
+def test_running_counts_are_merged(spark, tmp_path):
+    store, source = TableStore(spark, str(tmp_path / "store")), str(tmp_path / "ratings")
+    for k in range(2):
+        spark.createDataFrame([(i, i % 2, f"p{i}", 5, NOW) for i in range(5 * k, 5 * k + 5)] + [(90 + k, 7 + k, "p", 5, NOW)], schemas.RATINGS) \
+            .coalesce(1).write.mode("append").parquet(source)
+        keep_rating_counts(spark.readStream.schema(schemas.RATINGS).parquet(source), store, str(tmp_path / "c")).awaitTermination()
+    assert {r["user_chat_id"]: r["rating_count"] for r in store.load("rating_counts").collect()} == {0: 5, 1: 5, 7: 1, 8: 1}
+    last = store.snapshot().segments("rating_counts")[-1]
+    assert spark.read.parquet(f"{store.root}/{last.path}").count() == 3  # the chat without news is not written again
+
+
 def test_running_counts(spark, tmp_path):
     source, out = str(tmp_path / "ratings"), []
     spark.createDataFrame([(i, i % 2, f"p{i}", 5, NOW) for i in range(5)], schemas.RATINGS).write.parquet(source)
@@ -288,6 +442,112 @@ def test_daily_digest_end_to_end(spark, tmp_path, landing):
     assert store.load("papers").count() == 7 and store.load("digest_log").count() == 1
 
 
+def test_a_digest_with_models_earlier_scores_and_a_sent_log(spark, tmp_path, landing):
+    store = TableStore(spark, str(tmp_path / "store"))
+    put_user(store, spark)
+    batch = ["arxiv:2401.00001", "arxiv:2401.00002", "arxiv:2401.7", "s2:gg", "pm:1", "pm:2"]
+    # A model that likes one word and nothing else: sigmoid(-2 + 4 * weight).
+    store.commit(Write("models", "delta", spark.createDataFrame([(1, "graph", 1.0, 4.0), (1, "second", 1.0, 4.0)], schemas.MODELS)),
+                 Write("model_meta", "delta", meta_row(spark, 1, -2.0)))
+    early = DAY - dt.timedelta(days=1)
+    scored = spark.createDataFrame([(p, 1, 9.0, None, "before") for p in (batch[1], batch[4])],
+                                   "paper_id string, user_id bigint, llm_score double, pref_score double, llm_explanation string")
+    daily.store_scores(store, scored, early)
+    store.append("digest_log", spark.createDataFrame([(1, batch[4], NOW)], schemas.DIGEST_LOG))
+    scorer = lambda request: json.dumps([{"score": 8, "reason": "r"}] * request.count("\nAuthors: "))
+    run = daily.daily_digest(store, landing, DAY, scorer)
+    scores = {r["paper_id"]: r for r in store.load("paper_scores").collect()}
+    assert len(scores) == 7 and all(r["pref_score"] is not None for r in scores.values())
+    again = scores[batch[1]]
+    assert (again["scored_at"].date(), float(again["llm_score"])) == (early, 8.0)  # scored again, first time kept
+    assert scores["arxiv:2401.00001"]["scored_at"].date() == DAY
+    assert float(scores["pm:1"]["pref_score"]) == pytest.approx(10 / (1 + math.exp(2)), abs=0.006)  # no known word
+    assert float(scores["arxiv:2401.00001"]["pref_score"]) > float(scores["pm:1"]["pref_score"])
+    sent = [r["paper_id"] for r in run.outbox.where("kind = 'paper'").orderBy("position").collect()]
+    assert batch[4] not in sent and set(sent[:2]) == {batch[0], batch[1]}
+    assert store.load("users").first()["next_digest_date"] == DAY + dt.timedelta(days=1)
+
+
+def counting(folder, bad=0, dies_on=None):
+    """A scorer that notes every call in a file, since tasks run in other processes."""
+
+    def scorer(request, folder=str(folder)):
+        import hashlib
+        import os
+
+        path = f"{folder}/{hashlib.sha256(request.encode()).hexdigest()}"
+        with open(path, "a") as f:
+            f.write("x")
+        if dies_on and dies_on in request:
+            os._exit(1)  # no ordinary failure: the worker is gone
+        calls = os.path.getsize(path)
+        if calls <= bad:
+            if calls % 2:
+                raise ValueError("busy")
+            return "no json"
+        return '[{"score": 1}, {"score": 2}]' if "two" in request else f'[{{"score": {len(request) % 10}}}]'
+
+    return scorer
+
+
+def calls(folder):
+    return sorted(x.stat().st_size for x in folder.iterdir())
+
+
+def requests_of(spark, texts):
+    return spark.createDataFrame([(i, i % 3, 1, t) for i, t in enumerate(texts)], "user_id bigint, batch_no int, n int, request string")
+
+
+def test_failed_and_unreadable_replies_are_asked_again_and_never_twice(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    scorer, ledger = counting(tmp_path / "calls", bad=2), str(tmp_path / "ledger")
+    requests = requests_of(spark, [f"request {'y' * i}" for i in range(30)] + ["request ", "two"])
+    got = {(r["user_id"], r["batch_no"]): r["reply"] for r in scoring.ask(requests, scorer, ledger, pause=0.01).collect()}
+    assert len(got) == 32 and got[31, 1] == '[{"score": 1}, {"score": 2}]' and got[0, 0] == got[30, 0] == '[{"score": 8}]'
+    assert calls(tmp_path / "calls") == [3] * 31  # two equal requests are one
+    assert scoring.ask(requests, scorer, ledger, pause=0.01).count() == 32 and calls(tmp_path / "calls") == [3] * 31
+    outcomes = {r["user_id"]: r["status"] for r in scoring.reply_outcomes(requests, scoring.ask(requests, scorer, ledger)).collect()}
+    assert outcomes.pop(31) == "wrong length" and set(outcomes.values()) == {"ok"}  # not asked again
+
+
+def test_three_tries_and_no_more(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    scorer = counting(tmp_path / "calls", bad=9)
+    replies = scoring.ask(requests_of(spark, ["a", "b"]), scorer, str(tmp_path / "ledger"), pause=0.01)
+    assert [r["reply"] for r in replies.collect()] == ["no json"] * 2 and calls(tmp_path / "calls") == [3, 3]
+
+
+def test_replies_of_finished_tasks_outlive_a_job_that_dies(spark, tmp_path, monkeypatch):
+    (tmp_path / "calls").mkdir()
+    monkeypatch.setattr(scoring, "TASK_REQUESTS", 1)
+    requests, ledger = requests_of(spark, [f"request {i}" for i in range(20)] + ["the one that dies"]), str(tmp_path / "ledger")
+    with pytest.raises(Exception):
+        scoring.ask(requests, counting(tmp_path / "calls", dies_on="dies"), ledger)
+    before = scoring.ledger_rows(spark, ledger).count()
+    assert before > 0
+    scorer = counting(tmp_path / "calls")
+    assert scoring.ask(requests, scorer, ledger).count() == 21
+    assert calls(tmp_path / "calls").count(1) >= before
+
+
+def test_settings_that_change_during_a_digest_are_kept(spark, tmp_path, landing, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"))
+    put_user(store, spark)
+    write_updates(tmp_path / "feed" / "1.json", [say(1, 11, "/limit 7"), say(2, 12, "/start")])
+    messages = daily.digest_messages
+
+    def meanwhile(*args):
+        if store.version("outbox") == 0 and store.load("users").count() == 1:
+            settings_stream(read_updates(spark, str(tmp_path / "feed")), store, str(tmp_path / "check")).awaitTermination()
+        return messages(*args)
+
+    monkeypatch.setattr(daily, "digest_messages", meanwhile)
+    daily.daily_digest(store, landing, DAY, scoring.overlap_scorer)
+    users = {r["chat_id"]: r for r in store.load("users").collect()}
+    assert (users[11]["max_papers"], users[11]["next_digest_date"]) == (7, DAY + dt.timedelta(days=1))
+    assert sorted(users) == [11, 12] and store.load("outbox").count() > 0
+
+
 def test_stored_title_keeps_its_id(spark, tmp_path, landing):
     store = TableStore(spark, str(tmp_path / "store"))
     put_user(store, spark)
