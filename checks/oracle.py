@@ -446,6 +446,12 @@ SELECT user_id, count(*) AS n FROM training_v GROUP BY 1 HAVING count(*) >= 30 A
 SELECT t.user_id, t.n, m.terms, m.idf, CAST(0.0 AS DOUBLE) AS steepest
 FROM (SELECT user_id, count(*) AS n FROM training_v GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT label) = 2) t
 JOIN (SELECT user_id, count(*) AS terms, round(sum(idf), 4) AS idf FROM model_v GROUP BY 1) m USING (user_id)""",
+    "fit_shared_optimum": """
+SELECT n, terms, idf, CAST(0.0 AS DOUBLE) AS steepest FROM (SELECT count(*) AS n FROM labels JOIN papers_fx USING (doc_id)) s, (
+  SELECT count(*) AS terms, round(sum(ln((1.0 + n) / (1.0 + df)) + 1), 4) AS idf FROM (
+    SELECT c.term, count(*) AS df, any_value(s.n) AS n, row_number() OVER (ORDER BY sum(c.tf) DESC, c.term) AS rn
+    FROM labels l JOIN papers_fx p USING (doc_id) JOIN tc_v c ON c.id = p.id,
+         (SELECT count(*) AS n FROM labels JOIN papers_fx USING (doc_id)) s GROUP BY c.term) x WHERE rn <= 5000) m""",
     "balanced_weights": """
 SELECT rating_id, round(count(*) OVER (PARTITION BY user_id) / (2.0 * count(*) OVER (PARTITION BY user_id, label)), 6) AS weight
 FROM training_v""",

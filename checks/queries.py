@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import AS_OF, DAYS_BACK, Views, views
 from dailyfolio.functions import bot, messages, papers as paper_fn, scores as score_fn, text
 from dailyfolio.operators import (
-    digest, papers, prefmodel, ranking, retrieval, scoring, settings, upserts, users)
+    digest, papers, prefmodel, ranking, retrieval, scoring, settings, sharedmodel, upserts, users)
 from dailyfolio.plans import daily, feedback, retrain
 from dailyfolio.plans.ingest import ingest as run_ingest
 from dailyfolio.plans.summary import run_summary
@@ -742,6 +742,35 @@ def fit_models_optimum(v):
         "user_id", *big("n", "terms"), F.round("idf", 4).alias("idf"), F.round("s", 6).alias("steepest"))
 
 
+def _labelled(v):
+    """The given labels as ratings of one and all."""
+    papers = v["papers_fx"].select("doc_id", F.col("id").alias("paper_id"))
+    return v["labels"].select("doc_id", F.col("quality").alias("label")).join(papers, "doc_id").select(
+        F.col("doc_id").alias("rating_id"), "paper_id", "label")
+
+
+@query
+def fit_shared_optimum(v):
+    """The size of the model over all labels, and its largest absolute gradient, which is zero at the optimum."""
+    rows = _labelled(v)
+    counts = written(prefmodel.rated_counts(rows, v["papers_fx"]), "labelled-counts")
+    fitted = written(sharedmodel.fit_shared(rows, counts), "shared-fitted").withColumn("user_id", F.lit(0).cast("bigint"))
+    models, meta = prefmodel.split_fitted(fitted)
+    weighted = sharedmodel.class_weights(rows).withColumn("user_id", F.lit(0).cast("bigint"))
+    pulls = retrieval.predict_pairs(weighted, counts, models, meta, digits=None).withColumn(
+        "pull", F.col("weight") * (F.col("score") - F.col("label")))
+    keys = ["rating_id", "pull"]
+    entries = retrieval.exploded(pulls.join(counts, "paper_id").select(*keys, "terms", "tfs"), keys).join(
+        models, "term").withColumn("w", retrieval.sublinear(F.col("tf")) * F.col("idf"))
+    norms = entries.groupBy("rating_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    slopes = entries.join(norms, "rating_id").groupBy("term").agg(
+        F.abs(F.sum(F.col("pull") * F.col("w") / F.col("norm")) + F.first("coef")).alias("s"))
+    steepest = slopes.select("s").unionByName(pulls.agg(F.abs(F.sum("pull")).alias("s"))).agg(F.max("s").alias("s"))
+    sizes = models.agg(F.count("*").alias("terms"), F.sum("idf").alias("idf"))
+    return meta.select("n").join(sizes).join(steepest).select(
+        *big("n", "terms"), F.round("idf", 4).alias("idf"), F.round("s", 3).alias("steepest"))
+
+
 @query
 def cross_validate(v):
     return prefmodel.cross_validate(_training(v), _counts(v))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dailyfolio.functions.text import ENGLISH_STOP_WORDS
-from dailyfolio.operators import blocks, prefmodel, retrieval
+from dailyfolio.operators import blocks, prefmodel, retrieval, sharedmodel
 
 WORDS = [f"w{i:02d}" for i in range(60)] + ["the", "and", "été", "graph"]
 
@@ -188,6 +188,15 @@ def test_a_fit_that_does_not_converge_gives_no_model(spark, monkeypatch):
     assert prefmodel._solve(np.array([0, 1]), np.array([0, 1]), np.ones(2), np.array([0.0, 1.0]), np.ones(2), 2) is None
 
 
+def test_the_shared_model_is_the_fit_over_all_users(spark):
+    docs, rows, training, counts = training_case(spark)
+    fitted = sharedmodel.fit_shared(training, counts, max_features=80).collect()
+    _, terms, w = reference_fit(docs, rows, 80)
+    assert {r["n"] for r in fitted} == {len(rows)}
+    assert {r["term"]: pytest.approx(r["coef"], abs=2e-4) for r in fitted} == dict(zip([*terms, ""], w))
+    assert sharedmodel.fit_shared(training.where("label = 1"), counts).count() == 0
+
+
 def test_gates(spark):
     _, rows, training, counts = training_case(spark)
     one_class = training.where("user_id = 1").withColumn("label", F.lit(1))
