@@ -42,16 +42,22 @@ _P_SCOPE = frozenset(["td", "th", "caption", "table", "button", "object", "html"
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|combx|comment|comments|"
     r"complementary|consent|contentinfo|cookie|cookies|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notice|notices|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|reply|"
-    r"respond|rss|search|share|sharing|shoutbox|sidebar|sidebars|skip|social|sponsor|sponsored|subscribe|teaser|"
-    r"toolbar|tooltip|widget|widgets)(?:$|[\s_-])", re.I)
+    r"navigation|newsletter|overlay|pager|pagination|popup|promo|recommended|related|"
+    r"respond|rss|shoutbox|sidebar|sidebars|skip|sponsor|sponsored|subscribe|teaser|"
+    r"toolbar|tooltip|widget|widgets)(?:$|[\s_-])"
+    # Words that articles use too (a share price, a notice of intent): alone, last, or before a part of a page.
+    r"|(?:^|[\s_-])(?:notice|notices|promoted|replies|reply|search|share|sharing|social)"
+    r"(?=$|\s|[_-](?:area|banner|bar|block|box|button|container|count|form|icon|link|list|panel|popup|row|section|tool|"
+    r"widget|wrapper)s?(?:$|[\s_-]))", re.I)
 #: Compounds that speak of the layout, not of the element itself.
 LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][\w-]+", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|entry-content|post-content|story|main)(?:$|[\s_-])", re.I)
 
-#: A comment, a tag (at most 200 pieces of attributes, none with a bare ``<``), or other markup.
+#: A comment, a tag (with any number of attributes, none with a bare ``<``), or other markup. Quotes count behind ``=`` only;
+#: every step is possessive and told by its first character, so a tag is read once.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)>|<[!?/][^<>]*>", re.S)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)"
+    r"((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?+|[\"'])*+)>|<[!?/][^<>]*>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 LEAST_PARAGRAPH = 25
@@ -274,7 +280,7 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row; null, empty and tag-only pages give an empty text.
 
-    Rows that repeat give equal results; other columns are not read.
+    Very long pages are read once from front to back, and whole; rows that repeat give equal results; other columns are not read.
     """
 
     @F.pandas_udf("string")

@@ -32,6 +32,31 @@ def test_decoding_spaces_and_broken_markup():
     assert htmltext.main_text("<p>cut off <a href='x") in ("cut off", "cut off <a href='x")
 
 
+def test_tags_of_any_length_and_odd_quotes_are_no_text():
+    many = " ".join(f'data-{i}="v > {i}"' for i in range(1000))
+    assert htmltext.main_text(f"<article><p {many}>{P1}</p></article>") == P1
+    for tag in ("<p title=it's>", "<p title='it's here'>", '<p class="a" "b>', "<p a = x b= 'y>z' c>", '<p title="a>b">', "<p/ x=/>",
+                "<p a='\"' b=\"'\">", "<p ==x>"):
+        assert htmltext.main_text(f"<article>{tag}{P1}</p></article>") == P1, tag
+    assert htmltext.main_text("<article><p>" + "<b x=" * 20_000 + P1 + "</article>").endswith(P1)
+
+
+def test_words_of_articles_in_class_names_keep_their_text():
+    for name in ("share-price", "notice-of-intent", "search-for-truth", "social-history"):
+        assert htmltext.main_text(f'<article><p>{P1}</p><div class="{name}"><p>{P2}</p></div></article>') == f"{P1} {P2}", name
+    for name in ("share", "share-buttons", "post-share", "cookie-notice", "notice_box", "search-form", "social links", "social-bar"):
+        assert htmltext.main_text(f'<article><p>{P1}</p><div class="{name}"><p>{P2}</p></div></article>') == P1, name
+
+
+def test_the_odd_table(odd, nothing):
+    pages = odd.selectExpr("doc_id as page_id", "source as url", "text as html", "lang", "'x' as text")
+    rows = htmltext.extract(pages).collect()
+    assert len(rows) == odd.count() and all(r["n_chars"] == len(r["text"]) and "<p>" not in r["text"] for r in rows)
+    texts = {r["page_id"]: r["text"] for r in rows if r["page_id"] is not None}
+    assert texts[0] == texts[1] == texts[12] == "" and texts[10] == "1" * 5000 and len(texts[8].split()) == 30_000
+    assert htmltext.extract(nothing.selectExpr("doc_id as page_id", "source as url", "text as html")).count() == 0
+
+
 def test_empty_and_textless_pages():
     for page in (None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only -->", "<nav><a>b</a></nav>"):
         assert htmltext.main_text(page) == ""
