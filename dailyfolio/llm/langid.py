@@ -28,8 +28,11 @@ FIT_TEXTS = 400
 MODEL_BYTES = 256 << 20
 #: A text is rejected below this share of the cosine that all but the lowest of its length reach.
 REJECT_SHARE = 0.5
-LOWEST = 0.005
+LOWEST = 0.01
 LENGTHS = 24
+LEAST_TEXTS = 20
+#: Steps in which cosines are counted.
+STEPS = 2000
 UNKNOWN = "und"
 
 #: Texts and code points whose dense vectors are held at once.
@@ -123,17 +126,18 @@ class Model:
             "rejected": none | (score < self.floors[_length(letters)])})
 
 
-def _floors(lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
-    """The smallest cosine that each class of length passes with.
+def _floors(counts: np.ndarray) -> np.ndarray:
+    """The smallest cosine that each class of length passes with, from the cosines of all training texts.
 
-    Classes with too few texts take that of the nearest shorter one; below the first, where
-    a handful of n-grams says little, a quarter of it is enough.
+    ``counts`` has a row per class and a column per step of the cosine; a class is taken together with its neighbours.
+    Where those are fewer than ``LEAST_TEXTS``, the nearest shorter class stands in; below the first that has them, where
+    a handful of n-grams says little, a quarter of its floor is enough.
     """
     floors = np.full(LENGTHS, np.nan)
     for j in range(LENGTHS):
-        near = cosines[np.abs(lengths - j) <= 1]
-        if len(near) >= 20:
-            floors[j] = REJECT_SHARE * np.quantile(near, LOWEST)
+        near = counts[max(0, j - 1):j + 2].sum(0)
+        if near.sum() >= LEAST_TEXTS:
+            floors[j] = REJECT_SHARE * np.searchsorted(np.cumsum(near), max(1, near.sum() * LOWEST)) / STEPS
         elif j:
             floors[j] = floors[j - 1]
     first = floors[~np.isnan(floors)]
@@ -154,11 +158,28 @@ def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": np.arange(FEATURES + 1), "df": seen})
 
 
+def _cosine_counts(model: "Model"):
+    """How many of a task's texts of each length class have which cosine to the nearest centroid."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((LENGTHS, STEPS + 1), np.int64)
+        for batch in batches:
+            for _, texts in blocks(batch["text"], *BLOCK):
+                x, letters = _vectors(texts, model.idf)
+                step = np.clip((x @ model.centroids.T).max(1) * STEPS, 0, STEPS).astype(np.int64)
+                np.add.at(seen, (_length(letters)[letters > 0], step[letters > 0]), 1)
+        length, step = np.nonzero(seen)
+        yield pd.DataFrame({"length": length, "step": step, "n": seen[length, step]})
+
+    return counted
+
+
 def fit(docs: DataFrame) -> Model:
     """Learns from ``text`` and non-null ``lang`` of the documents that ``is_training`` admits.
 
-    Document frequencies cover all of them. Centroids and floors are fitted, a language a task,
-    on about ``FIT_TEXTS`` texts per language, chosen by a hash of the id; a language with fewer gives all.
+    Document frequencies and the floors of rejection cover all of them. Centroids are fitted, a language a task,
+    on about ``FIT_TEXTS`` texts per language, chosen by a hash of the id; a language with fewer gives all. Languages
+    whose centroids make more than ``MODEL_BYTES`` are refused.
     """
     labelled = docs.select("doc_id", "text", "lang").filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & is_training(F.col("doc_id")))
@@ -180,20 +201,20 @@ def fit(docs: DataFrame) -> Model:
         x, letters = [np.concatenate(p) for p in zip(*(_vectors(b, idf) for _, b in blocks(group["text"].sort_values(), *BLOCK)))]
         x, letters = x[letters > 0], letters[letters > 0]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "lengths": [], "cosines": []}, dtype=object)
-        c = _clustered(x, CENTROIDS)
-        return pd.DataFrame({
-            "lang": key[0], "centroid": [v.astype(np.float32).tobytes() for v in c],
-            "lengths": [_length(letters).astype(np.int32).tobytes() if j == 0 else b"" for j in range(len(c))],
-            "cosines": [(x @ c.T).max(1).astype(np.float32).tobytes() if j == 0 else b"" for j in range(len(c))]})
+            return pd.DataFrame({"lang": [], "centroid": []}, dtype=object)
+        return pd.DataFrame({"lang": key[0], "centroid": [v.astype(np.float32).tobytes() for v in _clustered(x, CENTROIDS)]})
 
-    made = (chosen.groupBy("lang")
-            .applyInPandas(fitted, "lang string, centroid binary, lengths binary, cosines binary").toPandas()
+    made = (chosen.groupBy("lang").applyInPandas(fitted, "lang string, centroid binary").toPandas()
             .sort_values(["lang", "centroid"]))
     centroids = np.array([np.frombuffer(b, np.float32) for b in made["centroid"]], np.float32).reshape(-1, FEATURES)
-    lengths = np.frombuffer(b"".join(made["lengths"]), np.int32)
-    cosines = np.frombuffer(b"".join(made["cosines"]), np.float32)
-    return Model(idf, made["lang"].tolist(), centroids, _floors(lengths, cosines))
+    model = Model(idf, made["lang"].tolist(), centroids, np.zeros(LENGTHS))
+    if not len(centroids):
+        return model
+    counts = np.zeros((LENGTHS, STEPS + 1), np.int64)
+    for r in (labelled.select("text").mapInPandas(_cosine_counts(model), "length int, step int, n bigint")
+              .groupBy("length", "step").agg(F.sum("n").alias("n")).collect()):  # LENGTHS x STEPS rows at most
+        counts[r["length"], r["step"]] = r["n"]
+    return Model(idf, model.langs, centroids, _floors(counts))
 
 
 def predictor(model: Model):

@@ -33,3 +33,30 @@ def test_odd_and_empty_tables(odd, nothing):
     empty = langid.fit(nothing)
     assert langid.identify(nothing, empty).count() == 0
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
+
+
+def test_floors_come_from_all_training_rows(spark):
+    import numpy as np
+
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    learned = [r["text"] for r in docs.filter(langid.is_training(docs["doc_id"])).select("text", "lang").collect() if r["text"] and r["lang"]]
+    counts = np.zeros((langid.LENGTHS, langid.STEPS + 1), np.int64)
+    for at in range(0, len(learned), 20):
+        x, letters = langid._vectors(learned[at:at + 20], model.idf)
+        for cosine, n in zip((x @ model.centroids.T).max(1), letters):
+            if n:
+                counts[langid._length(np.array([n]))[0], int(min(1, max(0, cosine)) * langid.STEPS)] += 1
+    assert np.abs(langid._floors(counts) - model.floors).max() <= 1 / langid.STEPS
+    rejected = model.predict(learned[:400])["rejected"].mean()
+    assert rejected <= 0.01
+
+
+def test_neighbouring_languages_are_rejected_more_often_than_known_ones(spark):
+    model = langid.fit(table(spark, "/root/testdata/sf0.1", "documents"))
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem",
+        "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa, wote wamejaliwa akili na dhamiri", "qwrtpsdfg zxcvbnm hjklp trwqzx " * 5]
+    found = model.predict(foreign)["rejected"].tolist()
+    assert sum(found) >= 2, found
