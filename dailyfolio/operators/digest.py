@@ -16,7 +16,7 @@ from dailyfolio.operators.upserts import new_log_rows
 POOL_FACTOR = 10
 
 
-def _recent_first() -> list:
+def recent_first() -> list:
     return [F.col("scored_at").desc(), F.col("final_score").desc(), F.col("paper_id").asc()]
 
 
@@ -30,7 +30,7 @@ def passes_final(scores: DataFrame, settings: DataFrame) -> DataFrame:
 
 def recent_pool(scores: DataFrame, factor: int = POOL_FACTOR) -> DataFrame:
     """Per user the latest ``factor * max_papers`` scores."""
-    return top_n_by(scores, ["user_id"], _recent_first(), F.col("max_papers") * factor,
+    return top_n_by(scores, ["user_id"], recent_first(), F.col("max_papers") * factor,
                     salt=["paper_id"])
 
 
@@ -50,7 +50,7 @@ def scored_with_paper(scores: DataFrame, papers: DataFrame, as_of: dt.date | str
 
 def digest_pick(pool: DataFrame) -> DataFrame:
     """Per user the first ``max_papers`` of the pool, which is itself small per user."""
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*_recent_first()))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*recent_first()))
     return pool.withColumn("_rn", place).where("_rn <= max_papers").drop("_rn")
 
 

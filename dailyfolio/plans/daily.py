@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailyfolio.operators.digest import (
-    delivered_to_log, digest_messages, dry_run_digest, rating_counts, unsent_digest)
+    POOL_FACTOR, delivered_to_log, digest_messages, dry_run_digest, rating_counts, recent_first, unsent_digest)
 from dailyfolio.operators.papers import canonical_ids
 from dailyfolio.operators.prefmodel import attach_pref, pref_scores
+from dailyfolio.operators.ranking import keep_ranked
 from dailyfolio.operators.retrieval import TOP_N, build_index, candidates
 from dailyfolio.operators.scoring import (
     BATCH_SIZE, Scorer, ask, reply_outcomes, score_replies, score_requests)
@@ -35,17 +36,64 @@ class DigestRun:
     summary: DataFrame
 
 
-def store_scores(store: TableStore, scored: DataFrame, as_of: dt.date) -> None:
-    """Upsert scores. Only the scored pairs are written; days that hold none of them are not read in full."""
+# Newest scores of a user that the pool holds: enough for the largest digest.
+POOL_ROWS = POOL_FACTOR * 50 + 100
+
+
+def pool_is_fresh(at: Snapshot) -> bool:
+    """Whether the pool was kept in every commit of scores, as ``store_scores`` does."""
+    return 0 < at.changed.get("paper_scores", 0) == at.changed.get("score_pool", 0)
+
+
+def _pool(store: TableStore, at: Snapshot, rows: DataFrame, pool_rows: int) -> Write:
+    """The pool after ``rows`` have been stored: of each of their users the newest scores, old and new.
+
+    Written for these users only; made from all scores where it was not kept before.
+    """
+    fresh = pool_is_fresh(at)
+    held = store.load("score_pool", at=at).join(rows.select("user_id").distinct(), "user_id", "left_semi") \
+        if fresh else store.load("paper_scores", at=at)
+    others = held.join(rows.select("paper_id", "user_id"), ["paper_id", "user_id"], "left_anti")
+    newest = keep_ranked(others.unionByName(rows), ["user_id"], recent_first(), pool_rows)
+    return Write("score_pool", "delta" if fresh else "full", newest)
+
+
+def recent_scores(store: TableStore, at: Snapshot, settings: DataFrame, pool_rows: int = POOL_ROWS) -> DataFrame:
+    """Scores of the users in ``settings`` that hold their latest ``POOL_FACTOR * max_papers`` passing ones.
+
+    They come from the pool. A full pool may lack scores of its oldest moment or before, so only what is newer counts; users
+    for whom that is too little, which takes many scores below their minimum, are looked up among all scores.
+    """
+    if not pool_is_fresh(at):
+        return store.load("paper_scores", at=at)
+    users = settings.select("user_id", "min_rating", "max_papers")
+    pool = store.load("score_pool", at=at).join(users.select("user_id"), "user_id", "left_semi")
+    sizes = pool.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), F.min("scored_at").alias("_oldest"))
+    usable = pool.join(sizes, "user_id").where((F.col("_n") < pool_rows) | (F.col("scored_at") > F.col("_oldest")))
+    passing = usable.join(users, "user_id").groupBy("user_id").agg(
+        F.count_if(F.col("final_score") >= F.col("min_rating")).alias("_passing"))
+    short = written(sizes.where(F.col("_n") >= pool_rows).join(users, "user_id").join(passing, "user_id", "left")
+                    .where(F.coalesce("_passing", F.lit(0)) < POOL_FACTOR * F.col("max_papers")).select("user_id"), "short-pools")
+    usable = usable.drop("_n", "_oldest")
+    if short.isEmpty():
+        return usable
+    return usable.join(short, "user_id", "left_anti").unionByName(
+        store.load("paper_scores", at=at).join(short, "user_id", "left_semi"))
+
+
+def store_scores(store: TableStore, scored: DataFrame, as_of: dt.date, pool_rows: int = POOL_ROWS) -> None:
+    """Upsert scores. Only the scored pairs are written, and the pools of their users; days that hold none of them are not
+    read in full."""
     now = dt.datetime.combine(as_of, dt.time())
     pairs = scored.select("paper_id", "user_id")
 
     def make(at: Snapshot) -> list[Write]:
         days = store.parts_with("paper_scores", pairs, at)
         known = store.load("paper_scores", days, at).join(pairs, pairs.columns, "left_semi")
-        return [Write("paper_scores", "delta", upsert_scores(known, scored, now))]
+        rows = written(upsert_scores(known, scored, now), "new-scores")
+        return [Write("paper_scores", "delta", rows), _pool(store, at, rows, pool_rows)]
 
-    store.update(["paper_scores"], make)
+    store.update(["paper_scores", "score_pool"], make)
 
 
 def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date, scorer: Scorer,
@@ -96,7 +144,7 @@ def daily_digest(store: TableStore, landing: Mapping[str, str], as_of: dt.date,
         at = store.snapshot()
         since_day = (as_of - dt.timedelta(days=days_back)).isoformat()
         recent = [p for p in at.parts("papers") if p >= since_day and p != "none"]
-        digest = unsent_digest(store.load("paper_scores", at=at), store.load("digest_log", at=at),
+        digest = unsent_digest(recent_scores(store, at, settings), store.load("digest_log", at=at),
                                store.load("papers", recent, at), settings, as_of, days_back)
     counts = rating_counts(store.load("ratings"), settings)
     outbox = digest_messages(digest, counts, dry_run)

@@ -56,4 +56,5 @@ RATING_COUNTS = "user_chat_id bigint, rating_count bigint"
 DEAD_LETTERS = "update_id bigint, reason string, line string, file string"
 
 TABLES.update({"outbox": OUTBOX, "rejected_ratings": REJECTED, "rating_counts": RATING_COUNTS,
+               "score_pool": PAPER_SCORES,
                "dead_letters": DEAD_LETTERS})

@@ -344,6 +344,35 @@ def test_scores_of_a_day_stay_readable_and_only_scored_pairs_are_written(spark,
     assert sum(spark.read.parquet(f"{store.root}/{s.path}").count() for s in store.snapshot().segments("paper_scores")) == 4
 
 
+def test_the_pool_gives_the_digest_of_a_full_scan(spark, tmp_path):
+    import random
+    from decimal import Decimal
+
+    from dailyfolio.operators.digest import unsent_digest
+
+    store, rng = TableStore(spark, str(tmp_path / "store")), random.Random(3)
+    ids = [f"p{i:03d}" for i in range(120)]
+    papers = stored_papers(spark, ids)
+    users = spark.createDataFrame([(1, Decimal("1.0"), 2), (2, Decimal("6.0"), 1), (3, Decimal("9.0"), 2), (4, Decimal("1.0"), 5), (9, Decimal("1.0"), 5)],
+                                  "user_id bigint, min_rating decimal(3,1), max_papers int")
+    log = spark.createDataFrame([(1, "p001", NOW), (4, "p002", NOW)], schemas.DIGEST_LOG)
+    kind = "paper_id string, user_id bigint, llm_score double, pref_score double, llm_explanation string"
+    for day in range(4):  # more scores than a pool of 25 holds; some pairs again, with other scores
+        rows = {(rng.choice(ids), u): (float(rng.randint(1, 10)), None, "x") for u in (1, 2, 3, 4) for _ in range(3 if u == 4 else 14)}
+        daily.store_scores(store, spark.createDataFrame([(*k, *r) for k, r in rows.items()], kind), DAY + dt.timedelta(days=day), 25)
+        at = store.snapshot()
+        assert daily.pool_is_fresh(at)
+        pick = lambda scores: sorted((r["user_id"], r["position"], r["paper_id"]) for r in unsent_digest(
+            scores, log, papers, users, DAY, 1).collect())
+        whole = pick(store.load("paper_scores", at=at))
+        assert pick(daily.recent_scores(store, at, users, 25)) == whole and whole
+    sizes = {r["user_id"]: r["count"] for r in store.load("score_pool").groupBy("user_id").count().collect()}
+    assert max(sizes.values()) == 25 and set(sizes) == {1, 2, 3, 4}
+    store.append("paper_scores", store.load("paper_scores").limit(0))  # a writer that knows no pool
+    assert not daily.pool_is_fresh(store.snapshot())
+    assert pick(daily.recent_scores(store, store.snapshot(), users, 25)) == whole
+
+
 def test_one_message_writes_one_row(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     for i in range(3):
