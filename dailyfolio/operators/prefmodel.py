@@ -290,7 +290,7 @@ def fit_models(training: DataFrame, counts: DataFrame, max_features: int = MAX_F
     ``max_train_rows`` of them, the newest.
     """
     rows = _newest(_trainable(training, min_ratings), max_train_rows)
-    return _with_terms(rows, counts).withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
+    return spread(_with_terms(rows, counts), "user_id").withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
         _user_model(max_features), FITTED)
 
 
@@ -304,14 +304,14 @@ def fold_scores(training: DataFrame, counts: DataFrame, k: int = FOLDS,
     """
     rows = written(assign_folds(_trainable(training, min_ratings), k), "folds")
     large = rows.groupBy("user_id").count().where(F.col("count") > max_train_rows).select("user_id")
-    whole = _with_terms(rows.join(large, "user_id", "left_anti"), counts).groupBy("user_id").applyInArrow(
+    whole = spread(_with_terms(rows.join(large, "user_id", "left_anti"), counts), "user_id").groupBy("user_id").applyInArrow(
         _user_fold_scores(max_features), FOLD_SCORES)
     if large.isEmpty():
         return whole
     hot = rows.join(large, "user_id", "left_semi")
     others = hot.withColumn("_out", F.explode(F.sequence(F.lit(1), F.lit(k)))).where("fold <> _out")
     others = _newest(others.drop("fold").withColumnRenamed("_out", "fold"), max_train_rows, ["user_id", "fold"])
-    fitted = written(_with_terms(others, counts).groupBy("user_id", "fold").applyInArrow(
+    fitted = written(spread(_with_terms(others, counts), "user_id", "fold").groupBy("user_id", "fold").applyInArrow(
         _fold_model(max_features), FOLD_FITTED), "fold-fitted")
     scored = predict_pairs(
         hot, counts, fitted.where(F.col("term") != BIAS),
