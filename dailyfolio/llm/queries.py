@@ -83,8 +83,8 @@ def op8_simhash_near_dedup(spark, sf_dir):
 
 @query
 def op9_url_filters(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.listed_by_words(pages))
+    pages = urls.parsed(table(spark, sf_dir, "pages"))
+    return urls.judge_parsed(pages, urls.listed_by_words(pages))
 
 
 @query

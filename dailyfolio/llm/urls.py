@@ -71,20 +71,29 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
         *[F.bit_or(_bit(F.col("canonical"), k)).alias(f"word{k}") for k in range(WORDS)])
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """``page_id, host, path, canonical`` of every row, as a table: the pages themselves are read once, by their url only."""
+    url = F.col("url")
+    return written(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
+                                canonical(url).alias("canonical")), "parsed-urls")
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row.
 
     ``listed`` has a column ``canonical``. A rule decides where one fits, the list elsewhere: block if
     listed, else allow. A null url, or one without ``://``, has an empty host and path, and no rule. Rows that
-    repeat get equal results; an empty list allows; other columns are not read.
+    repeat get equal results; an empty list allows; urls of any length are taken whole; other columns are not read.
     """
+    return judge_parsed(parsed(pages), listed, rules)
+
+
+def judge_parsed(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+    """As ``judge``, of rows from ``parsed``."""
     known = written(listed.select("canonical").filter("canonical <> ''").distinct(), "listed")
     blocks = int(min(MOST_BLOCKS, max(1, known.count() // URLS_PER_BLOCK + 1)))
     table = written(bloom(known, blocks), "bloom")
-    url = F.col("url")
-    rows = (pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
-                         canonical(url).alias("canonical"))
-            .withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)))
+    rows = pages.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     columns = ["page_id", "host", "path"]
     ruled = rows.filter("fit is not null").select(*columns, "fit.rule", "fit.verdict")
     open_ = rows.filter("fit is null").withColumn("block", _block(F.col("canonical"), blocks))
@@ -101,10 +110,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def listed_by_words(pages: DataFrame, words=LISTED_WORDS) -> DataFrame:
-    """Canonical URLs of the pages whose host has one of the words between dots and hyphens."""
-    url = F.col("url")
+    """Canonical URLs of the parsed pages whose host has one of the words between dots and hyphens.
+
+    A list for want of a given one: ``judge`` takes any.
+    """
     pattern = rf"(^|[.-])({'|'.join(words)})([.-]|$)"
-    return pages.select(url).filter(host_of(url).rlike(pattern)).select(canonical(url).alias("canonical"))
+    return pages.filter(F.col("host").rlike(pattern)).select("canonical")
 
 
 def sql(rules=RULES, words=LISTED_WORDS) -> str:
