@@ -132,6 +132,16 @@ FROM (
          CASE WHEN label = first_value(label) OVER (PARTITION BY user_id ORDER BY rating_id) THEN 0
               ELSE count(*) OVER (PARTITION BY user_id) - count(*) OVER (PARTITION BY user_id, label) END AS start
   FROM training_v) t""",
+    "others_v": """
+SELECT o.out AS fold, f.user_id, f.rating_id, f.label, t.paper_id FROM fold_v f JOIN training_v t USING (rating_id)
+JOIN range(1, 6) o(out) ON o.out <> f.fold
+WHERE f.user_id IN (SELECT user_id FROM training_v GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT label) = 2)""",
+    "others_size_v": "SELECT user_id, fold, count(*) AS n FROM others_v GROUP BY 1, 2 HAVING count(DISTINCT label) = 2",
+    "others_term_v": """
+SELECT o.user_id, o.fold, c.term, count(*) AS df, any_value(s.n) AS n,
+       row_number() OVER (PARTITION BY o.user_id, o.fold ORDER BY sum(c.tf) DESC, c.term) AS rn
+FROM others_v o JOIN tc_v c ON c.id = o.paper_id JOIN others_size_v s ON s.user_id = o.user_id AND s.fold = o.fold
+GROUP BY o.user_id, o.fold, c.term""",
     "pred_v": "SELECT *, ((rating_id * 37) % 101) / 100.0 AS score FROM fold_v",
     "auc_v": """
 SELECT user_id, fold, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*) AS auc
@@ -452,6 +462,12 @@ SELECT n, terms, idf, CAST(0.0 AS DOUBLE) AS steepest FROM (SELECT count(*) AS n
     SELECT c.term, count(*) AS df, any_value(s.n) AS n, row_number() OVER (ORDER BY sum(c.tf) DESC, c.term) AS rn
     FROM labels l JOIN papers_fx p USING (doc_id) JOIN tc_v c ON c.id = p.id,
          (SELECT count(*) AS n FROM labels JOIN papers_fx USING (doc_id)) s GROUP BY c.term) x WHERE rn <= 5000) m""",
+    "cross_validate_optimum": """
+SELECT s.user_id, s.fold, s.n, m.terms, m.idf, CAST(0.0 AS DOUBLE) AS steepest, h.held, h.liked
+FROM others_size_v s
+JOIN (SELECT user_id, fold, count(*) AS terms, round(sum(ln((1.0 + n) / (1.0 + df)) + 1), 4) AS idf FROM others_term_v WHERE rn <= 5000 GROUP BY 1, 2) m
+  USING (user_id, fold)
+JOIN (SELECT user_id, fold, count(*) AS held, CAST(sum(label) AS BIGINT) AS liked FROM fold_v GROUP BY 1, 2) h USING (user_id, fold)""",
     "balanced_weights": """
 SELECT rating_id, round(count(*) OVER (PARTITION BY user_id) / (2.0 * count(*) OVER (PARTITION BY user_id, label)), 6) AS weight
 FROM training_v""",
@@ -482,7 +498,7 @@ EXTRA.update({
     "atom_v": f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY published_date DESC, doc_id % 24 DESC, doc_id % 60 DESC, id) AS feed_pos FROM (
   SELECT doc_id, 'arxiv:' || doc_id AS id, {CLEAN.format('title')} AS title, {CLEAN.format('abstract')} AS abstract,
-         coalesce(array_to_string(authors[1:5], '; '), '') AS authors, published_date, CAST(NULL AS VARCHAR) AS venue,
+         coalesce(array_to_string(authors[1:5], '; '), '') AS authors, authors[1:5] AS names, published_date, CAST(NULL AS VARCHAR) AS venue,
          'https://arxiv.org/abs/' || doc_id AS url,
          CASE WHEN doc_id % 3 = 0 THEN 'https://papers.example/pdf/' || doc_id ELSE 'https://arxiv.org/pdf/' || doc_id END AS pdf_url,
          source AS category
@@ -491,7 +507,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY publi
 SELECT * FROM (
   SELECT CASE WHEN doc_id % 3 = 0 THEN 'arxiv:' || doc_id ELSE 's2:h' || doc_id END AS id,
          {STRIP.format('title')} AS title, {STRIP.format('abstract')} AS abstract,
-         coalesce(array_to_string(authors[1:5], '; '), '') AS authors,
+         coalesce(array_to_string(authors[1:5], '; '), '') AS authors, authors[1:5] AS names,
          CASE WHEN doc_id % 5 = 0 THEN DATE '2024-01-01' ELSE published_date END AS published_date,
          coalesce(venue, 'Journal ' || (doc_id % 7)) AS venue,
          CASE WHEN doc_id % 3 = 0 THEN 'https://arxiv.org/abs/' || doc_id ELSE 'https://www.semanticscholar.org/paper/h' || doc_id END AS url,
@@ -503,6 +519,7 @@ SELECT *, row_number() OVER (ORDER BY published_date DESC, id) AS feed_pos FROM
   SELECT 'pm:' || doc_id AS id, {STRIP.format('title')} AS title,
          {STRIP.format("concat('BACKGROUND: ', title, ' ', abstract)")} AS abstract,
          coalesce(array_to_string(list_transform(list_filter(authors[1:5], lambda a: a <> 'In'), lambda a: 'A. ' || a), '; '), '') AS authors,
+         list_transform(list_filter(authors[1:5], lambda a: a <> 'In'), lambda a: 'A. ' || a) AS names,
          published_date, 'Journal of ' || source AS venue, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url,
          CAST(NULL AS VARCHAR) AS pdf_url
   FROM papers_fx WHERE doc_id % 17 <> 2 AND published_date >= {CUT}) a
@@ -519,13 +536,73 @@ SELECT s.*, r.ratings FROM ({SQL["settings_from_log"]}) s
 LEFT JOIN (SELECT user_chat_id, count(DISTINCT paper_id) AS ratings FROM accepted_v GROUP BY 1) r ON r.user_chat_id = s.chat_id"""
 
 # All sources at once: the first by source, category and place in the feed.
-SQL["ingest"] = f"""
-SELECT id, {HASH} AS title_hash, source FROM (
+EXTRA["fed_v"] = f"""
+SELECT *, {HASH} AS title_hash FROM (
   SELECT *, row_number() OVER (PARTITION BY {NORM.format("title")} ORDER BY source_pos, category_pos, feed_pos, id) AS k FROM (
-    SELECT id, title, 'arxiv' AS source, 0 AS source_pos, {CATEGORY.rstrip(", ")} AS category_pos, feed_pos FROM atom_v
-    UNION ALL SELECT id, title, 'semantic_scholar', 1, 0, feed_pos FROM search_v
-    UNION ALL SELECT id, title, 'pubmed', 2, 0, feed_pos FROM pubmed_v) x) y
+    SELECT id, title, abstract, names, published_date, venue, url, 'arxiv' AS source, 0 AS source_pos, {CATEGORY.rstrip(", ")} AS category_pos, feed_pos FROM atom_v
+    UNION ALL SELECT id, title, abstract, names, published_date, venue, url, 'semantic_scholar', 1, 0, feed_pos FROM search_v
+    UNION ALL SELECT id, title, abstract, names, published_date, venue, url, 'pubmed', 2, 0, feed_pos FROM pubmed_v) x) y
 WHERE k = 1"""
+SQL["ingest"] = "SELECT id, title_hash, source FROM fed_v"
+
+
+def over(name: str, **views: str) -> str:
+    """A derived table made from other ones in place of those it names."""
+    text = EXTRA[name]
+    for old, new in views.items():
+        text = text.replace(old, new)
+    return text
+
+
+# A run of the digest: its batch, papers known before under their stored ids; the store after it; rankings, replies, scores.
+EXTRA.update({
+    "had_v": f"SELECT id, title, abstract, authors, published_date, source, venue, url, title_hash FROM ({firsts('doc_id % 2 = 0')}) a",
+    "now_v": """
+SELECT * FROM had_v UNION ALL
+SELECT id, title, abstract, names, published_date, source, venue, url, title_hash FROM fed_v WHERE title_hash NOT IN (SELECT title_hash FROM had_v)""",
+    "batch_v": """
+SELECT coalesce(h.id, f.id) AS id, f.title, f.abstract, f.names AS authors FROM fed_v f LEFT JOIN had_v h USING (title_hash)""",
+    "due_v": f"""
+SELECT s.* FROM settings_v s JOIN users_fx u USING (user_id)
+WHERE u.active AND coalesce(u.next_digest_date, DATE '1900-01-01') <= DATE '{AS_OF}'""",
+    "btok_v": words("batch_v", "id", TEXT),
+    "btc_v": grams("btok_v", "id"),
+    "bvocab_v": over("vocab_v", papers_fx="batch_v", tc_v="btc_v"),
+    "bweight_v": over("weight_v", tc_v="btc_v", vocab_v="bvocab_v"),
+    "bquery_v": over("query_v", vocab_v="bvocab_v"),
+    "bdot_v": over("dot_v", weight_v="bweight_v", query_v="bquery_v"),
+    "bcosine_v": over("cosine_v", papers_fx="batch_v", dot_v="bdot_v"),
+    "bpair_v": over("pair_v", tc_v="btc_v"),
+    "bproba_v": over("proba_v", papers_fx="batch_v", pair_v="bpair_v"),
+    "bbest_v": over("best_v", proba_v="bproba_v"),
+    "asked_v": f"""
+SELECT c.*, s.min_rating, s.keyword_profile, (rank - 1) // 10 AS batch_no, (rank - 1) % 10 + 1 AS pos_in_batch FROM (
+  SELECT user_id, paper_id, rank, true AS has_model FROM bbest_v WHERE user_id IN (SELECT user_id FROM bias_v WHERE b > 0)
+  UNION ALL SELECT user_id, paper_id, rank, false FROM bcosine_v WHERE user_id NOT IN (SELECT user_id FROM bias_v WHERE b > 0)) c
+JOIN due_v s USING (user_id) WHERE s.keyword_profile <> ''""",
+    "passing_v": f"""
+SELECT a.user_id, a.paper_id, CAST(n AS DECIMAL(4,2)) AS llm_score, n || ' shared words' AS llm_explanation,
+       CASE WHEN has_model THEN CAST(round(10 / (1 + exp(-(b.b + coalesce(x.d / x.len, 0)))), 2) AS DECIMAL(4,2)) END AS pref_score
+FROM (SELECT a.*, least(10, len(list_intersect(
+        list_distinct(regexp_extract_all(lower(keyword_profile), '[\\p{{L}}\\p{{N}}_]{{2,}}')),
+        list_distinct(regexp_extract_all(lower(regexp_replace({item('pos_in_batch')}, '^\\[[0-9]+\\] ', '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'))))) AS n
+      FROM asked_v a JOIN batch_v p ON p.id = a.paper_id) a
+LEFT JOIN bias_v b ON b.user_id = a.user_id LEFT JOIN bpair_v x ON x.user_id = a.user_id AND x.paper_id = a.paper_id
+WHERE n >= min_rating""",
+    "merged_v": f"""
+SELECT user_id, paper_id, {BLEND.format(a='a', b='b')} AS final_score, llm_explanation, scored_at FROM (
+  SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.paper_id, o.paper_id) AS paper_id, coalesce(n.llm_score, o.llm_score) AS a,
+         coalesce(n.pref_score, o.pref_score) AS b, coalesce(n.llm_explanation, o.llm_explanation) AS llm_explanation,
+         CASE WHEN o.user_id IS NULL THEN TIMESTAMP '{AS_OF}' ELSE o.scored_at END AS scored_at
+  FROM scores_fx o FULL JOIN passing_v n ON n.user_id = o.user_id AND n.paper_id = o.paper_id) m""",
+    "bpassed_v": "SELECT s.*, t.max_papers FROM merged_v s JOIN due_v t USING (user_id) WHERE s.final_score >= t.min_rating AND t.keyword_profile <> ''",
+    "bpool_v": over("pool_v", passed_v="bpassed_v"),
+    "bdigest_v": over("digest_v", pool_v="bpool_v", papers_fx="now_v"),
+})
+SQL["daily_digest"] = SQL["digest_messages"].replace("digest_v", "bdigest_v").replace(", 0 AS buttons", "").replace(
+    ", 3\nFROM", "\nFROM").replace(", 0\nFROM", "\nFROM")
+SQL["retrain_all_optimum"] = SQL["fit_models_optimum"].replace("AS steepest\n", "AS steepest, true AS has_auc\n") + \
+    " WHERE t.user_id IN (SELECT user_id FROM users_fx WHERE active)"
 
 SQL.update({
     "read_atom": FEED_FIRST.format(out=PAPER_OUT, pos=CATEGORY, view="atom_v"),

@@ -721,25 +721,46 @@ def fit_models(v):
     return prefmodel.fit_models(_training(v), _counts(v))
 
 
+def _at_the_optimum(rows, counts, models, meta, keys: list[str]):
+    """Per model the number of its terms, the sum of their idf, and its largest absolute gradient, which is zero at the optimum.
+
+    ``rows`` are what each model is fitted on."""
+    weighted = prefmodel.balanced_weights(rows.join(meta.select(*keys), keys, "left_semi"), keys)
+    pulls = retrieval.predict_pairs(weighted, counts, models, meta, keys, digits=None).withColumn(
+        "pull", F.col("weight") * (F.col("score") - F.col("label")))
+    own = [*keys, "paper_id", "pull"]
+    entries = retrieval.exploded(pulls.join(counts, "paper_id").select(*own, "terms", "tfs"), own).join(
+        models, [*keys, "term"]).withColumn("w", retrieval.sublinear(F.col("tf")) * F.col("idf"))
+    norms = entries.groupBy(*keys, "paper_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    slopes = entries.join(norms, [*keys, "paper_id"]).groupBy(*keys, "term").agg(
+        (F.sum(F.col("pull") * F.col("w") / F.col("norm")) + F.first("coef")).alias("slope"))
+    steepest = slopes.select(*keys, F.abs("slope").alias("s")).unionByName(
+        pulls.groupBy(*keys).agg(F.abs(F.sum("pull")).alias("s"))).groupBy(*keys).agg(F.max("s").alias("s"))
+    sizes = models.groupBy(*keys).agg(F.count("*").alias("terms"), F.sum("idf").alias("idf"))
+    return meta.join(sizes, keys).join(steepest, keys).select(
+        *big(*keys, "n", "terms"), F.round("idf", 4).alias("idf"), F.round("s", 6).alias("steepest"))
+
+
 @query
 def fit_models_optimum(v):
-    """The size of each model, and its largest absolute gradient, which is zero at the optimum."""
+    """The size of each model, and its largest absolute gradient."""
     training, counts = _training(v).drop("text"), _counts(v)
     models, meta = prefmodel.split_fitted(written(prefmodel.fit_models(training, counts), "fitted"))
-    rows = prefmodel.balanced_weights(training.join(meta.select("user_id"), "user_id", "left_semi"))
-    pulls = retrieval.predict_pairs(rows, counts, models, meta, digits=None).withColumn(
-        "pull", F.col("weight") * (F.col("score") - F.col("label")))
-    keys = ["user_id", "paper_id", "pull"]
-    entries = retrieval.exploded(pulls.join(counts, "paper_id").select(*keys, "terms", "tfs"), keys).join(
-        models, ["user_id", "term"]).withColumn("w", retrieval.sublinear(F.col("tf")) * F.col("idf"))
-    norms = entries.groupBy("user_id", "paper_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    slopes = entries.join(norms, ["user_id", "paper_id"]).groupBy("user_id", "term").agg(
-        (F.sum(F.col("pull") * F.col("w") / F.col("norm")) + F.first("coef")).alias("slope"))
-    steepest = slopes.select("user_id", F.abs("slope").alias("s")).unionByName(
-        pulls.groupBy("user_id").agg(F.abs(F.sum("pull")).alias("s"))).groupBy("user_id").agg(F.max("s").alias("s"))
-    sizes = models.groupBy("user_id").agg(F.count("*").alias("terms"), F.sum("idf").alias("idf"))
-    return meta.join(sizes, "user_id").join(steepest, "user_id").select(
-        "user_id", *big("n", "terms"), F.round("idf", 4).alias("idf"), F.round("s", 6).alias("steepest"))
+    return _at_the_optimum(training, counts, models, meta, ["user_id"])
+
+
+@query
+def cross_validate_optimum(v):
+    """Of each model without a fold the rows it was fitted on, its size and largest gradient, and the ratings it scored."""
+    training, counts = _training(v).drop("text"), _counts(v)
+    trained = written(prefmodel.train(training, counts, fold_models=True), "trained")
+    rows = trained.where("fold > 0 and term is not null").select("user_id", "fold", "term", "idf", "coef", "n")
+    models = rows.where(F.col("term") != retrieval.BIAS).drop("n")
+    meta = rows.where(F.col("term") == retrieval.BIAS).select("user_id", "fold", "n", F.col("coef").alias("intercept"))
+    folds = F.explode(F.sequence(F.lit(1), F.lit(prefmodel.FOLDS)))
+    others = prefmodel.assign_folds(training).withColumn("out", folds).where("fold <> out").drop("fold").withColumnRenamed("out", "fold")
+    held = prefmodel.held_out(trained).groupBy("user_id", "fold").agg(F.count("*").alias("held"), F.sum("label").alias("liked"))
+    return _at_the_optimum(others, counts, models, meta, ["user_id", "fold"]).join(held, ["user_id", "fold"])
 
 
 def _labelled(v):
@@ -891,13 +912,14 @@ def _store(v, *names: str) -> TableStore:
     content = {
         "papers": lambda: ranking.dedup_first(v["papers_fx"]).withColumn("fetched_at", F.lit(STAMP)),
         "all_papers": lambda: _hashed(v["papers_fx"]).withColumn("fetched_at", F.lit(STAMP)),
+        "half_papers": lambda: ranking.dedup_first(v["papers_fx"].where("doc_id % 2 = 0")).withColumn("fetched_at", F.lit(STAMP)),
         "users": lambda: v["users_fx"],
         "ratings": lambda: v["ratings_fx"].withColumn("created_at", F.col("created_at").cast("timestamp")),
         "paper_scores": lambda: v["scores_fx"],
         "digest_log": lambda: v["digest_log_fx"],
     }
     for name in names:
-        store.replace(name.removeprefix("all_"), content[name]())
+        store.replace(name.removeprefix("all_").removeprefix("half_"), content[name]())
     return store
 
 
@@ -1016,13 +1038,28 @@ def ingest(v):
 
 @query
 def daily_digest(v):
-    store = _store(v, "users", "ratings", "papers")
+    """A run over a store with half of the papers, models of some users, old scores and a log of sent papers."""
+    store = _store(v, "users", "ratings", "half_papers", "paper_scores", "digest_log")
+    models, meta = _lift_models(v)
+    none = F.lit(None).cast("double")
+    usable = meta.where(F.col("intercept") > 0).withColumns({"n": F.lit(0).cast("bigint"), "cv_auc_mean": none, "cv_auc_std": none})
+    retrain.save_models(store, models.join(usable.select("user_id"), "user_id", "left_semi"), usable)
     run = daily.daily_digest(store, _landing(v), dt.date.fromisoformat(AS_OF), scoring.overlap_scorer,
                              days_back=DAYS_BACK, categories=CATEGORIES)
-    return run.outbox.select("user_id", "chat_id", "position", "kind", "paper_id", "text")
+    return run.outbox.select("user_id", "chat_id", *big("position"), "kind", "paper_id", "text")
 
 
 @query
 def retrain_all(v):
     report, _ = retrain.retrain_all(_store(v, "users", "ratings", "papers"))
     return report
+
+
+@query
+def retrain_all_optimum(v):
+    """The stored models of the active users after a run, with the ratings that count for each, and whether an AUC is stored."""
+    store = _store(v, "users", "ratings", "all_papers")
+    retrain.retrain_all(store)
+    models, meta = retrain.load_models(store)
+    found = _at_the_optimum(_training(v).drop("text"), _counts(v), models, meta, ["user_id"])
+    return found.join(meta.select("user_id", F.col("cv_auc_mean").between(0, 1).alias("has_auc")), "user_id")

@@ -101,10 +101,11 @@ def assign_folds(training: DataFrame, k: int = FOLDS, chunk_rows: int = CHUNK_RO
     return placed.join(sizes, "user_id").withColumn("fold", fold).drop("_lead", "_1", "_0", "_pos")
 
 
-def _solve(rows, cols, vals, y, weight, p):
+def _solve(rows, cols, vals, y, weight, p, start=None):
     """Minimise weighted logistic loss + |w|^2/2 by Newton steps with conjugate gradients.
 
     The matrix is given by its entries; the last coefficient is the unpenalised intercept.
+    ``start`` saves steps where a similar fit is known; the optimum is the same.
     Returns None if the gradient does not vanish in ``STEPS`` steps.
     """
     n = len(y)
@@ -122,7 +123,7 @@ def _solve(rows, cols, vals, y, weight, p):
         z = times(v)
         return weight @ (np.logaddexp(0, z) - y * z) + 0.5 * v[:p] @ v[:p]
 
-    w = np.zeros(p + 1)
+    w = np.zeros(p + 1) if start is None else start.copy()
     for _ in range(STEPS):
         prob = 1 / (1 + np.exp(-times(w)))
         grad = transposed(weight * (prob - y)) + penalty(w)
@@ -150,7 +151,10 @@ def _solve(rows, cols, vals, y, weight, p):
 
 
 class _UserTexts:
-    """One user's rated papers as term occurrences: row, term code, count."""
+    """One user's rated papers as term occurrences: row, term code, count.
+
+    Counts are taken once, per fold; a fit without a fold uses the totals less those of the fold.
+    """
 
     def __init__(self, docs: pa.Table):
         docs = docs.sort_by("rating_id").combine_chunks()
@@ -166,17 +170,23 @@ class _UserTexts:
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.code = place[encoded.indices.to_numpy()]
-        self.tf = pc.list_flatten(docs["tfs"]).to_numpy().astype(float)
+        tf = pc.list_flatten(docs["tfs"]).to_numpy().astype(float)
+        self.level = 1 + np.log(tf)
+        self.counts = {f: self._counted(self.fold[self.row] == f, tf) for f in np.unique(self.fold)}
+        self.total = sum(self.counts.values(), np.zeros((2, len(self.terms))))
 
-    def vocabulary(self, use: np.ndarray, max_features: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the most frequent terms of the rows in use, and their idf."""
-        seen = use[self.row]
+    def _counted(self, use: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """Occurrences and rows of each term."""
         size = len(self.terms)
-        ctf = np.bincount(self.code[seen], self.tf[seen], minlength=size)
+        return np.array([np.bincount(self.code[use], tf[use], size), np.bincount(self.code[use], minlength=size)])
+
+    def vocabulary(self, out: int | None, max_features: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the most frequent terms outside fold ``out``, and their idf."""
+        ctf, df = self.total if out is None else self.total - self.counts[out]
         kept = np.sort(np.argsort(-ctf, kind="stable")[:max_features])
         kept = kept[ctf[kept] > 0]
-        df = np.bincount(self.code[seen], minlength=size)[kept]
-        return kept, np.log((1 + use.sum()) / (1 + df)) + 1
+        n = len(self.fold) - (0 if out is None else np.count_nonzero(self.fold == out))
+        return kept, np.log((1 + n) / (1 + df[kept])) + 1
 
     def features(self, use: np.ndarray, kept: np.ndarray, idf_of: np.ndarray):
         """Entries (row, column, value) of the normalised TF-IDF matrix of the rows in use."""
@@ -185,19 +195,28 @@ class _UserTexts:
         inside = use[self.row] & (column[self.code] >= 0)
         rows = (np.cumsum(use) - 1)[self.row[inside]]
         cols = column[self.code[inside]]
-        vals = (1 + np.log(self.tf[inside])) * idf_of[cols]
+        vals = self.level[inside] * idf_of[cols]
         norm = np.sqrt(np.bincount(rows, vals * vals, minlength=use.sum()))
         return rows, cols, vals / norm[rows]
 
-    def fit(self, use: np.ndarray, max_features: int):
-        """Vocabulary codes, idf and weights fitted on the rows in use; None with one class or without convergence."""
+    def fit(self, out: int | None, max_features: int, near=None):
+        """Vocabulary codes, idf and weights fitted on the rows outside fold ``out``; None with one class or without convergence.
+
+        ``near`` is another fit of the user, from which this one starts.
+        """
+        use = np.ones(len(self.fold), bool) if out is None else self.fold != out
         y = self.label[use]
         liked = y.sum()
         if liked == 0 or liked == len(y):
             return None
-        kept, idf_of = self.vocabulary(use, max_features)
+        kept, idf_of = self.vocabulary(out, max_features)
         weight = len(y) / (2 * np.where(y == 1, liked, len(y) - liked))
-        w = _solve(*self.features(use, kept, idf_of), y, weight, len(kept))
+        start = None
+        if near is not None:
+            known = np.zeros(len(self.terms))
+            known[near[0]] = near[2][:-1]
+            start = np.append(known[kept], near[2][-1])
+        w = _solve(*self.features(use, kept, idf_of), y, weight, len(kept), start)
         return None if w is None else (kept, idf_of, w)
 
 
@@ -208,55 +227,60 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 FITTED = "user_id bigint, term string, idf double, coef double, n bigint"
-FOLD_FITTED = "user_id bigint, fold int, term string, idf double, coef double"
 FOLD_SCORES = "user_id bigint, fold int, rating_id bigint, paper_id string, label int, score double"
+# Rows of models (fold 0: of all ratings) and rows of held-out ratings.
+TRAINED = FOLD_SCORES + ", term string, idf double, coef double, n bigint"
 
 
-def _user_model(max_features: int):
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        texts = _UserTexts(docs)
-        fitted = texts.fit(np.ones(len(texts.label), dtype=bool), max_features)
-        if fitted is None:
-            return _schema(FITTED).empty_table()
-        kept, idf_of, w = fitted
-        terms = [*texts.terms.take(pa.array(kept)).to_pylist(), BIAS]
-        size = len(terms)
-        return pa.table([
-            [key[0].as_py()] * size, terms, np.append(idf_of, 0.0), w, [len(texts.label)] * size,
-        ], schema=_schema(FITTED))
+def _rows(size: int, **columns) -> pa.Table:
+    """Rows of ``TRAINED``; a column that is not given is null, one value stands for all rows."""
+    def column(kind: pa.DataType, x):
+        if x is None:
+            return pa.nulls(size, kind)
+        return pa.array([x] * size, kind) if isinstance(x, int) else x if isinstance(x, pa.ChunkedArray) else pa.array(x, kind)
 
-    return run
+    return pa.table([column(f.type, columns.get(f.name)) for f in _schema(TRAINED)], schema=_schema(TRAINED))
+
+
+def _model_rows(user: int, fold: int, texts: _UserTexts, fitted, n: int) -> pa.Table:
+    kept, idf_of, w = fitted
+    return _rows(len(w), user_id=user, fold=fold, term=[*texts.terms.take(pa.array(kept)).to_pylist(), BIAS],
+                 idf=np.append(idf_of, 0.0), coef=w, n=n)
 
 
-def _fold_model(max_features: int):
-    """As ``_user_model``, of the ratings that one fold of one user is fitted on."""
+def _whole_model(max_features: int):
+    """The model of all given ratings of a user, or of a user and fold."""
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        fitted = _user_model(max_features)(key[:1], docs)
-        fold = pa.array([key[1].as_py()] * len(fitted), pa.int32())
-        return fitted.add_column(1, "fold", fold).select(_schema(FOLD_FITTED).names)
+        texts = _UserTexts(docs)
+        fitted = texts.fit(None, max_features)
+        if fitted is None:
+            return _schema(TRAINED).empty_table()
+        fold = key[1].as_py() if len(key) > 1 else 0
+        return _model_rows(key[0].as_py(), fold, texts, fitted, len(texts.label))
 
     return run
 
 
-def _user_fold_scores(max_features: int):
+def _model_and_folds(max_features: int, fold_models: bool):
+    """The model of a user, those without each fold if asked for, and the scores of the held-out ratings."""
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        texts = _UserTexts(docs)
-        parts = [_schema(FOLD_SCORES).empty_table()]
+        user, texts = key[0].as_py(), _UserTexts(docs)
+        whole = texts.fit(None, max_features)
+        parts = [_schema(TRAINED).empty_table() if whole is None else _model_rows(user, 0, texts, whole, len(texts.label))]
         for fold in np.unique(texts.fold):
             held = texts.fold == fold
-            fitted = texts.fit(~held, max_features)
+            fitted = texts.fit(fold, max_features, whole)
             if fitted is None:
                 continue
             kept, idf_of, w = fitted
             rows, cols, vals = texts.features(held, kept, idf_of)
             z = np.bincount(rows, vals * w[cols], minlength=held.sum()) + w[-1]
-            size = int(held.sum())
             pick = pa.array(held)
-            parts.append(pa.table([
-                [key[0].as_py()] * size, [int(fold)] * size, texts.ids.filter(pick),
-                texts.papers.filter(pick), texts.label[held].astype(np.int32),
-                1 / (1 + np.exp(-z)),
-            ], schema=_schema(FOLD_SCORES)))
+            parts.append(_rows(int(held.sum()), user_id=user, fold=int(fold), rating_id=texts.ids.filter(pick),
+                               paper_id=texts.papers.filter(pick), label=texts.label[held].astype(np.int32),
+                               score=1 / (1 + np.exp(-z))))
+            if fold_models:
+                parts.append(_model_rows(user, int(fold), texts, fitted, int((~held).sum())))
         return pa.concat_tables(parts)
 
     return run
@@ -290,33 +314,52 @@ def fit_models(training: DataFrame, counts: DataFrame, max_features: int = MAX_F
     ``max_train_rows`` of them, the newest.
     """
     rows = _newest(_trainable(training, min_ratings), max_train_rows)
-    return spread(_with_terms(rows, counts), "user_id").withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
-        _user_model(max_features), FITTED)
+    return fitted_models(spread(_with_terms(rows, counts), "user_id").withColumn("fold", F.lit(0)).groupBy("user_id").applyInArrow(
+        _whole_model(max_features), TRAINED))
 
 
-def fold_scores(training: DataFrame, counts: DataFrame, k: int = FOLDS,
-                max_features: int = MAX_FEATURES, min_ratings: int = MIN_RATINGS,
-                max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Every rating scored by the model fitted without its fold (vocabulary included).
+def train(training: DataFrame, counts: DataFrame, k: int = FOLDS, max_features: int = MAX_FEATURES,
+          min_ratings: int = MIN_RATINGS, max_train_rows: int = MAX_TRAIN_ROWS, fold_models: bool = False) -> DataFrame:
+    """The models of ``fit_models`` and every rating scored by the model fitted without its fold (vocabulary included).
 
-    Folds cover all ratings. A user with over ``max_train_rows`` has each fold fitted on that many of
-    the newest ratings of the others, one fold per task, and all ratings of the fold scored by joins.
+    One pass over a user's terms gives both: they are counted by fold, and a fold's vocabulary comes from the totals less its
+    own. ``fitted_models`` and ``held_out`` take the result apart; ``fold_models`` adds the models of the folds to it.
+
+    Folds cover all ratings. A user with over ``max_train_rows`` has each model fitted on that many of
+    the newest ratings of the others, one model per task, and all ratings of the fold scored by joins.
     """
     rows = written(assign_folds(_trainable(training, min_ratings), k), "folds")
     large = rows.groupBy("user_id").count().where(F.col("count") > max_train_rows).select("user_id")
     whole = spread(_with_terms(rows.join(large, "user_id", "left_anti"), counts), "user_id").groupBy("user_id").applyInArrow(
-        _user_fold_scores(max_features), FOLD_SCORES)
+        _model_and_folds(max_features, fold_models), TRAINED)
     if large.isEmpty():
         return whole
     hot = rows.join(large, "user_id", "left_semi")
-    others = hot.withColumn("_out", F.explode(F.sequence(F.lit(1), F.lit(k)))).where("fold <> _out")
+    others = hot.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(k)))).where("fold <> _out")
     others = _newest(others.drop("fold").withColumnRenamed("_out", "fold"), max_train_rows, ["user_id", "fold"])
     fitted = written(spread(_with_terms(others, counts), "user_id", "fold").groupBy("user_id", "fold").applyInArrow(
-        _fold_model(max_features), FOLD_FITTED), "fold-fitted")
+        _whole_model(max_features), TRAINED), "hot-fitted")
+    terms = fitted.select("user_id", "fold", "term", "idf", "coef")
     scored = predict_pairs(
-        hot, counts, fitted.where(F.col("term") != BIAS),
-        fitted.where(F.col("term") == BIAS).withColumnRenamed("coef", "intercept"), ["user_id", "fold"], digits=None)
-    return whole.unionByName(scored.select(*whole.columns))
+        hot, counts, terms.where(F.col("term") != BIAS),
+        terms.where(F.col("term") == BIAS).withColumnRenamed("coef", "intercept"), ["user_id", "fold"], digits=None)
+    kept = fitted if fold_models else fitted.where("fold = 0")
+    return whole.unionByName(kept).unionByName(scored.select(*_schema(FOLD_SCORES).names), allowMissingColumns=True)
+
+
+def fitted_models(trained: DataFrame) -> DataFrame:
+    """The models of all ratings, as ``fit_models`` gives them."""
+    return trained.where("fold = 0 and term is not null").select(*_schema(FITTED).names)
+
+
+def held_out(trained: DataFrame) -> DataFrame:
+    """The ratings scored by the model fitted without their fold."""
+    return trained.where("rating_id is not null").select(*_schema(FOLD_SCORES).names)
+
+
+def fold_scores(training: DataFrame, counts: DataFrame, k: int = FOLDS, **fit) -> DataFrame:
+    """Every rating of the trainable users scored by the model fitted without its fold; see ``train``."""
+    return held_out(train(training, counts, k, **fit))
 
 
 def split_fitted(fitted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -309,3 +309,23 @@ def test_all_ratings_beyond_the_bound_are_cross_validated(spark):
             z = sum(x * coef[t] for t, x in vec(docs[int(paper[1:])]).items()) + w[-1]
             assert (of[rating]["fold"], of[rating]["label"]) == (k, label)
             assert of[rating]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+@pytest.mark.parametrize("bound", [1000, 70])
+def test_one_pass_gives_models_and_scores(spark, bound):
+    """Also of user 0, whose 120 ratings are beyond the bound of 70; fits start from each other and end at the same optimum."""
+    docs, rows, training, counts = training_case(spark, users=2)
+    trained = prefmodel.train(training, counts, 5, max_features=80, max_train_rows=bound, fold_models=True)
+    trained = spark.createDataFrame(trained.collect(), trained.schema)
+    alone = prefmodel.fit_models(training, counts, max_features=80, max_train_rows=bound).collect()
+    got = {(r["user_id"], r["term"]): r for r in prefmodel.fitted_models(trained).collect()}
+    assert got.keys() == {(r["user_id"], r["term"]) for r in alone}
+    for r in alone:
+        assert (got[r["user_id"], r["term"]]["coef"], got[r["user_id"], r["term"]]["n"]) == (pytest.approx(r["coef"], abs=1e-7), r["n"])
+    own = [r for r in rows if r[0] == 0]
+    folds = dealt_folds([r[3] for r in own], 5)
+    for k in range(1, 6):
+        _, terms, w = reference_fit(docs, [r for r, f in zip(own, folds) if f != k][-bound:], 80)
+        model = {r["term"]: r["coef"] for r in trained.where(f"user_id = 0 and fold = {k} and term is not null").collect()}
+        assert model == {t: pytest.approx(x, abs=1e-6) for t, x in zip([*terms, ""], w)}
+    assert sorted(r["rating_id"] for r in prefmodel.held_out(trained).collect()) == sorted(r[1] for r in rows)
