@@ -5,7 +5,8 @@ every pair of words: 63 bits of hash and the kind, no class. Counts are a Spark
 bits of the hash, whose number follows the size of the input. Texts are taken in blocks; a block asks
 each shard once for each of its distinct words and pairs, so that a common one is no hot key, and adds up its losses from the answers. The
 background is matched to the target: its counts are scaled to the target's total, so that smoothing weighs
-the same in both. Texts are in one of two folds by their hash; each is scored by the counts of the other
+the same in both. Where there are more shards than ``2^COARSE_BITS``, a block's keys go to coarse ranges of them first; there the
+rows of many blocks become one row for each shard, so that rows stay long however large the input is. Texts are in one of two folds by their hash; each is scored by the counts of the other
 fold, so no text is scored by a model that has seen it.
 """
 
@@ -30,6 +31,8 @@ FOLDS = 2
 BLOCK_CHARS = 6_000_000
 SHARD_CHARS = 16_000_000
 SHARD_BITS = 8
+#: A block sends its keys to at most 2^COARSE_BITS ranges of shards.
+COARSE_BITS = 11
 #: Weight of the pair model, and counts added to each word.
 PAIR_WEIGHT = 0.5
 ADDED = 0.1
@@ -131,10 +134,16 @@ COUNTS = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.
                     ("totals", pa.list_(pa.int64())), ("words", pa.int64())])
 
 
-def _counted(bits: int):
-    """Counts of one block: for each shard its distinct keys, how often in target texts, how often in all."""
+def _group(block: int, fold: int, groups: int) -> int:
+    """The fold of a block, as the last bit, and which of the groups of blocks it belongs to."""
+    return 2 * (zlib.crc32(b"%d" % block) % groups) + fold
+
+
+def _counted(bits: int, groups: int):
+    """Counts of one block: for each range of shards its distinct keys, how often in target texts, how often in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             target = batch["target"].to_numpy(zero_copy_only=False)
             for f, at, w in _blocks(batch):
@@ -142,17 +151,37 @@ def _counted(bits: int):
                 keys, back = np.unique(np.concatenate(_keys(w.key, follows)), return_inverse=True)
                 b = np.bincount(back, minlength=len(keys))
                 t = np.bincount(back[np.concatenate([hit, hit[follows]])], minlength=len(keys))
-                rows = [(s, f, _pack_sorted(keys[i:j]), _pack(t[i:j]), _pack(b[i:j])) for s, i, j in _shards(keys, bits)]
+                group = _group(block, f, groups)
+                block += 1
+                rows = [(s, group, _pack_sorted(keys[i:j]), _pack(t[i:j]), _pack(b[i:j])) for s, i, j in _shards(keys, bits)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), COUNTED.types)], schema=COUNTED) \
                     if rows else pa.RecordBatch.from_pylist([], COUNTED)
 
     return run
 
 
+def _united(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all rows, sorted, and where each key of the rows is among them."""
+    return np.unique(np.concatenate([_unpack_sorted(x) for x in rows["keys"].to_pylist()]), return_inverse=True)
+
+
+def _condensed(bits: int):
+    """The counts of a group of blocks in one range, as one row for each shard."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, back = _united(rows)
+        t, b = (np.bincount(back, np.concatenate([_unpack(x, np.int64) for x in rows[m].to_pylist()]), len(keys)).astype(np.int64)
+                for m in ("t", "b"))
+        return pa.Table.from_pylist([{"shard": s, "fold": key[1].as_py(), "keys": _pack_sorted(keys[i:j]), "t": _pack(t[i:j]), "b": _pack(b[i:j])}
+                                     for s, i, j in _shards(keys, bits)], COUNTED)
+
+    return run
+
+
 def _merged(key: tuple, rows: pa.Table) -> pa.Table:
     """One shard: its distinct keys with their counts (target and background of the first fold, then of the second)."""
     parts = [_unpack_sorted(x) for x in rows["keys"].to_pylist()]
-    fold = np.repeat(rows["fold"].to_numpy(), [len(x) for x in parts])
+    fold = np.repeat(rows["fold"].to_numpy() & 1, [len(x) for x in parts])
     keys, back = np.unique(np.concatenate(parts), return_inverse=True)
     counts = []
     t, b = (np.concatenate([_unpack(x, np.int64) for x in rows[m].to_pylist()]) for m in ("t", "b"))
@@ -181,36 +210,52 @@ class Pair:
 
 @dataclass(frozen=True)
 class Models:
-    """The table of shards, their bits, the words of each fold and model, and the size of the vocabulary (one for unseen words)."""
+    """The table of shards, their bits and those of ranges, the words of each fold and model, and the size of the vocabulary
+    (one for unseen words)."""
 
     counts: DataFrame
     bits: int
+    coarse: int
     totals: np.ndarray
     size: int
 
 
-def fit(docs: DataFrame, target: DataFrame) -> Models:
+def _chars(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+
+
+def _groups(chars: int, bits: int, coarse: int) -> int:
+    """Groups of blocks: as many blocks in one as a range has shards, so that its rows are as long as those of the blocks."""
+    return max(1, chars // (BLOCK_CHARS << bits - coarse))
+
+
+def fit(docs: DataFrame, target: DataFrame, coarse_bits: int = COARSE_BITS) -> Models:
     """The models that score each fold. ``target`` has the ``doc_id`` of the target texts.
 
     Counts cover every text and every word and pair. They stay in Spark; the driver gets only the totals and
     the size of the vocabulary. Null texts count nothing.
     """
     ids = target.select("doc_id").filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    chars = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    chars = _chars(docs)
     bits = max(SHARD_BITS, int(chars // SHARD_CHARS).bit_length())
+    coarse = min(bits, coarse_bits)
+    kept = "shard int, fold int, keys binary, t binary, b binary"
     # Hinted, so that small tables take the plan of large ones.
     rows = (docs.select("doc_id", "text").filter("text is not null").join(ids.hint("shuffle_hash"), "doc_id", "left")
             .select("text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("same"), F.coalesce("target", F.lit(False)).alias("target"))
-            .mapInArrow(_counted(bits), "shard int, fold int, keys binary, t binary, b binary"))
+            .mapInArrow(_counted(coarse, _groups(chars, bits, coarse)), kept))
+    if coarse < bits:
+        rows = rows.groupBy("shard", "fold").applyInArrow(_condensed(bits), kept)
     counts = written(rows.groupBy("shard").applyInArrow(
         _merged, "shard int, keys binary, counts array<binary>, totals array<bigint>, words bigint"), "lm-counts")
     sums = counts.agg(*[F.sum(F.col("totals")[k]) for k in range(2 * FOLDS)], F.sum("words")).first()
     *totals, size = [x or 0 for x in sums]
-    return Models(counts, bits, np.array(totals, np.float64).reshape(FOLDS, 2), size + 1)
+    return Models(counts, bits, coarse, np.array(totals, np.float64).reshape(FOLDS, 2), size + 1)
 
 
-def _asked(bits: int, schema: pa.Schema):
-    """Of each block a row for each shard with the keys it asks for, and one (of a shard below 0) with its texts as numbers of its sorted words."""
+def _asked(bits: int, groups: int, schema: pa.Schema):
+    """Of each block a row for each range of shards with the keys it asks for, and one (of a shard below 0) with its texts as
+    numbers of its sorted words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -219,8 +264,9 @@ def _asked(bits: int, schema: pa.Schema):
                 word, pair = _keys(w.key, _follows(w))
                 keys = np.unique(np.concatenate([word, pair]))
                 _, number = np.unique(word, return_inverse=True)
-                rows = [{"block": block, "shard": s, "fold": f, "keys": _pack_sorted(keys[i:j])} for s, i, j in _shards(keys, bits)]
-                rows.append({"block": block, "shard": -1 - zlib.crc32(b"%d" % block) % (1 << bits), "fold": f,
+                group = _group(block, f, groups)
+                rows = [{"block": block, "shard": s, "fold": group, "keys": _pack_sorted(keys[i:j])} for s, i, j in _shards(keys, bits)]
+                rows.append({"block": block, "shard": -1 - zlib.crc32(b"%d" % block) % (1 << bits), "fold": group,
                              "number": _pack_numbers(number), "sizes": _pack(np.diff(w.first).astype(np.int64)),
                              "ids": batch["doc_id"].take(pa.array(at)).to_pylist()})
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -229,6 +275,41 @@ def _asked(bits: int, schema: pa.Schema):
     return run
 
 
+def _gathered(bits: int, schema: pa.Schema):
+    """What a group of blocks asks for in one range (here as the block), as one row for each shard."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, _ = _united(rows)
+        return pa.Table.from_pylist([{"block": key[0].as_py(), "shard": s, "fold": key[1].as_py(), "keys": _pack_sorted(keys[i:j])}
+                                     for s, i, j in _shards(keys, bits)], schema)
+
+    return run
+
+
+def _word_keys(keys: np.ndarray) -> bytes:
+    return _pack_sorted(keys[keys & np.uint64(1) == 0])
+
+
+def _handed_out(schema: pa.Schema):
+    """The answers to a group of blocks in one range, for each of its blocks: what was gathered is put together again."""
+
+    def run(key: tuple, asked: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(asked):
+            return schema.empty_table()
+        keys, back = _united(asked)
+        answers = answers.sort_by("shard")
+        t, b = (np.concatenate([_unpack(x, np.int64) for x in answers[m].to_pylist()]) for m in ("t", "b"))
+        out, first = [], 0
+        for block, packed in zip(asked["block"].to_pylist(), asked["keys"].to_pylist()):
+            own = _unpack_sorted(packed)
+            at = back[first:first + len(own)]
+            first += len(own)
+            out.append({"block": block, "shard": key[0].as_py(), "fold": key[1].as_py(), "keys": _word_keys(own), "t": _pack(t[at]), "b": _pack(b[at])})
+        return pa.Table.from_pylist(out, schema)
+
+    return run
+
+
 def _answered(schema: pa.Schema):
     """Counts of the other fold for the keys that each block asks for, with those of words; rows of texts pass."""
 
@@ -243,8 +324,8 @@ def _answered(schema: pa.Schema):
             keys = _unpack_sorted(packed)
             at = np.minimum(np.searchsorted(have, keys), max(0, len(have) - 1))
             found = have[at] == keys if len(have) else np.zeros(len(keys), bool)
-            t, b = (np.where(found, of[2 * (1 - fold) + m][at], 0) if len(have) else np.zeros(len(keys), np.int64) for m in (0, 1))
-            out.append({"block": block, "shard": shard, "fold": fold, "keys": _pack_sorted(keys[keys & np.uint64(1) == 0]), "t": _pack(t), "b": _pack(b)})
+            t, b = (np.where(found, of[2 * (1 - (fold & 1)) + m][at], 0) if len(have) else np.zeros(len(keys), np.int64) for m in (0, 1))
+            out.append({"block": block, "shard": shard, "fold": fold, "keys": _word_keys(keys), "t": _pack(t), "b": _pack(b)})
         return pa.Table.from_pylist(out, schema)
 
     return run
@@ -266,7 +347,7 @@ def _scored(totals: np.ndarray, size: int, schema: pa.Schema):
         losses = []
         for m, name in enumerate(("t", "b")):
             counts = np.concatenate([np.zeros(0, np.int64), *[_unpack(x, np.int64) for x in rows[name].slice(1).to_pylist()]])
-            target, total = totals[1 - own["fold"]][[0, m]]
+            target, total = totals[1 - (own["fold"] & 1)][[0, m]]
             scale = target / total if target > 0 else 1.0
             of_word, of_pair = counts[back[:len(word)]] * scale, np.zeros(len(word))
             of_pair[follows] = counts[back[len(word):]] * scale
@@ -295,9 +376,20 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     answered = pa.schema([*common, ("t", pa.binary()), ("b", pa.binary())])
     out = pa.schema([("doc_id", id_arrow), ("n_tokens", pa.int64()), *[(n, pa.float64()) for n in ("loss_target", "loss_background", "score")]])
     same = F.coalesce(F.xxhash64("text").bitwiseAND(0xFFFF), F.lit(0)).alias("same")
-    rows = docs.select("doc_id", "text", same).mapInArrow(_asked(models.bits, asked), ddl)
-    answers = rows.groupBy("shard").cogroup(models.counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(
-        _answered(answered), f"{ddl}, t binary, b binary")
+    bits, coarse, answer_ddl = models.bits, models.coarse, f"{ddl}, t binary, b binary"
+    groups = _groups(_chars(docs), bits, coarse) if coarse < bits else 1
+    rows = docs.select("doc_id", "text", same).mapInArrow(_asked(coarse, groups, asked), ddl)
+    counts = models.counts.select("shard", "keys", "counts").groupBy("shard")
+    if coarse < bits:
+        rows = written(rows, "lm-asked")
+        own = rows.where("shard >= 0")
+        gathered = own.groupBy("shard", "fold").applyInArrow(_gathered(bits, asked), ddl)
+        found = gathered.groupBy("shard").cogroup(counts).applyInArrow(_answered(answered), answer_ddl).select(
+            F.col("block").cast("int").alias("range"), "fold", "shard", "t", "b")
+        answers = own.groupBy("shard", "fold").cogroup(found.groupBy("range", "fold")).applyInArrow(_handed_out(answered), answer_ddl)
+        answers = answers.unionByName(rows.where("shard < 0"), allowMissingColumns=True)
+    else:
+        answers = rows.groupBy("shard").cogroup(counts).applyInArrow(_answered(answered), answer_ddl)
     return answers.groupBy("block").applyInArrow(
         _scored(models.totals, models.size, out),
         f"doc_id {id_type.simpleString()}, n_tokens bigint, loss_target double, loss_background double, score double")

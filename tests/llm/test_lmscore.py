@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from dailyfolio.llm import lmscore
 from dailyfolio.llm.words import words_of
@@ -37,6 +38,33 @@ def test_texts_like_the_target_score_higher(spark):
     assert rows[3]["n_tokens"] == 120
 
 
+@pytest.mark.parametrize("groups", [1, 5])
+def test_ranges_of_shards_change_nothing(spark, odd, nothing, monkeypatch, groups):
+    """Keys sent by way of ranges, of all blocks together or of groups of them, give the losses of keys sent to their shards."""
+    docs = frame(spark, [prose(i % 40, 30 + i % 50) for i in range(120)] + [None, "", "..."])
+    target = docs.select("doc_id").filter("doc_id < 30")
+    want = sorted(map(tuple, lmscore.score(docs, lmscore.fit(docs, target)).collect()))
+    monkeypatch.setattr(lmscore, "_groups", lambda chars, bits, coarse: groups)
+    models = lmscore.fit(docs, target, coarse_bits=3)
+    assert models.coarse == 3 < models.bits
+    got = sorted(map(tuple, lmscore.score(docs, models).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(a == b or math.isclose(a, b, rel_tol=1e-12) for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+    ids = odd.select("doc_id")
+    assert lmscore.score(odd, lmscore.fit(odd, ids, coarse_bits=3)).count() == odd.count()
+    assert lmscore.score(nothing, lmscore.fit(nothing, ids, coarse_bits=3)).count() == 0
+    assert lmscore.score(odd, lmscore.fit(nothing, ids, coarse_bits=3)).count() == odd.count()
+
+
+def test_groups_grow_with_the_input():
+    """A row of a group in a shard stays about as long as that of a block in a range."""
+    for chars in (10**9, 10**12, 10**15):
+        bits = max(lmscore.SHARD_BITS, (chars // lmscore.SHARD_CHARS).bit_length())
+        coarse = min(bits, lmscore.COARSE_BITS)
+        in_group = chars / lmscore.BLOCK_CHARS / lmscore._groups(chars, bits, coarse)
+        assert in_group >= 0.99 * 2 ** (bits - coarse)
+
+
 def test_odd_and_empty_tables(spark, odd, nothing):
     ids = odd.select("doc_id")
     assert lmscore.score(odd, lmscore.fit(odd, ids)).count() == odd.count()
