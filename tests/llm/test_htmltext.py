@@ -1,3 +1,6 @@
+import html
+import random
+
 from dailyfolio.llm import htmltext
 
 P1 = "The first paragraph tells, at some length, what happened in the valley before the long winter came."
@@ -71,3 +74,37 @@ def test_deep_long_and_repeated_pages(spark):
     whole = " ".join([P1] * 5000)
     assert out == sorted([(1, P1, len(P1)), (2, whole, len(whole)), (2, whole, len(whole)), (0, "", 0)], key=str)
     assert htmltext.extract(rows.limit(0)).count() == 0
+
+
+def made_page(seed):
+    """A page around known blocks: references, white space, inline tags and surroundings are drawn by the seed."""
+    rng = random.Random(seed)
+    letters = ["stone", "river", "grün", "été", "a<b", "Q&A", "“so”", "漢字", "x > y", "5 €", "it's"]
+
+    def shown(word):
+        out = "".join(rng.choice([html.escape(c), f"&#{ord(c)};", f"&#x{ord(c):X};"]) if c in "&<>€é" else c for c in word)
+        return rng.choice([out, out, out, f"<b>{out}</b>", f'<a href="/w">{out}</a>', f"<span class='k'>{out}</span>"])
+
+    blocks, inner = [], []
+    for k in range(rng.randint(3, 9)):
+        words = [rng.choice(letters) + "," * (rng.random() < 0.2) for _ in range(rng.randint(25, 60))]
+        blocks.append(" ".join(words))
+        tag = rng.choice(["p", "p", "p", "blockquote", "div"]) if k else "h1"
+        inner.append(f"<{tag}>" + rng.choice([" ", "\n  ", "&nbsp;", ""]) + rng.choice([" ", "\n", "\t \n"]).join(map(shown, words)) + f"</{tag}>")
+        inner.append(rng.choice(["", "", "<!-- <p>no text</p> -->", "<script>if (a < b) { t = '<p>x</p>' }</script>", "<style>p > a {}</style>",
+                                 "<form><label>Your mail, please</label><input value='v'></form>"]))
+    start, end = rng.choice([("<article>", "</article>"), ("<main><article class='post'>", "</article></main>"),
+                             ("<div class='page'><div class='content'>", "</div></div>"), ("<section><div id='article-body'>", "</div></section>")])
+    links = "".join(f"<li><a href='/{i}'>Topic number {i}</a></li>" for i in range(rng.randint(3, 12)))
+    before = rng.sample([f"<nav><ul>{links}</ul></nav>", "<header><h2>Our site, with a name</h2></header>", f"<div id='menu'><ul>{links}</ul></div>",
+                         "<div class='cookie-notice'>We use cookies, as everyone does, so please agree to all of them.</div>"], rng.randint(1, 4))
+    after = rng.sample([f"<aside><h3>More</h3><ul>{links}</ul></aside>", "<footer>All rights, and so on, reserved.</footer>",
+                        "<div class='ad'>Buy now, buy cheap, buy here.</div>",
+                        "<div id='comments'><p>I think, as a reader, that all of this, every bit, is wrong.</p></div>"], rng.randint(1, 4))
+    return f"<html><head><title>T</title></head><body>{''.join(before)}{start}{''.join(inner)}{end}{''.join(after)}</body></html>", " ".join(blocks)
+
+
+def test_known_articles_come_back_whole():
+    for seed in range(150):
+        page, text = made_page(seed)
+        assert htmltext.main_text(page) == text, seed

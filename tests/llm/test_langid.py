@@ -1,4 +1,8 @@
+import math
 import zlib
+from collections import Counter
+
+import pytest
 
 from dailyfolio.llm import langid
 from dailyfolio.llm.words import table
@@ -28,6 +32,30 @@ def test_foreign_scripts_and_letterless_texts_are_rejected(spark):
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [4]
 
 
+def test_predictions_equal_plain_cosines(spark):
+    """N-grams counted by a dictionary, weighted and compared with every centroid one by one."""
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    found = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect() + docs.orderBy(docs["n_chars"].desc()).limit(2).collect():
+        text = "".join(c.lower() if c.isalpha() else " " for c in (r["text"] or ""))
+        text = " " * text.startswith(" ") + " ".join(text.split()) + " " * text.endswith(" ")
+        grams = Counter(text[i:i + n] for n in langid.ORDERS for i in range(len(text) - n + 1))
+        del grams[" "]
+        counts = Counter()
+        for gram, n in grams.items():
+            code = 0
+            for c in gram:
+                code = code * 0x1FFFFF + min(ord(c), 0x20000)
+            counts[((code + len(gram)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - langid.FEATURE_BITS] += n
+        weight = {f: math.log1p(n) * float(model.idf[f]) for f, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        near = [sum(w * float(c[f]) for f, w in weight.items()) / norm for c in model.centroids]
+        best = max(near)
+        assert found[r["doc_id"]]["score"] == pytest.approx(best, abs=1e-4)
+        assert found[r["doc_id"]]["lang_pred"] in {lang for lang, x in zip(model.langs, near) if x > best - 1e-5}
+
+
 def test_odd_and_empty_tables(odd, nothing):
     assert langid.identify(odd, langid.fit(odd)).count() == odd.count()
     empty = langid.fit(nothing)

@@ -62,6 +62,48 @@ def test_a_step_equals_numpy(spark):
     assert [got[f"l{i}{j}"] for i, j in quality._PAIRS] == pytest.approx([factor[i, j] for i, j in quality._PAIRS])
 
 
+def plain_distances(x):
+    """Squared distances from the best of two starts after all steps, with numpy alone."""
+    floors = np.diag(quality.FLOORS)
+    middle = lambda v: np.sort(v, axis=0)[-(-len(v) // 2) - 1]
+    median = middle(x)
+    found = []
+    for mean, cov in ((x.mean(0), np.cov(x.T, bias=True) + floors),
+                      (median, np.diag((1.4826 * middle(np.abs(x - median))) ** 2) + floors)):
+        for _ in range(quality.STEPS):
+            mean, cov = plain_step(x, mean, cov)
+        y = x - mean
+        found.append((np.linalg.slogdet(cov)[1], (y * np.linalg.solve(cov, y.T).T).sum(1)))
+    return min(found, key=lambda f: f[0])[1]
+
+
+def test_verdicts_equal_plain_estimates(spark):
+    """The whole query on two groups with texts between clean and odd, against numpy."""
+    rng = np.random.default_rng(5)
+    texts, sources = [], []
+    for i in range(420):
+        words = prose(i, 60 + i % 70).split()
+        for k in range(len(words)):
+            words[k] += "#$*%"[k % 4] * (rng.random() < (i % 21) ** 3 / 9000) + "x" * int(rng.integers(0, 2 + i % 3 * (i % 50 == 0) * 9))
+        texts.append("\n".join([" ".join(words), *["same line"] * int(rng.integers(0, 4)), *["again"] * (40 * (i % 60 == 1))]))
+        sources.append("ab"[i % 3 > 1])
+    docs = spark.createDataFrame([(i, t, "en", s, 0, "f", 1, "x") for i, (t, s) in enumerate(zip(texts, sources))], SCHEMA)
+    got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+    counts = [plain_counts(t) for t in texts]
+    failed = [n < 50 or 100 * again > 50 * n for n, _, _, _, again in counts]
+    assert [got[i]["base_failed"] for i in range(len(texts))] == failed
+    for source in "ab":
+        own = [i for i in range(len(texts)) if sources[i] == source and not failed[i]]
+        assert len(own) >= quality.LEAST_GROUP
+        lines = [sum(bool(line.strip()) for line in texts[i].split("\n")) for i in own]
+        x = np.array([(np.log(c / n), np.sqrt(y / c), np.sqrt(d / k), np.sqrt(a / n))
+                      for (n, c, y, d, a), k in zip((counts[i] for i in own), lines)])
+        want = plain_distances(x)
+        assert [got[i]["distance"] for i in own] == pytest.approx(want.tolist(), rel=1e-6)
+        assert [got[i]["kept"] for i in own] == (want <= quality.REJECT).tolist()
+        assert 0 < (want > quality.REJECT).sum() < 0.2 * len(own)
+
+
 def test_outliers_go_and_clean_texts_stay(spark):
     clean = [prose(i, 80 + i % 90) for i in range(300)]
     junk = [" ".join(w + "###$$$" for w in prose(900 + i, 80).split()) for i in range(8)]
