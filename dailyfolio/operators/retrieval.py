@@ -7,15 +7,19 @@ shuffled afterwards are term totals and the top n of each meeting.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from dailyfolio.functions.scores import sigmoid
 from dailyfolio.functions.text import (
-    ENGLISH_STOP_WORDS, doc_text, ngrams, remove_stop_words, tokens)
+    ENGLISH_STOP_WORDS, doc_text, remove_stop_words, tokens)
 from dailyfolio.operators.blocks import (
     BLOCK_TERMS, DIGITS, SLICE_PAPERS, best_by_models, best_by_profiles, codes, meet)
 from dailyfolio.operators.pairs import pair_sums
@@ -25,31 +29,52 @@ from dailyfolio.session import spread, written
 
 MAX_FEATURES = 5000
 TOP_N = 30
+# Words that are counted at once, and documents at most.
+COUNTED_WORDS = 1 << 20
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words ``_w`` of each document as its sorted distinct 1- and 2-grams and their counts.
+
+    Words never hold a space or anything before it, so grams sort like pairs of words, a word alone first.
+    """
+    for batch in batches:
+        words = batch.column("_w")
+        ends = np.cumsum(np.asarray(words.value_lengths().fill_null(0)), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            upto = max(at + 1, min(at + COUNTED_WORDS, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED_WORDS, "right"))))
+            part = batch.slice(at, upto - at)
+            sizes, found = np.diff(ends[at:upto], prepend=ends[at - 1] if at else 0), part.column("_w").flatten()
+            encoded = found.dictionary_encode()
+            order = pc.sort_indices(encoded.dictionary)
+            known = encoded.dictionary.take(order)
+            place = np.empty(len(known), np.int64)
+            place[np.asarray(order)] = np.arange(1, len(known) + 1)
+            code, base = place[np.asarray(encoded.indices)], len(known) + 1
+            row = np.repeat(np.arange(len(part)), sizes)
+            one = (row * base + code) * base
+            gram, tfs = np.unique(np.concatenate([one, (one[:-1] + code[1:])[row[:-1] == row[1:]]]), return_counts=True)
+            row, first, second = gram // (base * base), gram // base % base, gram % base
+            rest = pa.concat_arrays([pa.array([""], pa.string()), pc.binary_join_element_wise("", known, " ")])
+            terms = pc.binary_join_element_wise(known.take(pa.array(first - 1)), rest.take(pa.array(second)), "")
+            offsets = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+            kept = [n for n in part.schema.names if n != "_w"]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(n) for n in kept), pa.ListArray.from_arrays(offsets, terms),
+                 pa.ListArray.from_arrays(offsets, pa.array(tfs.astype(np.int32)))], names=[*kept, "terms", "tfs"])
+            at = upto
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str], text: Column,
                 stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Per document the sorted distinct 1- and 2-grams with their counts, as arrays.
 
-    Equal neighbours in the sorted list are counted inside the row: no shuffle.
+    Words are found by Spark and counted on Arrow data, many documents at once: no shuffle.
     """
-    grams = docs.select(
-        *keys, F.sort_array(ngrams(remove_stop_words(tokens(text), stop_words))).alias("_g"))
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size("_g")),
-        lambda i: (i == 1) | (F.get("_g", i - 1) != F.get("_g", i - 2)))
-    runs = grams.select(
-        *keys, "_g",
-        F.when(F.size("_g") > 0, starts).otherwise(F.array().cast("array<int>")).alias("_s"))
-    following = F.concat(
-        F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))),
-        F.array(F.size("_g") + 1))
-    return runs.select(
-        *keys,
-        F.transform("_s", lambda i: F.get("_g", i - 1)).alias("terms"),
-        F.when(F.size("_s") > 0, F.zip_with(following, F.col("_s"), lambda b, a: b - a))
-        .otherwise(F.array().cast("array<int>")).alias("tfs"),
-    )
+    words = docs.select(*keys, remove_stop_words(tokens(text), stop_words).alias("_w"))
+    schema = StructType([*words.schema.fields[:-1], StructField("terms", ArrayType(StringType())), StructField("tfs", ArrayType(IntegerType()))])
+    return words.mapInArrow(_counted, schema)
 
 
 def exploded(packed: DataFrame, keys: Sequence[str], values: str = "tfs",
