@@ -76,6 +76,30 @@ def test_groups_equal_the_components_of_all_similar_pairs(spark, corpus, chunk):
     assert partition(found(frame(spark, corpus), chunk=chunk)) == partition(plain(corpus))
 
 
+@pytest.mark.parametrize("cell", [neardup.CELL, 40])
+def test_copies_among_many_similar_texts_are_joined(spark, cell):
+    """Each text's copy is one of many in its buckets, most of which are as near by their fingerprints, but not similar."""
+    base = words(1, 300)
+    texts = [t for i in range(150) for own in [changed(base, 5, 70 + i)] for t in (own, changed(own.split(), 6, 900 + i))]
+    want = partition(plain(texts))
+    assert len(want) > 60
+    assert partition(found(frame(spark, texts), cell=cell)) == want
+
+
+@pytest.mark.parametrize("cell", [100, 2])
+def test_all_similar_pairs_of_an_open_bucket_are_found(spark, cell):
+    sets = {i: [100 * (i // 3) + x for x in range(10) if x != i % 3] for i in range(30)} | {30: [], 31: [1, 2, 3]}
+    near = spark.createDataFrame([(3, 0), (4, 3)], "node bigint, root bigint")
+    rows = spark.createDataFrame([(b, i, len(s)) for b in (7, 8) for i, s in sets.items()] + [(9, 3, 9), (9, 4, 9)], "bucket bigint, cid bigint, n bigint")
+    root = {3: 0, 4: 3}
+    members = neardup.open_buckets(rows, near, cell)
+    assert {r["bucket"] for r in members.collect()} == {7, 8, 9}
+    got = neardup.rest(members, spark.createDataFrame(list(sets.items()), "cid bigint, shingles array<bigint>"), 0.8).collect()
+    want = {(a, b) for a in sets for b in sets if a < b and root.get(a, a) != root.get(b, b)
+            and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert len(got) == len(want) == 30 and {(r["a"], r["b"]) for r in got} == want
+
+
 def test_recall_on_the_given_table(spark):
     rows = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").orderBy("doc_id").collect()
     want = plain([r["text"] for r in rows])
