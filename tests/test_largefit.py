@@ -82,3 +82,10 @@ def many_ratings(spark, n):
 def test_old_ratings_of_a_busy_user_are_fitted(spark):
     fitted = prefmodel.fit_models(*many_ratings(spark, 5200)).collect()
     assert {r["n"] for r in fitted} == {5200} and "ancient" in {r["term"] for r in fitted}
+
+
+def test_old_ratings_of_a_busy_user_are_cross_validated(spark):
+    trained = prefmodel.train(*many_ratings(spark, 6400), fold_models=True)
+    models = trained.where("term is not null").select("fold", "n").distinct().collect()
+    assert sorted((r["fold"], r["n"]) for r in models) == [(0, 6400), *((f, 5120) for f in range(1, 6))]
+    assert prefmodel.held_out(trained).count() == 6400
