@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dailyfolio import schemas
 from dailyfolio.operators import largefit, prefmodel, totals
+from dailyfolio.plans import retrain
+from dailyfolio.sources.tables import TableStore
+from test_jobs import put_user, stored_papers
 from test_models import dealt_folds, reference_fit, training_case
 
 
@@ -89,3 +93,22 @@ def test_old_ratings_of_a_busy_user_are_cross_validated(spark):
     models = trained.where("term is not null").select("fold", "n").distinct().collect()
     assert sorted((r["fold"], r["n"]) for r in models) == [(0, 6400), *((f, 5120) for f in range(1, 6))]
     assert prefmodel.held_out(trained).count() == 6400
+
+
+def test_old_ratings_of_a_busy_user_are_retrained(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    put_user(store, spark)
+    papers = stored_papers(spark, ["p0", "p1", "p2", "p3"]).withColumn("abstract", F.when(F.col("id") == "p0", F.lit("ancient scroll")).when(
+        F.col("id") == "p1", F.lit("graph nets")).otherwise(F.lit("cooking soup")))
+    copies = spark.range(5100).selectExpr("concat('q', id) AS new", "CASE WHEN id < 20 THEN 'p0' ELSE concat('p', 1 + id % 3) END AS id", "id AS place")
+    many = papers.join(copies, "id")
+    store.replace("papers", many.withColumn("id", F.col("new")).select(*papers.columns))
+    store.replace("ratings", many.selectExpr("place AS id", "11L AS user_chat_id", "new AS paper_id",
+                                             "cast(CASE WHEN id = 'p1' OR place % 4 = 0 THEN 10 ELSE 1 END AS smallint) AS score",
+                                             "timestamp '2024-01-10' AS created_at"))
+    store.replace("models", spark.createDataFrame([], schemas.MODELS))
+    store.replace("model_meta", spark.createDataFrame([], schemas.MODEL_META))
+    (row,) = retrain.retrain_all(store)[0].collect()
+    assert (row["user_id"], row["n"]) == (1, 5100) and 0 < row["cv_auc_mean"] < 1
+    terms = {r["term"] for r in retrain.load_models(store)[0].collect()}
+    assert "ancient scroll" in terms and "graph nets" in terms
